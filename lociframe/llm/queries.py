@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import bpe
+from lociframe.llm import bpe, exact_dedup, mixing, url_filter
 from lociframe.llm.common import fields
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,74 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def sql(name: str, text: str) -> None:
+    ORACLES[name] = text
+
+
+#: The rules of the URL query. Hosts and paths as given; longer rules win.
+URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+
+#: Patterns for URLs that no rule above fits.
+URL_PATTERNS = ("||cheap-pills.", "||spam-farm.", "||casino.", "/casino/", "/adserver/")
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.Rule(f"||{r}", action, 1) for r, action in URL_RULES] + [url_filter.Rule(p, "block") for p in URL_PATTERNS]
+    done = url_filter.judge(fields(read(spark, sf_dir, "pages"), "page_id", "url"), rules)
+    return done.select("page_id", "host", "path", F.when(F.col("rule_priority") == 1, F.col("rule")).alias("rule"), F.col("action").alias("verdict"))
+
+
+sql(
+    "op1_url_filter",
+    """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN split_part(split_part(substr(url, strpos(url, '://') + 3), '#', 1), '?', 1) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM cut
+), rules(rh, rp, act) AS (
+  VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+), fits AS (
+  SELECT page_id, rh || rp AS rule, act, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, rh || rp DESC) AS k
+  FROM parts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+)
+SELECT p.page_id, p.host, p.path, f.rule,
+  CASE WHEN f.rule IS NOT NULL THEN f.act
+       WHEN p.host <> '' AND (regexp_matches(p.host || p.path, '^([^/]*[.])?(cheap-pills|spam-farm|casino)[.]') OR contains(p.host || p.path, '/casino/') OR contains(p.host || p.path, '/adserver/')) THEN 'block'
+       ELSE 'allow' END AS verdict
+FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
+""",
+)
+
+
+@query
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(fields(read(spark, sf_dir, "documents"), "doc_id", "text"), digest="text_sha256")
+
+
+sql(
+    "op5_exact_dedup",
+    """
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS size, sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256 FROM documents
+), k AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w AS place
+  FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY size DESC, doc_id)
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k
+""",
+)
+
+#: Target weights of sources; those not named have 1.
+SOURCE_WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
+
+
+@query
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fields(read(spark, sf_dir, "documents"), "doc_id", "source")
+    return mixing.mix(docs, SOURCE_WEIGHTS)[0].select("doc_id", "source", "block", "place", "slot", "released", "due")
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fields(read(spark, sf_dir, "documents"), "doc_id", "text")
