@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import bpe, exact_dedup, mixing, url_filter
+from lociframe.llm import bpe, exact_dedup, mixing, simhash, url_filter
 from lociframe.llm.common import fields
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,12 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k
 """,
 )
 
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = simhash.near_groups(fields(read(spark, sf_dir, "documents"), "doc_id", "text"))
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 #: Target weights of sources; those not named have 1.
 SOURCE_WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
 
