@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import bpe, exact_dedup, mixing, simhash, url_filter
+from lociframe.llm import bpe, exact_dedup, lang_id, mixing, simhash, url_filter
 from lociframe.llm.common import fields
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fields(read(spark, sf_dir, "documents"), "doc_id", "text")
     done = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded", packed=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def held_out(id: str = "doc_id") -> Column:
+    """Every fourth document, whose language is never learned from."""
+    return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fields(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    done = lang_id.identify(docs, learn=F.col("doc_id").isNotNull() & ~held_out())
+    return done.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
