@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import bpe, exact_dedup, lang_id, mixing, simhash, url_filter
+from lociframe.llm import bpe, exact_dedup, html_text, lang_id, mixing, simhash, url_filter
 from lociframe.llm.common import fields
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, SOURCE_WEIGHTS)[0].select("doc_id", "source", "block", "place", "slot", "released", "due")
 
 
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_text.extract(fields(read(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fields(read(spark, sf_dir, "documents"), "doc_id", "text")
