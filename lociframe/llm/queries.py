@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import bpe, exact_dedup, html_text, lang_id, mixing, simhash, url_filter
+from lociframe.llm import ann, bpe, exact_dedup, html_text, lang_id, mixing, simhash, token_counts, url_filter
 from lociframe.llm.common import fields
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,11 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
 )
 
 
+@query
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(fields(read(spark, sf_dir, "embeddings"), "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(fields(read(spark, sf_dir, "documents"), "doc_id", "text"), digest="text_sha256")
@@ -104,6 +109,12 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fields(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fields(read(spark, sf_dir, "documents"), "doc_id", "text")
