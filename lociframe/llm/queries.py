@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import ann, bpe, exact_dedup, html_text, lang_id, mixing, simhash, token_counts, url_filter
+from lociframe.llm import ann, bpe, exact_dedup, html_text, lang_id, mixing, simhash, token_counts, url_filter, warc
 from lociframe.llm.common import fields
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,29 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k
 """,
 )
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_and_read(spark, fields(read(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    size = F.coalesce(F.octet_length("payload").cast("bigint"), F.col("length"))
+    return back.select(F.col("id").alias("page_id"), size.alias("payload_bytes"), warc.verified(F.col("payload"), F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
+
+
+sql(
+    "op2_warc",
+    """
+WITH t AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM t
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
+FROM k
+""",
+)
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = simhash.near_groups(fields(read(spark, sf_dir, "documents"), "doc_id", "text"))
