@@ -183,9 +183,9 @@ def sample(docs: DataFrame, id: str, text: str, lang: str, learn: Column) -> lis
 
 
 def label(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score in place of the text."""
     small_batches(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     given = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"), "lang_pred string", "score double"])
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -199,6 +199,23 @@ def label(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     return given.mapInArrow(over, schema)
 
 
+def keep_known(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """docs, as they are, without those that are `und`; where no language was learned, without those that have no
+    letter."""
+    if not field.languages:
+        return docs.where(F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)))
+    small_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader.of(shared.value)
+        for batch in batches:
+            pred, _ = reader.label(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+
+    return docs.mapInArrow(over, docs.schema)
+
+
 class Reader:
     """What a worker keeps of a field: the emissions of words that it has met. Row 0 is a word without letters."""
 
