@@ -15,7 +15,6 @@ learned. Ties go to the language that sorts first. Rows, repeats and further col
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +30,7 @@ from lociframe.llm.common import small_batches
 CHAIN, RUN = 64, 32
 
 #: Hashed features; words that a worker remembers.
-WIDTH, KNOWN = 1 << 17, 200_000
+WIDTH, KNOWN = 1 << 17, 400_000
 
 #: Bounds of the sample: languages (the most frequent), documents of each, characters and then words taken from one.
 LANGUAGES, DOCUMENTS, CHARACTERS, WORDS = 100, 250, 4000, 300
@@ -42,6 +41,8 @@ LEXICON = 300
 
 def core(word: str) -> str:
     """Lower case, without what stands before its first and after its last letter."""
+    if word.isalpha():
+        return word.lower()
     i, j = 0, len(word)
     while i < j and not word[i].isalpha():
         i += 1
@@ -50,18 +51,36 @@ def core(word: str) -> str:
     return word[i:j].lower()
 
 
-def features(word: str, lexicon: dict[str, list[int]]) -> tuple[list[int], list[float]]:
-    """Hashed features of a core, with their values; one without letters has none."""
-    if not word:
-        return [], []
-    data, crc = f"^{word}$".encode("utf-8", "surrogatepass"), zlib.crc32
-    n = len(word)
-    affixes = [b"w" + data] + [b"p" + word[:k].encode("utf-8", "surrogatepass") for k in (1, 2, 3) if k <= n] + [b"s" + word[-k:].encode("utf-8", "surrogatepass") for k in (1, 2, 3) if k <= n]
-    around = f"^{word}$"
-    grams = [crc(around[i : i + k].encode("utf-8", "surrogatepass"), 7) for k in (2, 3) for i in range(len(around) - k + 1)]
-    ids = [crc(x) % WIDTH for x in affixes] + [WIDTH + k for k in lexicon.get(word, ())] + [x % WIDTH for x in grams]
-    own = len(ids) - len(grams)
-    return ids, [1.0] * own + [min(1.0, 8.0 / len(grams))] * len(grams)
+def features(words: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words at once (none empty): which word, hashed feature, and value. Each word has itself, prefixes and
+    suffixes of up to three characters, and its pairs and triples of characters, marks at both ends included."""
+    text = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.array([len(w) for w in words]) + 2
+    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(words)), sizes)
+    spread, one = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+
+    def hashed(kind: int, characters: list[np.ndarray]) -> np.ndarray:
+        h = np.full(len(characters[0]), kind, np.uint64)
+        for c in characters:
+            h = (h * one + c) * spread
+            h ^= h >> np.uint64(29)
+        return (h % np.uint64(WIDTH)).astype(np.int64)
+
+    found = []
+    whole = np.add.reduceat(text * spread ** (np.arange(len(text)) - starts[owner] + 1).astype(np.uint64), starts)
+    found.append((np.arange(len(words)), hashed(0, [whole]), np.ones(len(words), np.float32)))
+    for k in (1, 2, 3):
+        held = np.flatnonzero(sizes - 2 >= k)
+        for kind, first in ((k, starts[held] + 1), (3 + k, starts[held] + sizes[held] - 1 - k)):
+            found.append((held, hashed(kind, [text[first + i] for i in range(k)]), np.ones(len(held), np.float32)))
+    scale = np.minimum(1.0, 8.0 / (2 * sizes - 3)).astype(np.float32)
+    for k in (2, 3):
+        at = np.flatnonzero(owner[: len(text) - k + 1] == owner[k - 1 :])
+        found.append((owner[at], hashed(5 + k, [text[at + i] for i in range(k)]), scale[owner[at]]))
+    named = [(i, WIDTH + label) for i, w in enumerate(words) if w in lexicon for label in lexicon[w]]
+    if named:
+        found.append((np.array([i for i, _ in named]), np.array([f for _, f in named]), np.ones(len(named), np.float32)))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 @dataclass
@@ -72,14 +91,13 @@ class Field:
     lexicon: dict[str, list[int]]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        rows = [features(w, self.lexicon) for w in words]
-        sizes = np.array([len(i) for i, _ in rows])
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        held = np.flatnonzero(sizes)
-        if len(held):
-            ids = np.fromiter(itertools.chain.from_iterable(i for i, _ in rows), np.int64, sizes.sum())
-            values = np.fromiter(itertools.chain.from_iterable(v for _, v in rows), np.float32, sizes.sum())
-            out[held] = np.add.reduceat(self.weights[ids] * values[:, None], np.cumsum(sizes)[held] - sizes[held], axis=0)
+        out, step = np.zeros((len(words), len(self.languages)), np.float32), max(100, 80_000 // max(1, len(self.languages)))
+        for i in range(0, len(words), step):
+            part = words[i : i + step]
+            owner, ids, values = features(part, self.lexicon)
+            drawn = self.weights[ids] * values[:, None]
+            for j in range(out.shape[1]):
+                out[i : i + step, j] = np.bincount(owner, drawn[:, j], len(part))
         return out
 
 
@@ -139,11 +157,7 @@ def fit(texts: list[tuple[str, str]], rounds: int = 40, rate: float = 0.2, shrin
     labels = np.concatenate([np.full(len(runs[k][1]), runs[k][0]) for k in order])
     words = list(itertools.chain.from_iterable(runs[k][1] for k in order))
     types = {w: k for k, w in enumerate(dict.fromkeys(words))}
-    rows = [features(w, lexicon) for w in types]
-    sizes = np.array([len(i) for i, _ in rows])
-    ids = np.fromiter(itertools.chain.from_iterable(i for i, _ in rows), np.int64, sizes.sum())
-    values = np.fromiter(itertools.chain.from_iterable(v for _, v in rows), np.float32, sizes.sum())
-    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(types)), sizes)
+    owner, ids, values = features(list(types), lexicon)
     used, ids = np.unique(ids, return_inverse=True)
     chains = -(-len(words) // CHAIN)
     at = np.zeros(chains * CHAIN, np.int64)
@@ -156,7 +170,8 @@ def fit(texts: list[tuple[str, str]], rounds: int = 40, rate: float = 0.2, shrin
     w, moves = np.zeros((len(used), n)), np.zeros((n, n))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, moves)]
     for k in range(1, rounds + 1):
-        table = np.add.reduceat(w[ids] * values[:, None], starts, axis=0)
+        drawn = w[ids] * values[:, None]
+        table = np.stack([np.bincount(owner, drawn[:, j], len(types)) for j in range(n)], 1)
         found, expected = forward_backward(table[at], mask, moves, True)
         gap = ((found - gold) * mask[:, :, None]).reshape(-1, n)
         by_type = np.stack([np.bincount(at.ravel(), gap[:, j], len(types)) for j in range(n)], 1)
