@@ -28,9 +28,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near copies: that of the smallest doc_id. Shingles of five words stand for a similarity of
-    0.8 or more; fingerprints link at four bits."""
-    return simhash.drop_near_copies(docs, words=5, distance=4)
+    """One of each group of texts that share five-word shingles to a similarity of 0.8 or more: that of the smallest
+    doc_id."""
+    return simhash.drop_similar(docs, words=5, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

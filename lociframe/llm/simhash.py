@@ -50,17 +50,19 @@ def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> np.ndarr
     return np.fromiter((digest(whole[i:j], seed) for i, j in zip(starts, ends[words - 1 :], strict=False)), "<u8", len(found) - words + 1)
 
 
-def fold(hashes: list[np.ndarray]) -> np.ndarray:
-    """A fingerprint for each array of hashes."""
-    out = np.zeros(len(hashes), "<u8")
-    weights = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
-
-    def set_bits(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        return ((2 * counts > totals[:, None]) * weights).sum(1, dtype=np.uint64)
-
-    def bits(h: np.ndarray) -> np.ndarray:
-        return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th stream of hashes; the first is h itself."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fold(hashes: list[np.ndarray], bits: int = BITS) -> np.ndarray:
+    """Fingerprints, as rows of 64-bit words, for arrays of hashes."""
+    out = np.zeros((len(hashes), bits // BITS), "<u8")
     at = 0
     while at < len(hashes):
         stop, n = at, 0
@@ -69,102 +71,151 @@ def fold(hashes: list[np.ndarray]) -> np.ndarray:
             stop += 1
         sizes = np.array([len(h) for h in hashes[at:stop]])
         held = np.flatnonzero(sizes)
+        counts = np.zeros((len(held), bits), np.int64)
         if len(held) == 1:  # perhaps a very long text
             h = hashes[at + held[0]]
-            counts = sum(bits(h[i : i + 100_000]).sum(0, dtype=np.int64) for i in range(0, len(h), 100_000))[None]
-            out[at + held] = set_bits(counts, sizes[held])
+            for i in range(0, len(h), 100_000):
+                counts += _counts(h[i : i + 100_000], np.array([len(h[i : i + 100_000])]), bits)
         elif len(held):
-            joined = bits(np.concatenate(hashes[at:stop]))
-            counts = np.add.reduceat(joined, np.cumsum(sizes)[held] - sizes[held], axis=0, dtype=np.int64)
-            out[at + held] = set_bits(counts, sizes[held])
+            counts = _counts(np.concatenate(hashes[at:stop]), sizes[held], bits)
+        out[at + held] = np.packbits(2 * counts > sizes[held][:, None], axis=1, bitorder="little").view("<u8")
         at = stop
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 4) -> DataFrame:
-    """docs with the column fp (bigint) in place of the text."""
+def _counts(h: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """For each run of h of these sizes, how many hashes have each bit. Up to 255 rows of single bits are added as bytes,
+    eight at a time."""
+    parts = -(-sizes // 255)
+    first = np.cumsum(parts) - parts
+    within = np.arange(parts.sum()) - np.repeat(first, parts)
+    starts = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * within
+    out = []
+    for k in range(bits // BITS):
+        single = np.unpackbits(np.ascontiguousarray(_mixed(h, k)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.add.reduceat(single.view("<u8"), starts, axis=0).view(np.uint8)
+        out.append(np.add.reduceat(sums, first, axis=0, dtype=np.int64))
+    return np.concatenate(out, 1)
+
+
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
+    """docs with the column fp in place of the text: a bigint of 64 bits, or the bytes of more."""
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, "fp")]
     given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"), "fp bigint"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"), f"fp {'bigint' if bits == BITS else 'binary'}"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fold([shingle_hashes(t, words) for t in batch.column(len(kept)).to_pylist()]).view("<i8")
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fp)], names=[*kept, "fp"])
+            fp = _column(fold([shingle_hashes(t, words) for t in batch.column(len(kept)).to_pylist()], bits))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], fp], names=[*kept, "fp"])
 
     return given.mapInArrow(over, schema)
 
 
-def agreement(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of fingerprints, and for each two bits how many have both set; 2080 sums come back."""
+def _column(fps: np.ndarray) -> pa.Array:
+    return pa.array(fps[:, 0].view("<i8")) if fps.shape[1] == 1 else pa.array([x.tobytes() for x in fps], pa.binary())
+
+
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    if width == BITS:
+        return np.ascontiguousarray(column.to_numpy(zero_copy_only=False)).view("<u8").reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width // BITS)
+
+
+def _single(fps: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+
+
+def agreement(fps: DataFrame, bits: int = BITS) -> tuple[int, np.ndarray]:
+    """The number of fingerprints, and for each two bits how many have both set: a row for each bit comes back."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((BITS, BITS), np.int64), 0
+        total, n = np.zeros((bits, bits)), 0
         for batch in batches:
-            h = batch.column(0).to_numpy().view("<u8")
-            b = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            total += (b.T @ b).astype(np.int64)
-            n += len(h)
-        i, j = np.triu_indices(BITS)
-        yield pa.RecordBatch.from_arrays([pa.array([*i, -1]), pa.array([*j, -1]), pa.array([*total[i, j], n])], names=["i", "j", "n"])
-
-    rows = fps.select("fp").mapInArrow(over, "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    count, both = 0, np.zeros((BITS, BITS))
-    for r in rows:
-        if r["i"] < 0:
-            count = r["n"]
-        else:
-            both[r["i"], r["j"]] = both[r["j"], r["i"]] = r["n"]
+            b = _single(_rows(batch.column(0), bits)).astype(np.float32)
+            total += b.T @ b
+            n += len(b)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(bits)), pa.array([n] * bits), pa.array(list(total))], names=["bit", "n", "both"])
+
+    def summed(t: pa.Table) -> pa.Table:
+        both = np.sum(np.array(t.column("both").to_pylist()), 0)
+        return pa.table({"bit": t.column("bit")[:1], "n": pa.array([sum(t.column("n").to_pylist())]), "both": pa.array([both])})
+
+    schema = "bit bigint, n bigint, both array<double>"
+    count, both = 0, np.zeros((bits, bits))
+    for r in fps.select("fp").mapInArrow(over, schema).groupBy("bit").applyInArrow(summed, schema).collect():
+        count, both[r["bit"]] = r["n"], r["both"]
     return count, both
 
 
 def group_bits(count: int, both: np.ndarray, m: int) -> list[list[int]]:
     """m partitions of the bits: each grows by the bit that is most correlated with those it has."""
+    n = len(both)
     p = np.diag(both) / max(1, count)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     phi = np.abs((both / max(1, count) - np.outer(p, p)) / np.outer(spread, spread))
-    free, out = set(range(BITS)), []
+    free, out = np.ones(n, bool), []
     for k in range(m):
-        size = BITS // m + (k < BITS % m)
-        order = sorted(free)
-        own = [max(order, key=lambda b: phi[b, order].sum())]
-        free.discard(own[0])
-        while len(own) < size:
-            best = max(sorted(free), key=lambda b: phi[b, own].sum())
+        size = n // m + (k < n % m)
+        near = phi[:, free].sum(1)
+        own: list[int] = []
+        for _ in range(size):
+            best = int(np.where(free, near, -np.inf).argmax())
+            near = phi[:, best] if not own else near + phi[:, best]
             own.append(best)
-            free.discard(best)
+            free[best] = False
         out.append(sorted(own))
     return out
 
 
-def plan(count: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
-    """Partitions with their thresholds (-1: not looked up) of the least estimated cost."""
+def _within(differ: np.ndarray, most: int) -> np.ndarray:
+    """Probability of at most 0, 1, ... differing bits, where bit k differs with differ[k]."""
+    at = np.zeros(most + 1)
+    at[0] = 1
+    for x in differ:
+        at[1:] = at[1:] * (1 - x) + at[:-1] * x
+        at[0] *= 1 - x
+    return np.cumsum(at)
+
+
+def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
+    """Thresholds from -1 (costs[k][0]) of the least cost, with total as the sum of thresholds plus one."""
+    table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for c in costs:
+        following: dict[int, tuple[float, list[int]]] = {}
+        for done, (cost, chosen) in table.items():
+            for t, own in enumerate(c, -1):
+                if (s := done + t + 1) <= total and (s not in following or cost + own < following[s][0]):
+                    following[s] = (cost + own, [*chosen, t])
+        table = following
+    return table[total]
+
+
+def plan(count: int, both: np.ndarray, distance: int, partitions: list[int] | None = None, most: int | None = None, near: float = 0.0, recall: float = 0.0) -> list[tuple[list[int], int]]:
+    """Partitions with their thresholds (-1: not looked up) of the least estimated cost. All within distance are found;
+    where recall is given, the distance grows until so much of what has each bit differ with probability near is."""
     p = np.diag(both) / max(1, count)
     differ = 2 * p * (1 - p)
     best: tuple[float, list[tuple[list[int], int]]] | None = None
-    for m in range(1, distance + 2):
+    for m in partitions or range(1, distance + 2):
         groups = group_bits(count, both, m)
-        costs = []  # of each partition, by threshold from -1
+        top = distance if most is None else most
+        costs, found = [], []  # of each partition, by threshold from -1
         for own in groups:
-            at = np.zeros(distance + 1)  # probability of each distance within the partition
-            at[0] = 1
-            for b in own:
-                at[1:] = at[1:] * (1 - differ[b]) + at[:-1] * differ[b]
-                at[0] *= 1 - differ[b]
-            within, looked = np.cumsum(at), np.cumsum([math.comb(len(own), t) for t in range(distance + 1)])
-            costs.append([0.0, *(ROW_COST * count * looked[t] + 0.5 * count * count * within[t] for t in range(distance + 1))])
-        table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # sum of thresholds + 1 so far
-        for c in costs:
-            following: dict[int, tuple[float, list[int]]] = {}
-            for total, (cost, chosen) in table.items():
-                for t in range(-1, distance + 1):
-                    if (s := total + t + 1) <= distance + 1 and (s not in following or cost + c[t + 1] < following[s][0]):
-                        following[s] = (cost + c[t + 1], [*chosen, t])
-            table = following
-        cost, chosen = table[distance + 1]  # the thresholds then sum to distance + 1 - m
-        if best is None or cost < best[0]:
-            best = (cost, list(zip(groups, chosen, strict=True)))
+            within, looked = _within(differ[own], top), np.cumsum([math.comb(len(own), t) for t in range(top + 1)])
+            costs.append([0.0, *(ROW_COST * count * looked[t] + 0.5 * count * count * within[t] for t in range(top + 1))])
+            found.append([0.0, *_within(np.full(len(own), near), top)])
+        for total in range(distance + 1, m * (top + 1) + 1):
+            cost, chosen = allocate(costs, total)
+            if 1 - math.prod(1 - f[t + 1] for f, t in zip(found, chosen, strict=True)) >= recall:
+                if best is None or cost < best[0]:
+                    best = (cost, list(zip(groups, chosen, strict=True)))
+                break
+    if best is None:
+        raise ValueError("no plan has that recall")
     return best[1]
 
 
@@ -189,53 +240,91 @@ def _signatures(fps: DataFrame, planned: list[tuple[list[int], int]]) -> DataFra
     return fps.select("fp", F.explode(F.concat(*entries)).alias("s")).select("s.part", "s.key", "s.own", "fp")
 
 
+def _wide_signatures(fps: DataFrame, planned: list[tuple[list[int], int]], bits: int) -> DataFrame:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                column = batch.column(0).slice(i, 1000)
+                single = _single(_rows(column, bits)).astype(np.int64)
+                for part, (own, t) in enumerate(planned):
+                    if t < 0:
+                        continue
+                    key = single[:, own] @ (1 << np.arange(len(own)))
+                    flips = np.array([sum(1 << b for b in c) for n in range(t + 1) for c in itertools.combinations(range(len(own)), n)])
+                    n = len(flips)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(key) * n, part, np.int16)), pa.array((key[:, None] ^ flips).ravel()), pa.array(np.tile(flips == 0, len(key))), column.take(pa.array(np.repeat(np.arange(len(key)), n)))],
+                        names=["part", "key", "own", "fp"],
+                    )
+
+    return fps.select("fp").mapInArrow(over, "part smallint, key bigint, own boolean, fp binary")
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
+
+
 def _forest(fps: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what a group's links connect: each fingerprint is reached once."""
+    """Rows of links that connect what a group's links connect: each fingerprint is reached once."""
     a, b, left = [], [], np.arange(len(fps))
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(fps[left] ^ fps[x]) <= distance
+            near = _apart(fps[left], fps[x]) <= distance
             if not own[x]:
                 near &= own[left]
             if near.any():
                 hit = left[near]
-                a.append(np.full(len(hit), fps[x]))
-                b.append(fps[hit])
+                a.append(np.full(len(hit), x))
+                b.append(hit)
                 front.extend(hit)
                 left = left[~near]
-    none = np.zeros(0, fps.dtype)
+    none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def _square(fps: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a group of moderate size, all pairs at once; few of them are links as a rule."""
+    near = np.bitwise_count(fps[:, None, 0] ^ fps[None, :, 0]).astype(np.int32)
+    for k in range(1, fps.shape[1]):
+        near += np.bitwise_count(fps[:, None, k] ^ fps[None, :, k])
+    a, b = np.nonzero(np.triu((near <= distance) & (own[:, None] | own[None, :]), 1))
+    return (a, b) if len(a) <= 2 * len(fps) else _forest(fps, own, distance)
+
+
 def _verify(group: np.ndarray, own: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of the same group number; small groups are compared pair by pair, all of them at once."""
+    """Rows of links within runs of the same group number; small groups are compared pair by pair, all at once."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
-    out = [_forest(fps[s : s + n], own[s : s + n], distance) for s, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True)]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
+        x, y = _square(fps[s : s + n], own[s : s + n], distance) if n <= 400 else _forest(fps[s : s + n], own[s : s + n], distance)
+        a.append(x + s)
+        b.append(y + s)
     small = np.repeat(sizes <= 32, sizes)
     after = np.repeat(starts + sizes, sizes) - np.arange(len(group)) - 1  # rows of the group that follow
     for k in range(1, 32):
         i = np.flatnonzero(small & (after >= k))
         if not len(i):
             break
-        near = (np.bitwise_count(fps[i] ^ fps[i + k]) <= distance) & (own[i] | own[i + k])
-        out.append((fps[i[near]], fps[i[near] + k]))
-    return np.concatenate([x for x, _ in out]) if out else fps[:0], np.concatenate([x for _, x in out]) if out else fps[:0]
-
-
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b): links that connect every two distinct fingerprints that differ in at most distance bits, directly or
-    through others."""
-    count, both = agreement(fps)
-    signatures = _signatures(fps, plan(count, both, distance))
+        i = i[own[i] | own[i + k]]
+        i = i[_apart(fps[i], fps[i + k]) <= distance]
+        a.append(i)
+        b.append(i + k)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def links(fps: DataFrame, distance: int = 4, bits: int = BITS, planned: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """(a, b): links that connect every two distinct fingerprints that differ in at most distance bits and that the plan
+    brings together (without one of its own: all), directly or through others."""
+    planned = planned or plan(*agreement(fps, bits), distance)
+    signatures = _signatures(fps, planned) if bits == BITS else _wide_signatures(fps, planned, bits)
     sizes = signatures.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = signatures.join(sizes, ["part", "key"]).withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)"))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("p"), F.greatest(x, block).alias("q")))
-    dealt = met.where("blocks = 1").select("part", "key", F.lit(0).alias("p"), F.lit(0).alias("q"), "own", "fp")
-    dealt = dealt.unionByName(met.where("blocks > 1").select("part", "key", "own", "fp", F.explode(pairs).alias("s")).select("part", "key", "s.p", "s.q", "own", "fp"))
+    dealt = met.withColumn("s", F.explode(pairs)).select("part", "key", "s.p", "s.q", "own", "fp")  # one row where there is one block
     keys = ["part", "key", "p", "q"]
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, *keys).sortWithinPartitions(*keys)
@@ -248,9 +337,9 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
             stop = len(new) if last else int(np.flatnonzero(new)[-1])
             if not stop:
                 return None, t.to_batches()
-            fp = t.column("fp").to_numpy()[:stop].view("<u8")
-            a, b = _verify(np.cumsum(new[:stop]), t.column("own").to_numpy()[:stop], fp, distance)
-            return pa.RecordBatch.from_arrays([pa.array(a.view("<i8")), pa.array(b.view("<i8"))], names=["a", "b"]), t.slice(stop).to_batches()
+            column = t.column("fp").slice(0, stop).combine_chunks()
+            a, b = _verify(np.cumsum(new[:stop]), t.column("own").to_numpy()[:stop], _rows(column, bits), distance)
+            return pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"]), t.slice(stop).to_batches()
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -265,28 +354,50 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         if rows:
             yield done(held, True)[0]
 
-    return dealt.mapInArrow(over, "a bigint, b bigint").where("a != b")
+    kind = "bigint" if bits == BITS else "binary"
+    return dealt.mapInArrow(over, f"a {kind}, b {kind}").where("a != b")
 
 
-def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """docs, without the text, with fp (bigint) and component_id."""
-    rows = cut(fingerprints(docs, text, words))
+def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, bits: int = BITS, planner=None) -> DataFrame:
+    """docs, without the text, with fp and component_id. planner(count, agreement) may give another plan than that which
+    finds all links."""
+    rows = cut(fingerprints(docs, text, words, bits))
     own = f"`{id}`"
     distinct = cut(rows.groupBy("fp").agg(F.min(F.col(own)).alias("least")))
-    roots = components(links(distinct, distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    planned = planner(*agreement(distinct, bits)) if planner else None
+    roots = components(links(distinct, distance, bits, planned)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return rows.drop("component_id").join(named, "fp")
 
 
-def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """docs with one row of each near-copy group: that of the smallest id (of rows that share it, that of the smallest
-    content hash)."""
+def differing(similarity: float) -> float:
+    """The share of bits in which two texts of this Jaccard similarity of shingles differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 512, recall: float = 0.97) -> DataFrame:
+    """near_groups for texts of at least this Jaccard similarity: wider fingerprints, whose distance estimates it, link
+    within what it comes to plus one standard deviation. The plan finds so much of the pairs that just have it, nearly
+    all that have more, whatever their number."""
+    f = differing(similarity)
+    distance = int(f * bits + math.sqrt(bits * f * (1 - f)))
+
+    def planner(count: int, both: np.ndarray) -> list[tuple[list[int], int]]:
+        return plan(count, both, 0, [16, 20, 24, 28, 32, 36, 40, 46], 1, f, recall)
+
+    return near_groups(docs, id, text, words, distance, bits, planner)
+
+
+def drop_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of similar_groups: that of the smallest id (of rows that share it, that of the
+    smallest content hash)."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = docs.select(F.col(f"`{id}`").alias("id"), F.xxhash64(*columns).alias("content"), F.col(f"`{text}`").alias("text"))
-    best = near_groups(hashed, "id", "text", words, distance).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "content")).alias("best"))
-    best = best.select(F.col("best.id").alias("__id"), F.col("best.content").alias("__content"))
-    marked = docs.withColumn("__content", F.xxhash64(*columns)).withColumn("__id", F.col(f"`{id}`"))
-    kept = marked.join(best.select("__content", F.col("__id").alias("__best")), "__content").where(F.col("__id").eqNullSafe(F.col("__best")))
+    groups = similar_groups(hashed, "id", "text", **options)
+    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("best"))
+    best = best.select(F.col("best.id").alias("__best"), F.col("best.content").alias("__content"))
+    marked = docs.withColumn("__content", F.xxhash64(*columns))
+    kept = marked.join(best, "__content").where(F.col(f"`{id}`").eqNullSafe(F.col("__best")))
     return kept.dropDuplicates(["__content"]).select(*columns)

@@ -118,10 +118,27 @@ def test_one_large_group_is_split(spark, monkeypatch):
     assert stars[-1] == -2 and fps[-1] not in stars
 
 
-def test_drop_near_copies_keeps_one_of_each(spark):
-    rows = corpus()
+def edited(rnd, words, n):
+    out = list(words)
+    for i in rnd.sample(range(len(out)), n):
+        out[i] = "x%d" % rnd.randrange(10**6)
+    return out
+
+
+def test_wide_fingerprints_catch_what_is_similar(spark):
+    rnd = random.Random(5)
+    rows, kind = [], {}
+    for g in range(40):
+        base = ["w%d" % rnd.randrange(5000) for _ in range(rnd.choice([80, 300]))]
+        for k in range(3):
+            kind[len(rows)] = g
+            rows.append((len(rows), " ".join(edited(rnd, base, k * len(base) // 150))))  # at least 0.87 similar to the first
+    rows += [(1000 + k, " ".join("w%d" % rnd.randrange(5000) for _ in range(60))) for k in range(200)]
+    rows += [(2000, None), (2001, "")]
     df = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
-    kept = simhash.drop_near_copies(df)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    for d, _ in rows:
+        assert found[d] == (min(x for x in kind if kind[x] == kind[d]) if d in kind else min(d, 2000) if d > 1999 else d)
+    kept = simhash.drop_similar(df)
     assert kept.columns == df.columns
-    ids = {c for _, _, c in brute(rows)}
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(ids)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(found.values()))
