@@ -1,10 +1,55 @@
-"""Registered queries and their independent SQL."""
+"""The registry of queries and of the independent SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lociframe.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: Common table expressions that queries' SQL may start from; {name} in a query's SQL stands for one.
+VIEWS = {
+    "iv": "SELECT l_suppkey AS key, CAST(CAST(l_shipdate AS DATE) - DATE '1992-01-01' AS BIGINT) AS s, CAST(CAST(l_shipdate AS DATE) - DATE '1992-01-01' AS BIGINT) + CAST(floor(l_quantity) AS BIGINT) AS e, l_orderkey AS okey, CAST(l_linenumber AS BIGINT) AS line, l_extendedprice AS v FROM lineitem",
+    "pt": "SELECT user_id AS key, CAST(date_diff('second', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS pos, event_id AS id, event_type AS kind, value AS v FROM events",
+}
+
+
+def query(sql: str | None = None, views: str = "") -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL for the same rows where there is any."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views.split())
+            text = sql.strip()
+            if head:
+                text = f"WITH RECURSIVE {head}, {text[text.index(' ') + 1 :].removeprefix('RECURSIVE ')}" if text.upper().startswith("WITH") else f"WITH {head} {text}"
+            ORACLES[f.__name__] = text
+        return f
+
+    return add
+
+
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as intervals of days, by supplier: key, s, e, okey, line, v."""
+    start = F.expr("cast(datediff(l_shipdate, DATE'1992-01-01') as bigint)")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("key"), start.alias("s"), (start + F.floor("l_quantity").cast("bigint")).alias("e"), F.col("l_orderkey").alias("okey"), F.col("l_linenumber").cast("bigint").alias("line"), F.col("l_extendedprice").alias("v")
+    )
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as seconds of a user: key, pos, id, kind, v."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").alias("pos"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("value").alias("v"))
+
+
+for _module in ("interval_queries", "signal_queries", "metric_queries", "score_queries", "sequence_queries", "split_queries"):
+    import_module(f"lociframe.plans.{_module}")
