@@ -30,7 +30,7 @@ def one_hot(seq: Column, uniform: bool = False) -> Column:
 
 def from_one_hot(hot: Column) -> Column:
     """The letter of the one position that is hot; N where none is."""
-    return F.array_join(F.transform(hot, lambda x: F.coalesce(F.element_at(F.array(*map(F.lit, NUCLEOTIDES)), F.nullif(F.array_position(x, F.lit(1.0)), F.lit(0)).cast("int")), F.lit("N"))), "")
+    return F.array_join(F.transform(hot, lambda x: F.when(F.array_contains(x, F.lit(1.0)), F.substring(F.lit(NUCLEOTIDES), F.array_position(x, F.lit(1.0)).cast("int"), F.lit(1))).otherwise("N")), "")
 
 
 def fitted(seq: Column, length: int) -> Column:

@@ -47,16 +47,16 @@ def cosine_pairs(df: DataFrame, id: str, vector: str, above: float, block: int =
     blocks = max(1, -(-n // block))
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int").alias("own"))
     left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.select("id", "v", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("own"))
+    right = rows.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("own"))
 
     def scan(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        p, q = (np.array(t.column("v").to_pylist(), float) for t in (x, y))
+        p, q = np.array(x.column("v").to_pylist(), float), np.array(y.column("v2").to_pylist(), float)
         norms = [np.linalg.norm(m, axis=1) for m in (p, q)]
         with np.errstate(invalid="ignore", divide="ignore"):
             c = p @ q.T / np.outer(*norms)
-        i, j = (t.column("id").to_numpy() for t in (x, y))
+        i, j = x.column("id").to_numpy(), y.column("id2").to_numpy()
         k, m = np.nonzero((c > above) & (i[:, None] != j[None, :]))
         return pa.table({"a": i[k], "b": j[m], "cosine": c[k, m]})
 

@@ -38,11 +38,11 @@ def query(sql: str | None = None, views: str = "") -> Callable[[Query], Query]:
     return add
 
 
-def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as intervals of days, by supplier: key, s, e, okey, line, v."""
+def intervals(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> DataFrame:
+    """lineitem as intervals of days, by supplier as a rule: key, s, e, okey, line, v."""
     start = F.expr("cast(datediff(l_shipdate, DATE'1992-01-01') as bigint)")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("key"), start.alias("s"), (start + F.floor("l_quantity").cast("bigint")).alias("e"), F.col("l_orderkey").alias("okey"), F.col("l_linenumber").cast("bigint").alias("line"), F.col("l_extendedprice").alias("v")
+        F.col(key).alias("key"), start.alias("s"), (start + F.floor("l_quantity").cast("bigint")).alias("e"), F.col("l_orderkey").alias("okey"), F.col("l_linenumber").cast("bigint").alias("line"), F.col("l_extendedprice").alias("v")
     )
 
 

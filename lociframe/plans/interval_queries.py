@@ -81,10 +81,9 @@ def break_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.break_large(spans, 300).select("key", F.col("start").alias("s"), F.col("end").alias("e"))
 
 
-@query("SELECT key, okey, line, s, e FROM iv a WHERE a.s % 20 = 0 AND NOT EXISTS (SELECT 1 FROM iv b WHERE b.s % 20 = 0 AND b.key = a.key AND b.okey <> a.okey AND a.s < b.e AND b.s < a.e)", "iv")
+@query("WITH t AS (SELECT l_partkey AS part, CAST(CAST(l_shipdate AS DATE) - DATE '1992-01-01' AS BIGINT) AS s, CAST(CAST(l_shipdate AS DATE) - DATE '1992-01-01' AS BIGINT) + CAST(floor(l_quantity) AS BIGINT) AS e, l_orderkey AS okey FROM lineitem) SELECT part, okey, s, e FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.part = a.part AND b.okey <> a.okey AND a.s < b.e AND b.s < a.e)")
 def anti_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = intervals(spark, sf_dir).where("s % 20 = 0").select("key", "okey", "line", "s", "e")
-    return iv.without_overlaps(rows, "key", "okey", "s", "e", 32)
+    return iv.without_overlaps(intervals(spark, sf_dir, "l_partkey"), "key", "okey", "s", "e", 32).select(F.col("key").alias("part"), "okey", "s", "e")
 
 
 @query("WITH w AS (SELECT key, pos, pos // 3600 * 3600 AS start FROM pt), b AS (SELECT key, CAST(round_even((pos % 3600) / 128.0, 0) AS BIGINT) AS f, CAST(round_even((pos % 3600 + 140) / 128.0, 0) AS BIGINT) AS l, (pos % 3600) // 128 AS f2, CAST(ceil((pos % 3600 + 140) / 128.0) AS BIGINT) AS l2 FROM w), t AS (SELECT key, unnest(range(f, l)) AS bin, 'majority' AS mode FROM b UNION ALL SELECT key, unnest(range(f2, l2)), 'any' FROM b) SELECT key, bin, mode, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY ALL", "pt")
@@ -123,7 +122,7 @@ def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.runs(rows, F.col("v") < 50, "key", "at", 2).select("key", F.col("first.pos").alias("first"), F.col("last.pos").alias("last"), "n")
 
 
-@query("WITH t AS (SELECT okey, s, e, CAST(line AS DOUBLE) AS v FROM iv), b AS (SELECT okey, s AS at FROM t UNION SELECT okey, e FROM t), p AS (SELECT okey, at AS start, lead(at) OVER (PARTITION BY okey ORDER BY at) AS stop FROM b) SELECT p.okey AS key, p.start, p.stop AS \"end\", CAST(count(*) AS BIGINT) AS depth, round(avg(v), 6) AS mean FROM p JOIN t ON t.okey = p.okey AND t.s <= p.start AND t.e >= p.stop GROUP BY ALL", "iv")
+@query("WITH t AS (SELECT okey, s, e, CAST(line AS DOUBLE) AS v FROM iv), b AS (SELECT okey, s AS x FROM t UNION SELECT okey, e FROM t), p AS (SELECT okey, x AS start, lead(x) OVER (PARTITION BY okey ORDER BY x) AS stop FROM b) SELECT p.okey AS key, p.start, p.stop AS \"end\", CAST(count(*) AS BIGINT) AS depth, round(avg(v), 6) AS mean FROM p JOIN t ON t.okey = p.okey AND t.s <= p.start AND t.e >= p.stop GROUP BY ALL", "iv")
 def bedgraph_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = intervals(spark, sf_dir).select(F.col("okey").alias("key"), F.col("s").alias("start"), F.col("e").alias("end"), F.col("line").cast("double").alias("value"))
     return iv.disjoin(rows).select("key", "start", "end", "depth", F.round("mean", 6).alias("mean"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociframe.operators import metrics as mt
 from lociframe.plans.catalogue import points, query
 from lociframe.session import table
+from lociframe.streaming import metrics as st
 
 
 def _r(*names: str) -> list:
@@ -87,7 +88,7 @@ def quantile_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.join(mt.quantile_normalised(cells, ["key"], "m", "v", "median").select("key", "m", F.round("v", 6).alias("md")), ["key", "m"])
 
 
-@query(f"WITH c AS ({_CELLS}), r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY v, key) AS k FROM c), a AS (SELECT k, avg(v) AS v FROM r GROUP BY k), n AS (SELECT key, r.m, a.v, c2.v AS raw FROM r JOIN a ON a.k = r.k JOIN c c2 ON c2.key = r.key AND c2.m = r.m), d AS (SELECT key, m, v - avg(v) OVER (PARTITION BY key) AS y, raw - avg(raw) OVER (PARTITION BY key) AS p FROM n) SELECT m, CAST(count(*) AS BIGINT) AS n, round(corr(y, p), 6) AS pearsonr FROM d GROUP BY m", "")
+@query(f"WITH c AS ({_CELLS}), r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY v, key) AS k FROM c), a AS (SELECT k, avg(v) AS v FROM r GROUP BY k), n AS (SELECT r.key, r.m, a.v, c2.v AS raw FROM r JOIN a ON a.k = r.k JOIN c c2 ON c2.key = r.key AND c2.m = r.m), d AS (SELECT key, m, v - avg(v) OVER (PARTITION BY key) AS y, raw - avg(raw) OVER (PARTITION BY key) AS p FROM n) SELECT m, CAST(count(*) AS BIGINT) AS n, round(corr(y, p), 6) AS pearsonr FROM d GROUP BY m", "")
 def specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy per target of what is left when the row's mean over targets is taken off."""
     cells = _cells(spark, sf_dir)
@@ -121,3 +122,15 @@ def test_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("k"), (F.col("l_suppkey") % 10).alias("f"), "l_discount")
     return mt.mean_of_means(rows, ["k"], ["f"], "l_discount").select("k", *_r("mean", "sem"), "n")
+
+
+@query("WITH t AS (SELECT event_type AS k, date_trunc('day', ts) AS d, value AS y, CAST(user_id AS DOUBLE) AS p FROM events) SELECT k, strftime(d, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS n, round(CASE WHEN var_pop(y) > 0 AND var_pop(p) > 0 THEN corr(y, p) ELSE 0 END, 6) AS pearsonr FROM t GROUP BY ALL")
+def windowed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("k"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("y"), F.col("user_id").cast("double").alias("p"))
+    return st.windowed_accuracy(rows, "ts", ["k"], "y", "p").select("k", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", *_r("pearsonr"))
+
+
+@query("WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS o FROM events), s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS c FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, c")
+def session_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return st.session_sums(rows, "ts", ["user_id"], "value").select("user_id", F.unix_timestamp("start").alias("start"), "n", *_r("total"))

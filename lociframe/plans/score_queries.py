@@ -50,16 +50,17 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.coverage_ratio(_ref_alt(spark, sf_dir), ["key"], least=-1.0).select("key", F.round("COVR", 5).alias("COVR"))
 
 
-@query("WITH k AS (SELECT unnest(range(1, 100)) / 1000.0::DOUBLE AS p UNION ALL SELECT unnest(range(10, 90)) / 100.0::DOUBLE UNION ALL SELECT unnest(range(900, 1000)) / 1000.0::DOUBLE), o AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS k FROM k), v AS (SELECT l_returnflag AS target, list(l_extendedprice ORDER BY l_extendedprice) AS a, count(*) AS n FROM lineitem GROUP BY 1) SELECT target, CAST(k AS INTEGER) AS k, p AS percentile, round(a[CAST(floor(p * (n - 1)) AS BIGINT) + 1] + (p * (n - 1) - floor(p * (n - 1))) * (a[least(CAST(floor(p * (n - 1)) AS BIGINT) + 2, n)] - a[CAST(floor(p * (n - 1)) AS BIGINT) + 1]), 4) AS value FROM v, o")
+@query("WITH k AS (SELECT unnest(range(1, 100)) / 1000.0::DOUBLE AS p UNION ALL SELECT unnest(range(10, 90)) / 100.0::DOUBLE UNION ALL SELECT unnest(range(900, 1000)) / 1000.0::DOUBLE), o AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS k FROM k), v AS (SELECT l_returnflag AS target, list(l_extendedprice ORDER BY l_extendedprice) AS a, count(*) AS n FROM lineitem GROUP BY 1) SELECT target, CAST(k AS INTEGER) AS k, p AS percentile, round(a[CAST(floor(p * (n - 1)) AS BIGINT) + 1] + (p * (n - 1) - floor(p * (n - 1))) * (a[least(CAST(floor(p * (n - 1)) AS BIGINT) + 2, n)] - a[CAST(floor(p * (n - 1)) AS BIGINT) + 1]), 6) AS value FROM v, o")
 def percentile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("target"), F.col("l_extendedprice").alias("value"))
-    return sc.percentile_grid(rows, ["target"]).select("target", "k", "percentile", F.round("value", 4).alias("value"))
+    return sc.percentile_grid(rows, ["target"]).select("target", "k", "percentile", F.round("value", 6).alias("value"))
 
 
-@query()
+@query("WITH k AS (SELECT unnest(range(1, 100)) / 1000.0::DOUBLE AS p UNION ALL SELECT unnest(range(10, 90)) / 100.0::DOUBLE UNION ALL SELECT unnest(range(900, 1000)) / 1000.0::DOUBLE), v AS (SELECT l_returnflag AS target, list(l_extendedprice ORDER BY l_extendedprice) AS a, count(*) AS n FROM lineitem GROUP BY 1), g AS (SELECT target, p, round(a[CAST(floor(p * (n - 1)) AS BIGINT) + 1] + (p * (n - 1) - floor(p * (n - 1))) * (a[least(CAST(floor(p * (n - 1)) AS BIGINT) + 2, n)] - a[CAST(floor(p * (n - 1)) AS BIGINT) + 1]), 6) AS value FROM v, k), l AS (SELECT target, list(value ORDER BY p) AS g, list(p ORDER BY p) AS ps FROM g GROUP BY target) SELECT l_orderkey AS o, l_linenumber AS l, l_extendedprice AS value, ps[least(len(list_filter(g, lambda x: x < l_extendedprice)) + 1, 279)] AS percentile FROM lineitem JOIN l ON target = l_returnflag")
 def percentile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_returnflag").alias("target"), F.col("l_extendedprice").alias("value"))
-    return sc.percentile_of(rows, sc.percentile_grid(rows, ["target"]), ["target"]).select("o", "l", "percentile")
+    grid = sc.percentile_grid(rows, ["target"]).withColumn("value", F.round("value", 6))
+    return sc.percentile_of(rows, grid, ["target"]).select("o", "l", "value", "percentile")
 
 
 @query("WITH f AS (SELECT l_suppkey AS t, CASE WHEN l_suppkey % 3 = 0 THEN 'A' ELSE '-' END AS g, quantile_cont(l_extendedprice, 0.5) AS loc, (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / 2 AS scale FROM lineitem GROUP BY ALL), m AS (SELECT g, quantile_cont(loc, 0.5) AS gl, quantile_cont(scale, 0.5) AS gs FROM f GROUP BY g), q AS (SELECT l_orderkey AS o, l_linenumber AS l, gl, gs, 0.5 + atan((l_extendedprice - loc) / scale) / pi() AS q FROM lineitem JOIN f ON t = l_suppkey JOIN m ON m.g = f.g) SELECT o, l, round(gl + gs * tan(pi() * (CASE WHEN q > 0.5 THEN q - 1e-5 ELSE q + 1e-5 END - 0.5)), 3) AS normalised FROM q")
@@ -77,9 +78,9 @@ def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.ensemble(parts, ["o", "t"]).select("o", "t", F.round("value", 6).alias("value"))
 
 
-@query("WITH n AS (SELECT vec_id, embedding, label, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings WHERE vec_id < 200), r AS (SELECT a.vec_id AS snp_id, b.label AS target_id, b.vec_id AS partner, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (a.norm * b.norm) AS r FROM n a JOIN n b ON a.vec_id <> b.vec_id) SELECT snp_id, CAST(target_id AS INTEGER) AS target_id, round(sum(r * (partner % 10)), 5) AS score FROM r WHERE r > 0.2 GROUP BY ALL")
+@query("WITH n AS (SELECT vec_id, embedding, label, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings), r AS (SELECT a.vec_id AS snp_id, b.label AS target_id, b.vec_id AS partner, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (a.norm * b.norm) AS r FROM n a JOIN n b ON a.vec_id <> b.vec_id) SELECT snp_id, CAST(target_id AS INTEGER) AS target_id, round(sum(r * (partner % 10)), 5) AS score FROM r WHERE r > 0.2 GROUP BY ALL")
 def ld_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 200")  # the study's variants; all partners above the threshold count
+    rows = table(spark, sf_dir, "embeddings")
     ld = graph.cosine_pairs(rows, "vec_id", "embedding", 0.2)
     values = rows.select(F.col("vec_id").alias("snp_id"), F.col("label").alias("target_id"), (F.col("vec_id") % 10).alias("value"))
     done = sc.ld_weighted(ld.select(F.col("a").alias("snp_id"), F.col("b").alias("partner"), F.col("cosine").alias("r")), values)

@@ -56,18 +56,18 @@ def satmut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.saturation(_seqs(spark, sf_dir), "s", ["id"])
 
 
-_PWM = f"WITH t AS ({_SEQ}), e AS (SELECT id % 5 AS motif, unnest(range(0, 12)) AS pos, s FROM t), c AS (SELECT motif, pos, count(*) AS n, sum(CASE substr(s, pos + 1, 1) WHEN 'A' THEN 1.0::DOUBLE WHEN 'N' THEN 0.25 ELSE 0 END) AS a, sum(CASE substr(s, pos + 1, 1) WHEN 'C' THEN 1.0::DOUBLE WHEN 'N' THEN 0.25 ELSE 0 END) AS c, sum(CASE substr(s, pos + 1, 1) WHEN 'G' THEN 1.0::DOUBLE WHEN 'N' THEN 0.25 ELSE 0 END) AS g, sum(CASE substr(s, pos + 1, 1) WHEN 'T' THEN 1.0::DOUBLE WHEN 'N' THEN 0.25 ELSE 0 END) AS t FROM e GROUP BY ALL), w AS (SELECT motif, pos, nt, (x + 1) / (n + 4) AS freq FROM c, LATERAL (VALUES ('A', a), ('C', c), ('G', g), ('T', t)) v(nt, x))"
+_PWM = f"WITH t AS ({_SEQ}), e AS (SELECT id % 5 AS motif, unnest(range(0, length(s))) AS pos, s FROM t), c AS (SELECT motif, pos, count(*) AS n, sum(CASE substr(s, pos + 1, 1) WHEN 'A' THEN 1.0::DOUBLE WHEN 'N' THEN 0.25 ELSE 0 END) AS a, sum(CASE substr(s, pos + 1, 1) WHEN 'C' THEN 1.0::DOUBLE WHEN 'N' THEN 0.25 ELSE 0 END) AS c, sum(CASE substr(s, pos + 1, 1) WHEN 'G' THEN 1.0::DOUBLE WHEN 'N' THEN 0.25 ELSE 0 END) AS g, sum(CASE substr(s, pos + 1, 1) WHEN 'T' THEN 1.0::DOUBLE WHEN 'N' THEN 0.25 ELSE 0 END) AS t FROM e GROUP BY ALL), w AS (SELECT motif, pos, nt, (x + 1) / (n + 4) AS freq FROM c, LATERAL (VALUES ('A', a), ('C', c), ('G', g), ('T', t)) v(nt, x))"
 
 
 @query(f"{_PWM} SELECT motif, CAST(pos AS INTEGER) AS pos, nt, round(freq, 8) AS freq FROM w")
 def pwm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _seqs(spark, sf_dir).select((F.col("id") % 5).alias("motif"), F.left("s", F.lit(12)).alias("s"))
+    rows = _seqs(spark, sf_dir).select((F.col("id") % 5).alias("motif"), "s")
     return sq.position_weights(rows, "s", ["motif"]).select("motif", "pos", "nt", F.round("freq", 8).alias("freq"))
 
 
 @query(f"{_PWM} SELECT motif, round(sum(freq * log2(freq + 1e-9) - CASE WHEN nt IN ('C', 'G') THEN 0.415 * log2(0.415) ELSE 0.585 * log2(0.585) END), 6) AS bits FROM w GROUP BY motif")
 def pwm_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _seqs(spark, sf_dir).select((F.col("id") % 5).alias("motif"), F.left("s", F.lit(12)).alias("s"))
+    rows = _seqs(spark, sf_dir).select((F.col("id") % 5).alias("motif"), "s")
     return sq.information(sq.position_weights(rows, "s", ["motif"]), ["motif"]).select("motif", F.round("bits", 6).alias("bits"))
 
 

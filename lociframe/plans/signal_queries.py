@@ -62,10 +62,10 @@ def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sg.gaussian(held, 1.5, "key", "pos", "v").select("key", "pos", *_r("smooth"))
 
 
-@query("WITH s AS (SELECT DISTINCT key, pos AS site FROM pt WHERE id % 25 = 0) SELECT s.key, site, round(sum(exp(-0.5 * pow((pos - site) / 3600.0, 2)) * v) / sum(exp(-0.5 * pow((pos - site) / 3600.0, 2))), 6) AS score FROM s JOIN pt ON pt.key = s.key AND abs(pos - site) <= 14400 GROUP BY ALL", "pt")
+@query("WITH s AS (SELECT DISTINCT key, pos AS site FROM pt) SELECT s.key, site, round(sum(exp(-0.5 * pow((pos - site) / 3600.0, 2)) * v) / sum(exp(-0.5 * pow((pos - site) / 3600.0, 2))), 6) AS score FROM s JOIN pt ON pt.key = s.key AND abs(pos - site) <= 14400 GROUP BY ALL", "pt")
 def score_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir)
-    sites = rows.where("id % 25 = 0").select("key", F.col("pos").alias("site")).distinct()
+    sites = rows.select("key", F.col("pos").alias("site")).distinct()
     return sg.smoothed_at(rows, sites, 3600, "key", "pos", "v").select("key", "site", *_r("score"))
 
 

@@ -27,12 +27,12 @@ def quota_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.quota_split(spans, {"train": 0.8, "valid": 0.1, "test": 0.1})
 
 
-@query("WITH seg AS (SELECT key, min(s) AS a, max(e) AS b, CASE WHEN key % 10 = 0 THEN 'test' WHEN key % 10 = 1 THEN 'valid' ELSE 'train' END AS split FROM iv GROUP BY key), p AS (SELECT okey, line, key AS ak, s, e, 1 + (key * 3 + line) % 50 AS bk FROM iv), x AS (SELECT p.okey, p.line, g.split, sum(least(p.e, g.b) - greatest(p.s, g.a)) AS bp FROM p JOIN seg g ON g.key = p.ak AND p.s < g.b AND g.a < p.e GROUP BY ALL), y AS (SELECT p.okey, p.line, g.split, sum(least(p.e, g.b) - greatest(p.s, g.a)) AS bp FROM p JOIN seg g ON g.key = p.bk AND p.s < g.b AND g.a < p.e GROUP BY ALL) SELECT x.split AS a_split, y.split AS b_split, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(p.e - p.s) AS BIGINT) AS bases FROM x JOIN y ON y.okey = x.okey AND y.line = x.line JOIN p ON p.okey = x.okey AND p.line = x.line GROUP BY ALL", "iv")
+@query("WITH seg AS (SELECT key, min(s) AS a, max(e) AS b, CASE WHEN key % 10 = 0 THEN 'test' WHEN key % 10 = 1 THEN 'valid' ELSE 'train' END AS split FROM iv GROUP BY key), p AS (SELECT DISTINCT struct_pack(o := okey, l := line, k := key, s := s, e := e) AS id, key AS ak, s, e, 1 + (key * 3 + line) % 50 AS bk FROM iv), x AS (SELECT p.id, g.split, sum(least(p.e, g.b) - greatest(p.s, g.a)) AS bp FROM p JOIN seg g ON g.key = p.ak AND p.s < g.b AND g.a < p.e GROUP BY ALL), y AS (SELECT p.id, g.split, sum(least(p.e, g.b) - greatest(p.s, g.a)) AS bp FROM p JOIN seg g ON g.key = p.bk AND p.s < g.b AND g.a < p.e GROUP BY ALL) SELECT x.split AS a_split, y.split AS b_split, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(p.e - p.s) AS BIGINT) AS bases FROM x JOIN y ON y.id = x.id JOIN p ON p.id = x.id GROUP BY ALL", "iv")
 def leakage_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = intervals(spark, sf_dir)
     split = F.when(F.col("key") % 10 == 0, "test").when(F.col("key") % 10 == 1, "valid").otherwise("train")
     segments = rows.groupBy("key").agg(F.min("s").alias("start"), F.max("e").alias("end")).withColumn("split", split)
-    pairs = rows.select(F.struct("okey", "line").alias("id"), F.col("key").alias("a_key"), F.col("s").alias("a_start"), F.col("e").alias("a_end"), (1 + (F.col("key") * 3 + F.col("line")) % 50).alias("b_key"), F.col("s").alias("b_start"), F.col("e").alias("b_end"))
+    pairs = rows.select(F.struct("okey", "line", "key", "s", "e").alias("id"), F.col("key").alias("a_key"), F.col("s").alias("a_start"), F.col("e").alias("a_end"), (1 + (F.col("key") * 3 + F.col("line")) % 50).alias("b_key"), F.col("s").alias("b_start"), F.col("e").alias("b_end")).distinct()
     return sp.leakage(pairs, segments)
 
 
@@ -48,12 +48,12 @@ def sample_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.within_budget(rows, 2000, "g", [F.desc("g")]).groupBy("g").agg(F.count("*").alias("n"))
 
 
-@query("WITH m AS (SELECT l_suppkey AS k, max(l_extendedprice) AS m FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey AS o, l_linenumber AS l, l_suppkey AS k, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS r, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT o, l, v >= 0.666 * m AS near_top, r <= greatest(floor(n * 0.02), 1) AS top FROM r JOIN m ON m.k = r.k WHERE v >= 0.666 * m OR r <= greatest(floor(n * 0.02), 1)")
+@query("WITH m AS (SELECT l_suppkey AS k, max(l_extendedprice) AS m FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey AS o, l_linenumber AS l, l_suppkey AS k, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS r, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT o, l, r.k, v, bool_or(v >= 0.666 * m) AS near_top, bool_or(r <= greatest(floor(n * 0.02), 1)) AS top FROM r JOIN m ON m.k = r.k WHERE v >= 0.666 * m OR r <= greatest(floor(n * 0.02), 1) GROUP BY ALL")
 def top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_suppkey").alias("k"), F.col("l_extendedprice").alias("v"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    a = sp.near_top(rows, ["k"], "v").select("o", "l", F.lit(True).alias("a"))
-    b = sp.top_share(rows, ["k"], "v", 0.02, "id").select("o", "l", F.lit(True).alias("b"))
-    return a.join(b, ["o", "l"], "full").select("o", "l", F.coalesce("a", F.lit(False)).alias("near_top"), F.coalesce("b", F.lit(False)).alias("top"))
+    a = sp.near_top(rows, ["k"], "v").select("o", "l", "k", "v", F.lit(True).alias("near_top"), F.lit(False).alias("top"))
+    b = sp.top_share(rows, ["k"], "v", 0.02, "id").select("o", "l", "k", "v", F.lit(False).alias("near_top"), F.lit(True).alias("top"))
+    return a.unionByName(b).groupBy("o", "l", "k", "v").agg(F.bool_or("near_top").alias("near_top"), F.bool_or("top").alias("top"))
 
 
 @query("SELECT l_orderkey AS o, l_linenumber AS l, CAST((row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1) // 256 AS BIGINT) AS shard FROM lineitem")
@@ -79,7 +79,7 @@ def shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
     nodes = rows.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return graph.labelled(nodes, rows)
 
@@ -96,10 +96,10 @@ def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).groupBy("key", (F.floor(F.col("pos") / 3600) % 24).alias("i")).agg(F.sum("v").alias("v"))
 
 
-@query(f"WITH h AS ({_HOURS}) SELECT a.key, a.i, b.i AS j, abs(a.i - b.i) AS apart, round((a.v + b.v) / 2, 5) AS mean, round(greatest(a.v, b.v), 5) AS most, round(a.v * b.v, 3) AS dot FROM h a JOIN h b ON b.key = a.key WHERE b.i - a.i >= 2", "pt")
+@query(f"WITH h AS ({_HOURS}) SELECT a.key, a.i, b.i AS j, abs(a.i - b.i) AS apart, round((a.v + b.v) / 2, 6) AS mean, round(greatest(a.v, b.v), 6) AS most, round(a.v * b.v, 6) AS dot FROM h a JOIN h b ON b.key = a.key WHERE b.i - a.i >= 2", "pt")
 def pairwise_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = ct.upper_triangle(ct.outer(_hours(spark, sf_dir), ["key"], "i", "v"), 2)
-    return done.select("key", "i", "j", "apart", F.round("mean", 5).alias("mean"), F.round("max", 5).alias("most"), F.round("dot", 3).alias("dot"))
+    return done.select("key", "i", "j", "apart", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("most"), F.round("dot", 6).alias("dot"))
 
 
 @query(f"WITH h AS ({_HOURS}), m AS (SELECT a.key, a.i, b.i AS j, a.v * b.v AS v FROM h a JOIN h b ON b.key = a.key), d AS (SELECT key, abs(i - j) AS d, avg(v) AS v FROM m GROUP BY ALL) SELECT m.key, m.i, m.j, round(m.v / nullif(d.v, 0), 4) AS v FROM m JOIN d ON d.key = m.key AND d.d = abs(m.i - m.j) WHERE m.i <= m.j", "pt")

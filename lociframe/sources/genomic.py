@@ -227,7 +227,7 @@ def aligned_pairs(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["chrom", "start", "end", "other_chrom", "other_start", "other_end"])
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(over, "chrom string, start bigint, end bigint, other_chrom string, other_start bigint, other_end bigint")
+    return spark.read.text(path, wholetext=True).mapInArrow(over, "chrom string, start bigint, end bigint, other_chrom string, other_start bigint, other_end bigint")
 
 
 def motif_proteins(spark: SparkSession, path: str) -> DataFrame:
@@ -263,7 +263,7 @@ def write_examples(df: DataFrame, path: str, label: str = "label", shard: str =
 
 def statistics(df: DataFrame, label: str = "label", **geometry: int) -> DataFrame:
     """One row: the geometry, and how many sequences each label has."""
-    return df.groupBy().pivot(label).agg(F.count("*")).select(*[F.lit(v).alias(k) for k, v in geometry.items()], *[F.col(f"`{c}`").alias(f"{c}_seqs") for c in [r[0] for r in df.select(label).distinct().orderBy(label).collect()]])
+    return df.groupBy().pivot(label).agg(F.count(F.lit(1))).select(*[F.lit(v).alias(k) for k, v in geometry.items()], *[F.col(f"`{c}`").alias(f"{c}_seqs") for c in [r[0] for r in df.select(label).distinct().orderBy(label).collect()]])
 
 
 def write_statistics(df: DataFrame, path: str) -> None:
