@@ -17,42 +17,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import BLANKS, cut
+from lociframe.llm.repeats import bitmap, mark
 
 #: Characters whose hash refines a length group.
 PREFIX = 64
 
-#: The bitmap of surviving groups: 2**BITS bits in rows of 32768, one megabyte at most whatever the input.
-BITS, ROW_BITS = 23, 15
-
-
 def normal(text: str) -> Column:
     """The text without blanks."""
     return reduce(lambda c, x: F.replace(c, F.lit(x)), BLANKS, F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-def _place(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(1 << BITS))
-
-
-def _refined(docs: DataFrame, text: str) -> DataFrame:
-    """The bitmap of (length, prefix hash) groups with more than one row, as (row, bits)."""
-    seen = cut(docs.select(F.octet_length("`__normal`").alias("length"), F.xxhash64(F.substring("`__normal`", 1, PREFIX)).alias("prefix")))
-    lengths = seen.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length")
-    groups = seen.join(lengths, "length", "left_semi").groupBy("length", "prefix").agg(F.count("*").alias("n")).where("n > 1")
-    place = groups.select(_place(F.col("length"), F.col("prefix")).alias("place"))
-    return place.groupBy(F.shiftright("place", ROW_BITS).alias("__row")).agg(F.expr(f"bitmap_construct_agg(place % {1 << ROW_BITS})").alias("__bits"))
+def _key() -> list[Column]:
+    return [F.octet_length("__normal"), F.xxhash64(F.substring("__normal", 1, PREFIX))]
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __normal, and __hit: whether the row's length and prefix hash occur more than once."""
     made = docs.withColumn("__normal", normal(text))
-    bits = _refined(made, text)
-    placed = made.withColumn("__place", _place(F.octet_length("__normal"), F.xxhash64(F.substring("__normal", 1, PREFIX))))
-    placed = placed.withColumn("__row", F.shiftright("__place", ROW_BITS)).withColumn("__at", F.col("__place") % (1 << ROW_BITS))
-    found = placed.join(F.broadcast(bits), "__row", "left")
-    byte = F.expr("cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = F.coalesce(F.expr("__bits is not null"), F.lit(False)) & (F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1)
-    return found.withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__place", "__row", "__at", "__bits")
+    length, prefix = _key()
+    # counted by both at once, so that many copies are few rows before anything is joined by length
+    seen = cut(made.groupBy(length.alias("length"), prefix.alias("prefix")).agg(F.count("*").alias("n")))
+    lengths = seen.groupBy("length").agg(F.sum("n").alias("rows")).where("rows > 1").select("length")
+    groups = seen.join(lengths, "length", "left_semi").where("n > 1").select("length", "prefix")
+    return mark(made, _key(), bitmap(groups))
 
 
 def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
@@ -67,7 +54,7 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", digest
         )
     )
     groups = rows.where("__hit").groupBy("full").agg(F.max(F.struct("size", (-F.col("id")).alias("id"), (-F.col("uid")).alias("uid"))).alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("full", (-F.col("best.id")).alias("keep_id"), (-F.col("best.uid")).alias("best"), "group_size")
+    groups = cut(groups).select("full", (-F.col("best.id")).alias("keep_id"), (-F.col("best.uid")).alias("best"), "group_size")
     extra = [F.col("full").alias(digest)] if digest else []
     one = [F.col("id").alias(id)]
     alone = rows.where(~F.col("__hit")).select(*one, F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), *extra)
