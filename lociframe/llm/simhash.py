@@ -367,7 +367,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     planned = planner(*agreement(distinct, bits)) if planner else None
     roots = components(links(distinct, distance, bits, planned)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # on its own, so that a hot root's join can be split
     named = rooted.join(ids, "root").select("fp", "component_id")
     return rows.drop("component_id").join(named, "fp")
 
