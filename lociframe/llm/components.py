@@ -1,31 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from lociframe.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lociframe.llm.common import cut
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first())
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(u, v): each node that has an edge, but for the smallest of its component, and that smallest node. Loops and
-    edges with a null end count for nothing. Each round is kept in the shared folder; the rounds end when one changes
-    nothing."""
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("whole"))
-    e = cut(e.where("whole and u != v").select("u", "v").distinct())
-    state = _state(e)
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        first = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(first, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = cut(small.unionByName(first.select("u", F.col("m").alias("v"))).distinct())
-        if (now := _state(e)) == state:
-            return e
-        state = now
+__all__ = ["components"]
