@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.checkpoint import cut
+from lociframe.operators.intervals import overlap_join
+from lociframe.operators.ordered import running_sums
 from lociframe.operators.signal import hard_clip
 
 LENGTH_STATS = ("SAD", "logSAD", "sqrtSAD", "SAX", "D1", "logD1", "sqrtD1", "D2", "logD2", "sqrtD2", "JS", "logJS", "REF", "ALT")
@@ -119,20 +122,37 @@ def grid() -> list[float]:
     return [k / 1000 for k in range(1, 100)] + [k / 100 for k in range(10, 90)] + [k / 1000 for k in range(900, 1000)]
 
 
-def percentile_grid(df: DataFrame, target: list[str], value: str = "value") -> DataFrame:
-    """(target, k, percentile, value): the grid over all rows of each target, by interpolation."""
-    points = grid()
-    made = df.groupBy(*target).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("g"))
-    at = F.split(F.lit(",".join(map(str, points))), ",").cast("array<double>")
-    return made.select(*target, F.posexplode("g").alias("k", "value")).withColumn("percentile", F.element_at(at, F.col("k") + 1))
-
-
-def percentile_of(scores: DataFrame, grids: DataFrame, target: list[str], value: str = "value") -> DataFrame:
-    """scores with the percentile where the value would be inserted on the left, at most the last. Grids are one array
-    for each target."""
-    arrays = grids.groupBy(*target).agg(F.sort_array(F.collect_list(F.struct("k", F.col("value").alias("v"), "percentile"))).alias("__g"))
-    below = F.size(F.filter("__g", lambda x: x["v"] < F.col(value)))
-    return scores.join(arrays, target).withColumn("percentile", F.element_at("__g", F.least(below + 1, F.size("__g")))["percentile"]).drop("__g")
+def percentile_grid(df: DataFrame, target: list[str], value: str = "value", spread: bool = True) -> DataFrame:
+    """(target, k, percentile, value): the grid over all rows of each target, by interpolation. Distinct values are
+    counted and ranked (spread: over any number of tasks), and each point takes the two values around its rank, so no task
+    holds a target's values."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*target, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    ranked = running_sums(counted, target, "__v", {"__upto": "__n"}, spread)
+    key = F.struct(*target)
+    at = F.split(F.lit(",".join(map(str, grid()))), ",").cast("array<double>")
+    points = df.where(F.col(value).isNotNull()).groupBy(*target).agg(F.count("*").alias("__rows")).select(key.alias("key"), "__rows", F.posexplode(at).alias("k", "percentile"))
+    points = points.withColumn("__at", F.col("percentile") * (F.col("__rows") - 1))
+    wanted = points.select("key", "k", "percentile", (F.col("__at") - F.floor("__at")).alias("__part"), F.explode(F.array(F.struct(F.floor("__at").alias("r"), F.lit(0).alias("side")), F.struct(F.least(F.floor("__at") + 1, F.col("__rows") - 1).alias("r"), F.lit(1).alias("side")))).alias("w"))
+    wanted = wanted.select("key", "k", "percentile", "__part", "w.side", F.col("w.r").alias("b_start"), (F.col("w.r") + 1).alias("b_end"))
+    held = ranked.select(key.alias("key"), "__v", (F.col("__upto") - F.col("__n")).alias("a_start"), F.col("__upto").alias("a_end"))
+    met = overlap_join(held, wanted, width=4096)
+    low, high = F.max(F.when(F.col("side") == 0, F.col("__v"))), F.max(F.when(F.col("side") == 1, F.col("__v")))
+    done = met.groupBy("key", "k", "percentile", "__part").agg(low.alias("__a"), high.alias("__b"))
+    return done.select("key.*", "k", "percentile", (F.col("__a") + F.col("__part") * (F.col("__b") - F.col("__a"))).alias("value"))
+
+
+def percentile_of(scores: DataFrame, grids: DataFrame, target: list[str], value: str = "value", spread: bool = False) -> DataFrame:
+    """scores with the percentile where the value would be inserted on the left, at most the last: distinct values and grid
+    points are ordered together once and the points below each are counted. A null has none."""
+    grids = cut(grids)  # asked for several times; a few hundred rows for each target
+    points = grids.select(*target, F.col("value").alias(value), F.lit(1).alias("__g"))
+    asked = scores.where(F.col(value).isNotNull()).select(*target, value).distinct().withColumn("__g", F.lit(0))
+    counted = points.unionByName(asked).groupBy(*target, value).agg(F.sum("__g").alias("__g"))
+    below = running_sums(counted, target, value, {"__upto": "__g"}, spread).select(*target, value, (F.col("__upto") - F.col("__g")).alias("__below"))
+    last = grids.groupBy(*target).agg(F.max("k").alias("__last"))
+    ranks = below.join(last, target).select(*target, value, F.least("__below", "__last").alias("k"))
+    found = ranks.join(grids.select(*target, "k", "percentile"), [*target, "k"]).drop("k")
+    return scores.join(found, [*target, value], "left")
 
 
 def fit_cauchy(df: DataFrame, target: list[str], value: str = "value") -> DataFrame:

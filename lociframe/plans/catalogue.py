@@ -51,5 +51,5 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").alias("pos"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("value").alias("v"))
 
 
-for _module in ("interval_queries", "signal_queries", "metric_queries", "score_queries", "sequence_queries", "split_queries"):
+for _module in ("interval_queries", "signal_queries", "metric_queries", "score_queries", "sequence_queries", "split_queries", "gene_queries"):
     import_module(f"lociframe.plans.{_module}")
