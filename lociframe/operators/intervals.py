@@ -2,7 +2,8 @@
 
 Joins never leave the key: both sides are filed under fixed-width bins of the coordinate, the equi-join on (key, bin)
 spreads a hot key over its bins, and a pair counts only in the bin where the later of both starts lies, so no distinct is
-needed. Everything else is one window or one aggregation by key.
+needed. Sweeps (merge, rejoin, chain, runs, disjoin) take one window by key, or with spread ranges of it, for keys too large
+for one task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.operators.ordered import dealt, running
+
 
 def _bins(start: Column, end: Column, width: int) -> Column:
     last = F.greatest(end - 1, start)
@@ -41,12 +44,18 @@ def containment_join(windows: DataFrame, points: DataFrame, key: str = "key", st
     return filed.join(placed, [key, "__bin"]).where((F.col(pos) > F.col(start) + margin) & (F.col(pos) < F.col(end) - margin)).drop("__bin")
 
 
-def merge(df: DataFrame, key: str = "key", start: str = "start", end: str = "end", touching: bool = True) -> DataFrame:
-    """The union of each key's intervals; touching: [0,5) and [5,9) become one."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.col(start) <= reach if touching else F.col(start) < reach, 0).otherwise(1)
-    marked = df.withColumn("__open", opens).withColumn("__island", F.sum("__open").over(w))
+def _islands(df: DataFrame, key: str, order: list[str], opens: Column, spread: bool) -> DataFrame:
+    """A dealt table with __island: how many rows have opened one, up to each."""
+    marked = df.withColumn("__open", opens)
+    return running(marked, [key], order, {"__island": ("sum", F.col("__open"))}, spread).withColumn("__island", F.col("__island") + F.col("__open")).drop("__open", "__part")
+
+
+def merge(df: DataFrame, key: str = "key", start: str = "start", end: str = "end", touching: bool = True, spread: bool = False) -> DataFrame:
+    """The union of each key's intervals; touching: [0,5) and [5,9) become one. spread: a key may span any number of
+    tasks, as only one row of each range of starts meets the others."""
+    d = running(dealt(df, [key], start, spread), [key], [start, end], {"__reach": ("max", F.col(end))}, spread)
+    opens = F.when(F.col(start) <= F.col("__reach") if touching else F.col(start) < F.col("__reach"), 0).otherwise(1)
+    marked = _islands(d, key, [start, end], opens, spread)
     return marked.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
 
 
@@ -73,11 +82,10 @@ def tile(df: DataFrame, length: int, stride: int, start: str = "start", end: str
     return df.select(*rest, F.explode(at).alias(start)).withColumn(end, F.col(start) + length)
 
 
-def rejoin(df: DataFrame, key: str = "key", start: str = "start", end: str = "end") -> DataFrame:
+def rejoin(df: DataFrame, key: str = "key", start: str = "start", end: str = "end", spread: bool = False) -> DataFrame:
     """Intervals that end where the next begins become one."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    opens = F.when(F.lag(end).over(w) == F.col(start), 0).otherwise(1)
-    marked = df.withColumn("__open", opens).withColumn("__island", F.sum("__open").over(w))
+    d = running(dealt(df, [key], start, spread), [key], [start, end], {"__last": ("last", F.col(end))}, spread)
+    marked = _islands(d, key, [start, end], F.when(F.col("__last") == F.col(start), 0).otherwise(1), spread)
     return marked.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
@@ -134,11 +142,11 @@ def masked_bins(windows: DataFrame, regions: DataFrame, pool: int, key: str = "k
     return met.withColumn("bin", F.explode(F.sequence("__first", F.col("__last") - 1))).drop("__f", "__l", "__s", "__e", "__first", "__last", "overlap", "r_start", "r_end").distinct()
 
 
-def chain(df: DataFrame, distance: int, key: str = "key", pos: str = "pos") -> DataFrame:
-    """Cluster numbers (from 1 in each key): rows closer than the distance to their neighbour are linked."""
-    w = Window.partitionBy(key).orderBy(pos)
-    gap = F.col(pos) - F.lag(pos).over(w)
-    return df.withColumn("__open", F.when(gap < distance, 0).otherwise(1)).withColumn("cluster", F.sum("__open").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__open")
+def chain(df: DataFrame, distance: int, key: str = "key", pos: str = "pos", spread: bool = False) -> DataFrame:
+    """Cluster numbers (from 1 in each key): rows closer than the distance (at least 1) to their neighbour are linked."""
+    d = running(dealt(df, [key], pos, spread), [key], [pos], {"__last": ("last", F.col(pos))}, spread)
+    marked = _islands(d, key, [pos], F.when(F.col(pos) - F.col("__last") < distance, 0).otherwise(1), spread)
+    return marked.withColumnRenamed("__island", "cluster").drop("__last")
 
 
 def greedy(df: DataFrame, reach: float, key: str = "key", pos: str = "pos") -> DataFrame:
@@ -173,21 +181,21 @@ def running_mean_clusters(df: DataFrame, distance: float, key: str = "key", pos:
     return folded.select(key, F.explode(out).alias("c")).select(key, (F.col("c.total") / F.col("c.n")).alias("mean"), F.col("c.n").alias("n"))
 
 
-def runs(df: DataFrame, low: Column, key: str = "key", pos: str = "pos", min_rows: int = 1) -> DataFrame:
+def runs(df: DataFrame, low: Column, key: str = "key", pos: str = "pos", min_rows: int = 1, spread: bool = False) -> DataFrame:
     """(key, first, last, n) of runs of neighbouring rows where low holds; the last run counts as well."""
-    w = Window.partitionBy(key).orderBy(pos)
-    marked = df.withColumn("__low", F.coalesce(low, F.lit(False))).withColumn("__n", F.row_number().over(w))
-    kept = marked.where("__low").withColumn("__run", F.col("__n") - F.row_number().over(w))
+    marked = dealt(df.withColumn("__low", F.coalesce(low, F.lit(False))), [key], pos, spread)
+    high = F.when(F.col("__low"), 0).otherwise(1)
+    kept = running(marked, [key], [pos], {"__run": ("sum", high)}, spread).where("__low")  # rows of a run have as many high ones before them
     return kept.groupBy(key, "__run").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count("*").alias("n")).where(F.col("n") >= min_rows).drop("__run")
 
 
-def disjoin(df: DataFrame, key: str = "key", start: str = "start", end: str = "end", value: str = "value") -> DataFrame:
+def disjoin(df: DataFrame, key: str = "key", start: str = "start", end: str = "end", value: str = "value", spread: bool = False) -> DataFrame:
     """Overlapping valued intervals as disjoint ones with the mean of what covers them: a sweep over starts and ends, so
     the work grows with the rows, not with their overlaps."""
     ends = df.select(key, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("n"), F.col(value).alias("v")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("n"), (-F.col(value)).alias("v")))).alias("x"))
     steps = ends.groupBy(key, "x.at").agg(F.sum("x.n").alias("n"), F.sum("x.v").alias("v"))
-    w = Window.partitionBy(key).orderBy("at")
-    swept = steps.select(key, F.col("at").alias(start), F.lead("at").over(w).alias(end), F.sum("n").over(w).alias("depth"), F.sum("v").over(w).alias("__total"))
+    swept = running(dealt(steps, [key], "at", spread), [key], ["at"], {"__depth": ("sum", F.col("n")), "__total": ("sum", F.col("v")), "__next": ("next", F.col("at"))}, spread)
+    swept = swept.select(key, F.col("at").alias(start), F.col("__next").alias(end), (F.col("__depth") + F.col("n")).alias("depth"), (F.col("__total") + F.col("v")).alias("__total"))
     return swept.where((F.col("depth") > 0) & F.col(end).isNotNull()).withColumn("mean", F.col("__total") / F.col("depth")).drop("__total")
 
 

@@ -102,3 +102,27 @@ def test_unsorted_rows_are_an_error(spark):
     for bad in ([(1, "a", 7), (2, "a", 5)], [(1, "a", 1), (2, "b", 1), (3, "a", 2)]):
         with pytest.raises(Exception, match="not sorted"):
             sp.assert_sorted(spark.createDataFrame(bad, "n int, key string, pos bigint"), "n", "key", "pos").collect()
+
+
+def random_rows(n=200):
+    rnd = random.Random(n)
+    return [(rnd.choice("aaab"), s := rnd.randrange(n), s + rnd.randrange(1, 6)) for _ in range(n)]
+
+
+def test_sweeps_over_several_tasks(spark):
+    """With spread, a key's rows are in several parts; the results are the same."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = frame(spark, random_rows()).withColumn("value", (F.col("start") % 7).cast("double")).repartition(5)
+    pieces = frame(spark, [(k, 3 * i, 3 * i + 3) for k in "ab" for i in range(60) if i % 9])
+    starts = df.select("key", F.col("start").alias("pos")).distinct()
+    low = F.col("pos") % 5 > 1
+    for f in (
+        lambda x: iv.merge(df, spread=x), lambda x: iv.merge(df, touching=False, spread=x), lambda x: iv.rejoin(pieces, spread=x),
+        lambda x: iv.chain(starts, 2, spread=x), lambda x: iv.runs(starts, low, spread=x), lambda x: iv.disjoin(df, spread=x),
+    ):
+        one, many = f(False), f(True)
+        assert sorted(map(repr, many.select(*one.columns).collect())) == sorted(map(repr, one.collect()))
+    from lociframe.operators.ordered import dealt
+
+    assert dealt(df, ["key"], "start", True).where("key = 'a'").select("__part").distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
