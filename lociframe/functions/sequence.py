@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NUCLEOTIDES = "ACGT"
@@ -118,8 +118,8 @@ def position_weights(df: DataFrame, seq: str, keys: list[str], pseudo: float = 1
     """(keys, pos, nt, freq): frequencies by position, with a pseudocount for each cell; other letters count a quarter
     each."""
     each = df.select(*keys, F.posexplode(letters(F.upper(F.col(seq)))).alias("pos", "c"))
-    counted = each.groupBy(*keys, "pos").agg(F.count("*").alias("n"), *[(F.sum(F.when(F.col("c") == x, 1.0).when(F.col("c").isin(*NUCLEOTIDES), 0.0).otherwise(0.25)) + pseudo).alias(x) for x in NUCLEOTIDES])
-    long = counted.select(*keys, "pos", F.explode(F.array(*[F.struct(F.lit(x).alias("nt"), (F.col(x) / (F.col("n") + 4 * pseudo)).alias("freq")) for x in NUCLEOTIDES])).alias("x"))
+    counted = each.groupBy(*keys, "pos").agg(F.count("*").alias("__n"), *[(F.sum(F.when(F.col("c") == x, 1.0).when(F.col("c").isin(*NUCLEOTIDES), 0.0).otherwise(0.25)) + pseudo).alias(f"__{x}") for x in NUCLEOTIDES])
+    long = counted.select(*keys, "pos", F.explode(F.array(*[F.struct(F.lit(x).alias("nt"), (F.col(f"__{x}") / (F.col("__n") + 4 * pseudo)).alias("freq")) for x in NUCLEOTIDES])).alias("x"))
     return long.select(*keys, "pos", "x.nt", "x.freq")
 
 
@@ -133,10 +133,10 @@ def information(df: DataFrame, keys: list[str], gc: float = 0.415, halved: bool
 def nucleotide_frequencies(df: DataFrame, seq: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, nt, freq): share of each nucleotide, with one added to each count."""
     keys = keys or []
-    counts = [F.sum(F.length(seq) - F.length(F.replace(F.upper(F.col(seq)), F.lit(x)))).alias(x) for x in NUCLEOTIDES]
+    counts = [F.sum(F.length(seq) - F.length(F.replace(F.upper(F.col(seq)), F.lit(x)))).alias(f"__{x}") for x in NUCLEOTIDES]
     summed = (df.groupBy(*keys) if keys else df.groupBy()).agg(*counts)
-    total = sum((F.coalesce(F.col(x), F.lit(0)) for x in NUCLEOTIDES[1:]), F.coalesce(F.col("A"), F.lit(0))) + 4
-    long = summed.select(*keys, F.explode(F.array(*[F.struct(F.lit(x).alias("nt"), ((F.coalesce(F.col(x), F.lit(0)) + 1) / total).alias("freq")) for x in NUCLEOTIDES])).alias("x"))
+    total = sum((F.coalesce(F.col(f"__{x}"), F.lit(0)) for x in NUCLEOTIDES[1:]), F.coalesce(F.col("__A"), F.lit(0))) + 4
+    long = summed.select(*keys, F.explode(F.array(*[F.struct(F.lit(x).alias("nt"), ((F.coalesce(F.col(f"__{x}"), F.lit(0)) + 1) / total).alias("freq")) for x in NUCLEOTIDES])).alias("x"))
     return long.select(*keys, "x.nt", "x.freq")
 
 
@@ -164,3 +164,56 @@ def leading_parenthesis(name: Column) -> Column:
 def without_version(id: Column) -> Column:
     """Without what follows the last dot."""
     return F.regexp_replace(id, r"\.[^.]*$", "")
+
+
+def all_kmers(spark: SparkSession, k: int, pseudo: float = 1.0) -> DataFrame:
+    """(kmer, n): every k-mer, with its pseudocount; the letters are the digits of its number."""
+    digits = F.transform(F.sequence(F.lit(k - 1), F.lit(0)), lambda i: F.substring(F.lit(NUCLEOTIDES), (F.floor(F.col("id") / F.pow(F.lit(4.0), i)) % 4 + 1).cast("int"), F.lit(1)))
+    return spark.range(4**k).select(F.array_join(digits, "").alias("kmer"), F.lit(pseudo).alias("n"))
+
+
+def centred_windows(seq: Column, pos: Column, size: int) -> Column:
+    """The letters around a position, with N beyond the ends."""
+    start = pos - size // 2
+    return window(seq, start, start + size)
+
+
+def activating_windows(df: DataFrame, seq: str, pos: str, value: str, size: int, group: list[str], share: float | None = None, above: float | None = None) -> DataFrame:
+    """Windows around positions whose value is above a threshold: a fixed one, or the group's mean plus the share of what
+    its largest value has over it."""
+    if above is not None:
+        kept = df.where(F.col(value) > above)
+    else:
+        tops = df.groupBy(*group).agg(F.avg(value).alias("__m"), F.max(value).alias("__x"))
+        kept = df.join(tops, group).where(F.col(value) > F.col("__m") + share * (F.col("__x") - F.col("__m"))).drop("__m", "__x")
+    return kept.withColumn("kmer", centred_windows(F.col(seq), F.col(pos), size))
+
+
+def aligned(df: DataFrame, id: str, seq: str, shift: int = 1, rounds: int = 2, pseudo: float = 1.0) -> DataFrame:
+    """df with shift: where each sequence of one length fits best to the position weights of all others as they are
+    shifted now, after some rounds. Each round is one join of letters with at most 4 * length weights."""
+    from lociframe.checkpoint import cut
+
+    now = cut(df.withColumn("shift", F.lit(0)))
+    steps = F.explode(F.sequence(F.lit(-shift), F.lit(shift)))
+    for _ in range(rounds):
+        laid = now.withColumn("__s", _moved(F.col(seq), F.col("shift")))
+        weights = position_weights(laid.select(F.lit(0).alias("g"), "__s"), "__s", ["g"], pseudo).select("pos", "nt", F.log(F.col("freq")).alias("w"))
+        tried = now.select(id, seq, steps.alias("__k")).select(id, "__k", F.posexplode(letters(F.upper(_moved(F.col(seq), F.col("__k"))))).alias("pos", "nt"))
+        scored = tried.join(weights, ["pos", "nt"], "left").groupBy(id, "__k").agg(F.sum(F.coalesce("w", F.log(F.lit(0.25)))).alias("s"))
+        best = scored.groupBy(id).agg(F.max_by("__k", F.struct(F.round("s", 9), -F.abs("__k"), "__k")).alias("shift"))
+        now = cut(df.join(best, id))
+    return now
+
+
+def _moved(seq: Column, by: Column) -> Column:
+    n = F.length(seq)
+    return F.when(by > 0, F.left(F.concat(F.repeat(F.lit("N"), by), seq), n)).when(by < 0, F.right(F.concat(seq, F.repeat(F.lit("N"), -by)), n)).otherwise(seq)
+
+
+def scored_letters(df: DataFrame, seq: str, scores: str) -> DataFrame:
+    """(pos, nt, value) for each position of a sequence: its score under its own letter, 0 under the others."""
+    each = df.select(*[c for c in df.columns if c not in (seq, scores)], F.posexplode(F.arrays_zip(letters(F.upper(F.col(seq))).alias("c"), F.col(scores).alias("s"))).alias("pos", "x"))
+    rest = [c for c in each.columns if c not in ("pos", "x")]
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("nt"), F.when(F.col("x.c") == n, F.col("x.s")).otherwise(0.0).alias("value")) for n in NUCLEOTIDES]))
+    return each.select(*rest, "pos", cells.alias("y")).select(*rest, "pos", "y.nt", "y.value")

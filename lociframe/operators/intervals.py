@@ -233,3 +233,10 @@ def offsets(lengths: DataFrame, key: str = "key", length: str = "length") -> Dat
     """The place of each key's position 0 when all are laid end to end, in the order of the keys."""
     w = Window.orderBy(key)  # one row for each chromosome
     return lengths.withColumn("offset", F.sum(length).over(w) - F.col(length))
+
+
+def from_offset(places: DataFrame, laid: DataFrame, place: str = "place", key: str = "key") -> DataFrame:
+    """places with the key and the position in it, the inverse of offsets (key, length, offset): one row for each
+    chromosome is joined by the range that holds the place."""
+    ranges = laid.select(F.col(key), F.col("offset").alias("__o"), (F.col("offset") + F.col("length")).alias("__e"))
+    return places.join(F.broadcast(ranges), (F.col(place) >= F.col("__o")) & (F.col(place) < F.col("__e"))).withColumn("pos", F.col(place) - F.col("__o")).drop("__o", "__e")

@@ -279,3 +279,19 @@ def by_chromosome(spark: SparkSession, path: str) -> DataFrame:
 def read_order(df: DataFrame, order: list[str]) -> DataFrame:
     """df with seq_id: numbers from 0 by the order, taken once and kept, so that no later step relies on rows' places."""
     return df.withColumn("seq_id", F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
+
+
+def write_fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq") -> None:
+    df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(seq)).alias("value")).write.mode("overwrite").text(path)
+
+
+def meme_motifs(weights: DataFrame, background: DataFrame, motif: str = "motif", sites: int = 20) -> DataFrame:
+    """One row of text for the head of a MEME file (from nt, freq), and one for each motif (from motif, pos, nt, freq), with
+    their order."""
+    number = lambda c: F.format_string("%.5f", c)
+    letters = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nt", "freq"))), lambda x: F.concat(x["nt"], F.lit(" "), number(x["freq"]))), " ")
+    head = background.agg(F.concat(F.lit("MEME version 4\n\nALPHABET= ACGT\n\nBackground letter frequencies:\n"), letters, F.lit("\n")).alias("value")).select(F.lit("").alias(motif), "value")
+    rows = weights.groupBy(motif, "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("nt", "freq"))), lambda x: number(x["freq"])).alias("r"))
+    body = rows.groupBy(motif).agg(F.sort_array(F.collect_list(F.struct("pos", F.array_join("r", " ").alias("l")))).alias("a"))
+    text = F.concat(F.lit("MOTIF "), F.col(motif).cast("string"), F.lit("\nletter-probability matrix: alength= 4 w= "), F.size("a").cast("string"), F.lit(f" nsites= {sites}\n"), F.array_join(F.transform("a", lambda x: x["l"]), "\n"), F.lit("\n"))
+    return head.unionByName(body.select(F.col(motif).cast("string").alias(motif), text.alias("value"))).orderBy(motif)

@@ -82,3 +82,15 @@ def test_small_functions(one):
     assert one(tf.centre(F.array(*map(F.lit, range(7))), 3)) == [2, 3, 4]
     assert one(tf.every(F.array(*map(F.lit, range(5))), 2)) == [0, 2, 4]
     assert one(tf.length_mean(F.array(F.lit(2.0), F.lit(4.0), F.lit(9.0)), F.array(F.lit(True), F.lit(True), F.lit(False)))) == 3.0
+
+
+def test_kmers_windows_and_alignment(spark):
+    rows = {r["kmer"]: r["n"] for r in sq.all_kmers(spark, 3).collect()}
+    assert len(rows) == 64 and "ACG" in rows and set(rows.values()) == {1.0}
+    df = spark.createDataFrame([("f", "GATTACA", k, float(k)) for k in range(7)], "f string, s string, pos int, v double")
+    assert {r["kmer"] for r in sq.activating_windows(df, "s", "pos", "v", 3, ["f"], share=0.9).collect()} == {"CAN"}
+    assert {r["kmer"] for r in sq.activating_windows(df, "s", "pos", "v", 3, ["f"], above=4.5).collect()} == {"ACA", "CAN"}
+    seqs = spark.createDataFrame([(k, "NGATTACN") for k in range(8)] + [(9, "GATTACNN")], "id int, s string")
+    assert {r["id"]: r["shift"] for r in sq.aligned(seqs, "id", "s").collect()}[9] == 1
+    cells = spark.createDataFrame([(1, "AG", [2.0, 3.0])], "id int, s string, v array<double>")
+    assert {(r["pos"], r["nt"]): r["value"] for r in sq.scored_letters(cells, "s", "v").collect() if r["value"]} == {(0, "A"): 2.0, (1, "G"): 3.0}

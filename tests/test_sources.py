@@ -114,3 +114,21 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted((r["event_type"], r["start"], r["n"], round(r["pearsonr"], 6)) for r in df.collect())
     assert key(spark.table("acc")) == key(st.windowed_accuracy(rows, "ts", ["event_type"], "value", "p"))
+
+
+def test_sinks_of_sequences(spark, tmp_path):
+    df = spark.createDataFrame([("a", "ACGT"), ("b", "GG")], "name string, seq string")
+    gn.write_fasta(df.coalesce(1), str(tmp_path / "fa"))
+    assert {tuple(r) for r in gn.fasta(spark, str(tmp_path / "fa")).collect()} == {("a", "ACGT"), ("b", "GG")}
+    w = spark.createDataFrame([("m1", p, n, 0.25) for p in range(2) for n in "ACGT"], "motif string, pos int, nt string, freq double")
+    b = spark.createDataFrame([(n, 0.25) for n in "ACGT"], "nt string, freq double")
+    rows = gn.meme_motifs(w, b).collect()
+    assert rows[0]["value"].startswith("MEME") and "MOTIF m1" in rows[1]["value"] and rows[1]["value"].count("0.25000 0.25000") == 4
+
+
+def test_offsets_are_undone(spark):
+    from lociframe.operators import intervals as iv
+
+    laid = iv.offsets(spark.createDataFrame([("a", 10), ("b", 5)], "key string, length bigint"))
+    got = iv.from_offset(spark.createDataFrame([(0,), (9,), (10,), (14,), (15,)], "place bigint"), laid).collect()
+    assert sorted((r["place"], r["key"], r["pos"]) for r in got) == [(0, "a", 0), (9, "a", 9), (10, "b", 0), (14, "b", 4)]
