@@ -85,8 +85,8 @@ def mix(docs: DataFrame, weights: dict[str | None, int], id: str = "doc_id", sou
     slots = max((p["start"] + (p["until"] - p["first"] - 1) // p["weight"] * p["total"] + p["slots"][(p["until"] - p["first"] - 1) % p["weight"]] + 1 for p in plan), default=0)
     buckets = 1 << max(0, math.ceil(math.log2(max([1, *(r["n"] for r in counts)]) / RANKED)))
 
-    keyed = docs.drop("block", "place", "slot", "released", "due").withColumns({"__key": _key(source), "__hash": F.xxhash64(F.col(f"`{id}`").cast("string"))})
-    keyed = keyed.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)))
+    keyed = docs.drop("block", "place", "slot", "released", "due").withColumns({"__key": _key(source), "__hash": F.md5(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")))})
+    keyed = keyed.withColumn("__bucket", F.shiftright(F.conv(F.substring("__hash", 1, 8), 16, 10).cast("bigint") * buckets, 32))  # by the hash's own order
     sizes = keyed.groupBy("__key", "__bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("__key").orderBy("__bucket")) - F.col("n")
     sizes = sizes.select("__key", "__bucket", before.alias("__before"))

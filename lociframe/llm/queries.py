@@ -126,6 +126,32 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, SOURCE_WEIGHTS)[0].select("doc_id", "source", "block", "place", "slot", "released", "due")
 
 
+sql(
+    "op6_mix_sources",
+    """
+WITH RECURSIVE t AS (
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS key, CASE source WHEN 'src0' THEN 6 WHEN 'src1' THEN 3 WHEN 'src2' THEN 3 WHEN 'src3' THEN 2 WHEN 'src4' THEN 2 ELSE 1 END AS w,
+    row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), ''))) - 1 AS r FROM documents
+), s AS (
+  SELECT list(key ORDER BY key) AS keys, list(w ORDER BY key) AS ws, list(n ORDER BY key) AS ns FROM (SELECT key, any_value(w) AS w, (count(*) + 15) // 16 AS n FROM t GROUP BY key)
+), run AS (  -- one slot at a time: what each source has had in this phase, what it has left, and who gets the slot
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS start, list_transform(ns, lambda x: CAST(0 AS BIGINT)) AS had, list_transform(ns, lambda x: CAST(x AS BIGINT)) AS lft, CAST(0 AS BIGINT) AS who, CAST(0 AS BIGINT) AS blk, CAST(0 AS BIGINT) AS released, CAST(0 AS BIGINT) AS due FROM s
+  UNION ALL
+  SELECT slot, CASE WHEN lft[who] = 1 THEN slot + 1 ELSE start END,
+    CASE WHEN lft[who] = 1 THEN list_transform(had, lambda x: CAST(0 AS BIGINT)) ELSE list_transform(had, lambda x, i: CASE WHEN i = who THEN x + 1 ELSE x END) END,
+    list_transform(lft, lambda x, i: CASE WHEN i = who THEN x - 1 ELSE x END), who,
+    CAST(ns[who] - lft[who] AS BIGINT), start + had[who] * total // ws[who], start + CAST(ceil((had[who] + 1) * total / ws[who]) AS BIGINT)
+  FROM (
+    SELECT *, list_min(list_transform(list_filter(list_transform(ws, lambda x, i: CASE WHEN lft[i] > 0 AND had[i] * total // x <= slot - start THEN CAST(ceil((had[i] + 1) * total / x) AS BIGINT) * 10000 + i END), lambda x: x IS NOT NULL), lambda x: x)) % 10000 AS who
+    FROM (SELECT run.slot + 1 AS slot, run.start, run.had, run.lft, s.ws, s.ns, list_sum(list_transform(s.ws, lambda x, i: CASE WHEN run.lft[i] > 0 THEN x ELSE 0 END)) AS total FROM run, s WHERE list_sum(run.lft) > 0)
+  )
+)
+SELECT t.doc_id, t.source, CAST(r // 16 AS BIGINT) AS block, CAST(r % 16 AS INTEGER) AS place, run.slot, run.released, run.due
+FROM t, s, run WHERE run.slot >= 0 AND s.keys[run.who] = t.key AND run.blk = r // 16
+""",
+)
+
+
 @query
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = html_text.extract(fields(read(spark, sf_dir, "pages"), "page_id", "url", "html"))
