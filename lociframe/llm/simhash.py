@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from lociframe.llm.common import cut, small_batches
 from lociframe.llm.components import components
+from lociframe.llm.repeats import bitmap, mark
 
 BITS = 64
 
 #: Rows of a group that one task compares.
-BLOCK = 4096
+BLOCK = 2048
 
 #: Cost of a looked-up row against one verified pair.
 ROW_COST = 100.0
@@ -286,22 +287,76 @@ def _forest(fps: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray
 
 def _square(fps: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """The same for a group of moderate size, all pairs at once; few of them are links as a rule."""
-    near = np.bitwise_count(fps[:, None, 0] ^ fps[None, :, 0]).astype(np.int32)
-    for k in range(1, fps.shape[1]):
-        near += np.bitwise_count(fps[:, None, k] ^ fps[None, :, k])
-    a, b = np.nonzero(np.triu((near <= distance) & (own[:, None] | own[None, :]), 1))
+    a, b = np.nonzero(np.triu((_all_apart(fps, fps) <= distance) & (own[:, None] | own[None, :]), 1))
     return (a, b) if len(a) <= 2 * len(fps) else _forest(fps, own, distance)
 
 
-def _verify(group: np.ndarray, own: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of links within runs of the same group number; small groups are compared pair by pair, all at once."""
+def _all_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.int32)
+    for k in range(1, x.shape[1]):
+        apart += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+    return apart
+
+
+def _doubtful(fps: np.ndarray, own: np.ndarray, distance: int, most: int, linked: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of over distance and at most most bits apart that join what the group's links leave apart: of every two
+    parts that meet the closest pair, a minimum spanning forest by rounds of nearest neighbours. Fewer than the rows."""
+    label = list(range(len(fps)))
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for x, y in zip(linked[0].tolist(), linked[1].tolist(), strict=True):
+        label[root(y)] = root(x)
+    far = np.iinfo(np.uint16).max
+    apart = np.empty((len(fps), len(fps)), np.uint16)
+    for i in range(0, len(fps), 256):
+        d = _all_apart(fps[i : i + 256], fps)
+        apart[i : i + 256] = np.where((d <= most) & (own[i : i + 256, None] | own[None, :]), d, far)
+    a, b = [], []
+    while True:
+        part = np.array([root(x) for x in range(len(fps))])
+        least, at = np.full(len(fps), far), np.zeros(len(fps), np.int64)
+        for i in range(0, len(fps), 256):
+            open_ = np.where(part[i : i + 256, None] != part[None, :], apart[i : i + 256], far)
+            at[i : i + 256] = open_.argmin(1)
+            least[i : i + 256] = open_[np.arange(len(open_)), at[i : i + 256]]
+        rows = np.flatnonzero(least < far)
+        rows = rows[np.lexsort((rows, least[rows], part[rows]))]
+        rows = rows[np.r_[True, part[rows][1:] != part[rows][:-1]]] if len(rows) else rows
+        joined = False
+        for x in rows.tolist():  # each part's closest pair
+            if (p := root(x)) != (q := root(y := int(at[x]))):
+                label[q] = p
+                a.append(x)
+                b.append(y)
+                joined = True
+        if not joined:
+            return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _verify(group: np.ndarray, own: np.ndarray, fps: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of links within runs of the same group number, and whether each is sure (within distance) or doubtful (within
+    most). Small groups are compared pair by pair, all at once."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+
+    def add(x: np.ndarray, y: np.ndarray, known: np.ndarray) -> None:
+        a.append(x)
+        b.append(y)
+        sure.append(known)
+
     for s, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
-        x, y = _square(fps[s : s + n], own[s : s + n], distance) if n <= 400 else _forest(fps[s : s + n], own[s : s + n], distance)
-        a.append(x + s)
-        b.append(y + s)
+        part, held = fps[s : s + n], own[s : s + n]
+        found = _square(part, held, distance) if n <= 400 else _forest(part, held, distance)
+        add(found[0] + s, found[1] + s, np.ones(len(found[0]), bool))
+        if most > distance:
+            x, y = _doubtful(part, held, distance, most, found)
+            add(x + s, y + s, np.zeros(len(x), bool))
     small = np.repeat(sizes <= 32, sizes)
     after = np.repeat(starts + sizes, sizes) - np.arange(len(group)) - 1  # rows of the group that follow
     for k in range(1, 32):
@@ -309,15 +364,17 @@ def _verify(group: np.ndarray, own: np.ndarray, fps: np.ndarray, distance: int)
         if not len(i):
             break
         i = i[own[i] | own[i + k]]
-        i = i[_apart(fps[i], fps[i + k]) <= distance]
-        a.append(i)
-        b.append(i + k)
-    return np.concatenate(a), np.concatenate(b)
+        apart = _apart(fps[i], fps[i + k])
+        i, apart = i[apart <= most], apart[apart <= most]
+        add(i, i + k, apart <= distance)
+    return np.concatenate(a), np.concatenate(b), np.concatenate(sure)
 
 
-def links(fps: DataFrame, distance: int = 4, bits: int = BITS, planned: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """(a, b): links that connect every two distinct fingerprints that differ in at most distance bits and that the plan
-    brings together (without one of its own: all), directly or through others."""
+def links(fps: DataFrame, distance: int = 4, bits: int = BITS, planned: list[tuple[list[int], int]] | None = None, most: int | None = None) -> DataFrame:
+    """(a, b, sure): links that connect every two distinct fingerprints that differ in at most distance bits and that the
+    plan brings together (without one of its own: all), directly or through others. Where most is larger, also pairs up to
+    it, not sure: all of a small group, of a larger one the closest that join what its links leave apart."""
+    most = distance if most is None else most
     planned = planned or plan(*agreement(fps, bits), distance)
     signatures = _signatures(fps, planned) if bits == BITS else _wide_signatures(fps, planned, bits)
     sizes = signatures.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -338,8 +395,8 @@ def links(fps: DataFrame, distance: int = 4, bits: int = BITS, planned: list[tup
             if not stop:
                 return None, t.to_batches()
             column = t.column("fp").slice(0, stop).combine_chunks()
-            a, b = _verify(np.cumsum(new[:stop]), t.column("own").to_numpy()[:stop], _rows(column, bits), distance)
-            return pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"]), t.slice(stop).to_batches()
+            a, b, sure = _verify(np.cumsum(new[:stop]), t.column("own").to_numpy()[:stop], _rows(column, bits), distance, most)
+            return pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b)), pa.array(sure)], names=["a", "b", "sure"]), t.slice(stop).to_batches()
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -355,21 +412,21 @@ def links(fps: DataFrame, distance: int = 4, bits: int = BITS, planned: list[tup
             yield done(held, True)[0]
 
     kind = "bigint" if bits == BITS else "binary"
-    return dealt.mapInArrow(over, f"a {kind}, b {kind}").where("a != b")
-
-
-def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, bits: int = BITS, planner=None) -> DataFrame:
-    """docs, without the text, with fp and component_id. planner(count, agreement) may give another plan than that which
-    finds all links."""
-    rows = cut(fingerprints(docs, text, words, bits))
-    own = f"`{id}`"
-    distinct = cut(rows.groupBy("fp").agg(F.min(F.col(own)).alias("least")))
-    planned = planner(*agreement(distinct, bits)) if planner else None
-    roots = components(links(distinct, distance, bits, planned)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return dealt.mapInArrow(over, f"a {kind}, b {kind}, sure boolean").where("a != b")
+
+
+def _named(rows: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with component_id, from the roots (u, v) of fingerprints."""
+    rooted = distinct.select("fp", "least").join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # on its own, so that a hot root's join can be split
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.drop("component_id").join(named, "fp")
+    return rows.drop("component_id").join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+
+
+def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+    """docs, without the text, with fp and component_id."""
+    rows = cut(fingerprints(docs, text, words))
+    distinct = cut(rows.groupBy("fp").agg(F.min(F.col(f"`{id}`")).alias("least")))
+    return _named(rows, distinct, components(links(distinct, distance)))
 
 
 def differing(similarity: float) -> float:
@@ -377,17 +434,53 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 512, recall: float = 0.97) -> DataFrame:
-    """near_groups for texts of at least this Jaccard similarity: wider fingerprints, whose distance estimates it, link
-    within what it comes to plus one standard deviation. The plan finds so much of the pairs that just have it, nearly
-    all that have more, whatever their number."""
-    f = differing(similarity)
-    distance = int(f * bits + math.sqrt(bits * f * (1 - f)))
-
-    def planner(count: int, both: np.ndarray) -> list[tuple[list[int], int]]:
-        return plan(count, both, 0, [16, 20, 24, 28, 32, 36, 40, 46], 1, f, recall)
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(h, shingles): the distinct shingle hashes of texts (h, text)."""
+    small_batches(texts.sparkSession, 200)
 
-    return near_groups(docs, id, text, words, distance, bits, planner)
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(t, words)).view("<i8") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["h", "shingles"])
+
+    return texts.select("h", "text").mapInArrow(over, "h bigint, shingles array<bigint>")
+
+
+def _confirmed(docs: DataFrame, text: str, pairs: DataFrame, distinct: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts have at least this Jaccard similarity. Only texts of doubtful pairs
+    are read for it: a bitmap of fixed size keeps the others from being moved."""
+    hashes = distinct.select("fp", "h")
+    named = cut(pairs.join(hashes.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(hashes.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b"))
+    asked = named.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
+    held = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    found = mark(held, [F.col("h")], bitmap(asked)).where("__hit").drop("__hit").join(asked, "h", "left_semi")
+    sets = cut(shingle_sets(found.groupBy("h").agg(F.any_value("text").alias("text")), words))
+    both = named.join(sets.select(F.col("h").alias("ha"), F.col("shingles").alias("x")), "ha").join(sets.select(F.col("h").alias("hb"), F.col("shingles").alias("y")), "hb")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 512, recall: float = 0.98) -> DataFrame:
+    """near_groups for texts of at least this Jaccard similarity of their shingle sets. Wider fingerprints estimate it:
+    pairs two deviations closer than it comes to are links, pairs up to two and a half deviations farther are confirmed
+    on their shingle sets (in a group of over 32, where the two parts that they join meet closest). The plan finds so much of the pairs that just have it, nearly all that have more, whatever
+    their number."""
+    f = differing(similarity)
+    spread = math.sqrt(bits * f * (1 - f))
+    marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    rows = cut(fingerprints(marked, text, words, bits))
+    distinct = cut(rows.groupBy("fp").agg(F.min(F.col(f"`{id}`")).alias("least"), F.min("__h").alias("h")))
+    planned = plan(*agreement(distinct, bits), 0, [16, 20, 24, 28, 32, 36, 40, 46], 1, f, recall)
+    found = cut(links(distinct, int(f * bits - 2 * spread), bits, planned, int(f * bits + 2.5 * spread)))
+    sure = components(found.where("sure"))
+    root = sure.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    pairs = found.where("not sure").select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(root.select(F.col("fp").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    apart = cut(pairs.where("ra != rb"))
+    new = apart.join(_confirmed(docs, text, apart.select("a", "b"), distinct, words, similarity), ["a", "b"]).select("ra", "rb")
+    joined = sure.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(new.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return _named(rows.drop("__h"), distinct, components(joined))
 
 
 def drop_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

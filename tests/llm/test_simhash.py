@@ -142,3 +142,33 @@ def test_wide_fingerprints_catch_what_is_similar(spark):
     kept = simhash.drop_similar(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(found.values()))
+    assert simhash.drop_similar(df.where("false")).count() == 0
+
+
+def test_doubtful_pairs_are_confirmed_on_their_texts(spark):
+    """Pairs just above and below the similarity are told apart, and groups of over 400 rows hold doubtful pairs too."""
+    rnd = random.Random(8)
+    rows, pairs = [], []
+    for g in range(150):
+        base = ["w%d" % rnd.randrange(10**6) for _ in range(200)]
+        near = edited(rnd, base, rnd.choice([2, 4, 5, 6, 8]))
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(near))]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    similar = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+    linked = {p for p in pairs if found[p[0]] == found[p[1]]}
+    assert all(similar[p] >= 0.8 for p in linked if similar[p] < 0.79 or similar[p] >= 0.8)
+    assert sum(similar[p] >= 0.8 for p in pairs) > 40 and sum(similar[p] < 0.8 for p in pairs) > 40
+    missed = [p for p in pairs if similar[p] >= 0.8 and p not in linked]
+    assert len(missed) <= 0.05 * sum(similar[p] >= 0.8 for p in pairs)
+    assert not [p for p in linked if similar[p] < 0.78]
+
+
+def test_doubtful_pairs_of_a_large_group():
+    rnd = np.random.default_rng(2)
+    fps = rnd.integers(0, 1 << 63, (500, 2)).astype("<u8")
+    fps[1], fps[2] = fps[0] ^ np.array([1, 1], "<u8"), fps[0] ^ np.array([31, 0], "<u8")
+    a, b, sure = simhash._verify(np.ones(500, int), np.ones(500, bool), fps, 2, 7)
+    assert {(x, y): s for x, y, s in zip(a.tolist(), b.tolist(), sure.tolist())} in ({(0, 1): True, (0, 2): False}, {(0, 1): True, (2, 0): False})
