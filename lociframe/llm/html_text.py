@@ -11,7 +11,8 @@ The weights are set by hand from how pages are written, not learned.
 Defined results: a null or empty page has an empty text. Character references are decoded; white space in a block
 becomes one space, its ends none; blocks are joined by one line feed in page order. Broken markup is read as browsers do
 in the common cases: a block-level tag ends an open paragraph, an end tag without a start does nothing, an unclosed
-comment, script or style runs to the end. Rows, repeats and further columns stay.
+comment, script or style runs to the end. Rows, repeats and further columns
+stay; a column that has an added one's name gives way to it.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The field is fitted on a bounded sample (documents of each language by hash, a w
 labelled whole, training chains join short runs of words from several documents, from which switches are learned.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as is every text where nothing could be
-learned. Ties go to the language that sorts first. Rows, repeats and further columns stay.
+learned. Ties go to the language that sorts first. Rows, repeats and further columns
+stay; a column that has an added one's name gives way to it.
 """
 
 from __future__ import annotations

@@ -94,17 +94,17 @@ def mix(docs: DataFrame, weights: dict[str | None, int], id: str = "doc_id", sou
     ranked = ranked.join(sizes, ["__key", "__bucket"]).withColumn("__rank", F.col("__rank") - 1 + F.col("__before"))
     ranked = ranked.withColumns({"block": F.expr(f"__rank div {block_docs}"), "place": (F.col("__rank") % block_docs).cast("int")})
     # no more rows than sources times phases, of a period in all for each phase
-    steps = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), PHASE)))
-    at = ranked.join(F.broadcast(steps), (F.col("__key") == F.col("key")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("until")))
-    at = at.withColumn("__own", F.col("block") - F.col("first"))
+    steps = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), PHASE)).alias("__p"))
+    at = ranked.join(F.broadcast(steps), (F.col("__key") == F.col("__p.key")) & (F.col("block") >= F.col("__p.first")) & (F.col("block") < F.col("__p.until")))
+    at = at.withColumn("__own", F.col("block") - F.col("__p.first"))
     at = at.withColumns(
         {
-            "slot": F.expr("start + (__own div weight) * total + element_at(slots, cast(__own % weight as int) + 1)"),
-            "released": F.expr("start + (__own * total) div weight"),
-            "due": F.expr("start - ((-(__own + 1) * total) div weight) + if((__own + 1) * total % weight = 0, 0, 1)"),
+            "slot": F.expr("__p.start + (__own div __p.weight) * __p.total + element_at(__p.slots, cast(__own % __p.weight as int) + 1)"),
+            "released": F.expr("__p.start + (__own * __p.total) div __p.weight"),
+            "due": F.expr("__p.start - ((-(__own + 1) * __p.total) div __p.weight) + if((__own + 1) * __p.total % __p.weight = 0, 0, 1)"),
         }
     )
-    return at.drop("__key", "__hash", "__bucket", "__rank", "__before", "__own", "key", "first", "until", "start", "total", "weight", "slots"), slots
+    return at.drop("__key", "__hash", "__bucket", "__rank", "__before", "__own", "__p"), slots
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str | None, int], partitions: int | None = None, **options) -> DataFrame:

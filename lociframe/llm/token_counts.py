@@ -6,7 +6,7 @@ split that move completes (its pops). So a word's count is had in one pass over
 
 A word is a run of [^\\x20\\x09-\\x0D]; it is matched with the opening mark before it. A word that the vocabulary cannot
 spell counts as one unknown piece. Defined results: a null or empty text has no words and no pieces. Rows, repeats and
-further columns stay.
+further columns stay; a column that has an added one's name gives way to it.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ where it is read: no join, no shuffle.
 
 Defined results: host is what follows the first :// up to / ? # or the end, A-Z lower-cased, path what then follows up
 to ? # or the end; both are empty for a null URL or one without ://, which no rule fits. Among fitting rules the higher
-priority wins, then the longer literal, then the greater string. Rows, repeats and further columns stay.
+priority wins, then the longer literal, then the greater string. Rows, repeats and further columns
+stay; a column that has an added one's name gives way to it.
 """
 
 from __future__ import annotations

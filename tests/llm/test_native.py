@@ -155,7 +155,7 @@ def test_mix_equals_simulation(spark, block, monkeypatch):
     rnd = random.Random(block)
     rows = [(k, rnd.choice(["a", "a", "a", "b", "c", None])) for k in range(200)]
     rows += [rows[0], rows[0], (None, "b")]
-    df = spark.createDataFrame([(d, s, "clash") for d, s in rows], "doc_id bigint, source string, slot string")
+    df = spark.createDataFrame([(d, s, *["clash"] * 5) for d, s in rows], "doc_id bigint, source string, slot string, key string, start string, weight string, n string")
     done, slots = mixing.mix(df, {"a": 2, "b": 3, None: 2}, block_docs=block)
     no_python(done)
     got = done.collect()
