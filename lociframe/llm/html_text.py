@@ -65,7 +65,12 @@ def place(tag: str, attributes: str) -> tuple[bool, int]:
         return hidden, 0
     if tag in ("article", "main") or role in ("main", "article"):
         return hidden, 2
-    if tag == "header" or words & BESIDE or role == "banner":
+    if words & {"with", "without", "has", "no"}:  # says what the page has elsewhere
+        words -= {"sidebar", "nav", "navigation", "header", "footer", "side", "menu"}
+    beside = words & BESIDE
+    if beside == {"header"} and words & {"article", "post", "entry", "story"}:  # holds the title
+        beside = set()
+    if tag == "header" or beside or role == "banner":
         return hidden, -1
     return hidden, 1 if words & CONTENT else 0
 

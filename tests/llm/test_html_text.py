@@ -47,6 +47,16 @@ def test_main_text(open_, close):
     assert html_text.main_text(PAGE % (open_ + BODY + close)) == WANT
 
 
+def test_class_words():
+    kind = lambda tag, a="": html_text.place(tag, a)[1]
+    assert kind("div", ' class="entry-header"') == 1 and kind("div", ' class="site-header"') == -1 and kind("div", ' class="content has-sidebar"') == 1
+    assert kind("div", ' id=mainMenu') == -1 and kind("div", " class='postComments'") == -2 and kind("div", ' class="research"') == 0
+    assert kind("nav") == -2 and kind("article") == 2 and kind("header") == -1 and kind("body", ' class="post"') == 0
+    assert html_text.place("p", " hidden") == (True, 0) and html_text.place("p", ' style="DISPLAY: none"')[0]
+    page = '<article><header><h1>A title of it</h1></header><div class="post-header"><h2>Second head</h2></div><div class="notice"><p>Please note that this site is closed.</p></div><p>The text of it is here.</p></article>'
+    assert html_text.main_text(page) == "A title of it\nSecond head\nThe text of it is here."
+
+
 def test_broken_pages():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p>") == ""
     assert html_text.main_text("<article><p>One sentence is here.") == "One sentence is here."
