@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 #: Bounds of the plan: sources, and slots of a period. More raise an error.
 MAX_SOURCES, MAX_PERIOD = 1000, 20_000
 
-#: Rows of a source that are ranked together, about.
-RANKED = 1024
-
 
 def period(weights: list[int]) -> list[list[int]]:
     """The slots of each source's blocks within one period: earliest deadline first among released blocks."""
@@ -83,7 +80,8 @@ def mix(docs: DataFrame, weights: dict[str | None, int], id: str = "doc_id", sou
     blocks = {r["key"]: -(-r["n"] // block_docs) for r in counts}
     plan = phases(blocks, {k: named.get(k, default) for k in blocks})
     slots = max((p["start"] + (p["until"] - p["first"] - 1) // p["weight"] * p["total"] + p["slots"][(p["until"] - p["first"] - 1) % p["weight"]] + 1 for p in plan), default=0)
-    buckets = 1 << max(0, math.ceil(math.log2(max([1, *(r["n"] for r in counts)]) / RANKED)))
+    # as many ranges of the hash as rows in each, for the largest source: neither the ranks within nor the sums over them grow faster
+    buckets = 1 << math.ceil(math.log2(max([1, *(r["n"] for r in counts)])) / 2)
 
     keyed = docs.drop("block", "place", "slot", "released", "due").withColumns({"__key": _key(source), "__hash": F.md5(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")))})
     keyed = keyed.withColumn("__bucket", F.shiftright(F.conv(F.substring("__hash", 1, 8), 16, 10).cast("bigint") * buckets, 32))  # by the hash's own order

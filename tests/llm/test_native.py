@@ -150,8 +150,7 @@ def simulate(blocks, weights):
 
 
 @pytest.mark.parametrize("block", [1, 4])
-def test_mix_equals_simulation(spark, block, monkeypatch):
-    monkeypatch.setattr(mixing, "RANKED", 8)
+def test_mix_equals_simulation(spark, block):
     rnd = random.Random(block)
     rows = [(k, rnd.choice(["a", "a", "a", "b", "c", None])) for k in range(200)]
     rows += [rows[0], rows[0], (None, "b")]
