@@ -37,9 +37,9 @@ def labelled(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a
     return nodes.join(found, node, "left").withColumn("component", F.coalesce("component", node))
 
 
-def cosine_pairs(df: DataFrame, id: str, vector: str, above: float, block: int = 2048) -> DataFrame:
-    """(a, b, cosine) of every two different rows whose cosine is above the threshold, both ways round. Rows meet in
-    pairs of blocks of bounded size, each compared by one matrix product."""
+def _block_pairs(df: DataFrame, id: str, vector: str, block: int, keep) -> DataFrame:
+    """(a, b, cosine): rows meet in pairs of blocks of bounded size, each compared by one matrix product; keep(cosines, ids
+    of the rows, ids of the columns) gives the cells to return."""
     import numpy as np
     import pyarrow as pa
 
@@ -57,13 +57,34 @@ def cosine_pairs(df: DataFrame, id: str, vector: str, above: float, block: int =
         with np.errstate(invalid="ignore", divide="ignore"):
             c = p @ q.T / np.outer(*norms)
         i, j = x.column("id").to_numpy(), y.column("id2").to_numpy()
-        k, m = np.nonzero((c > above) & (i[:, None] != j[None, :]))
+        k, m = keep(c, i, j)
         return pa.table({"a": i[k], "b": j[m], "cosine": c[k, m]})
 
     return left.groupBy("own", "other").cogroup(right.groupBy("own", "other")).applyInArrow(scan, "a bigint, b bigint, cosine double")
 
 
+def cosine_pairs(df: DataFrame, id: str, vector: str, above: float, block: int = 2048) -> DataFrame:
+    """(a, b, cosine) of every two different rows whose cosine is above the threshold, both ways round."""
+
+    def keep(c, i, j):
+        return ((c > above) & (i[:, None] != j[None, :])).nonzero()
+
+    return _block_pairs(df, id, vector, block, keep)
+
+
 def nearest(df: DataFrame, id: str, vector: str, k: int, block: int = 2048) -> DataFrame:
-    """(a, b, rank, cosine): the k nearest others of each row, ties by id."""
+    """(a, b, rank, cosine): the k nearest others of each row, ties (to 12 decimals) by id. Each pair of blocks gives k
+    for a row at most."""
+
+    def keep(c, i, j):
+        import numpy as np
+
+        near = np.where((i[:, None] != j[None, :]) & ~np.isnan(c), np.round(c, 12), -3.0)
+        order = np.argsort(j, kind="stable")
+        top = order[np.argsort(-near[:, order], axis=1, kind="stable")[:, :k]]
+        rows = np.repeat(np.arange(len(i)), top.shape[1])
+        held = near[rows, top.ravel()] > -2
+        return rows[held], top.ravel()[held]
+
     w = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 12)), "b")
-    return cosine_pairs(df, id, vector, -2.0, block).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _block_pairs(df, id, vector, block, keep).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

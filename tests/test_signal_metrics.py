@@ -129,3 +129,15 @@ def test_models(spark):
 def test_grid_has_its_points():
     points = sc.grid()
     assert len(points) == 279 and points == sorted(set(points)) and points[0] == 0.001 and points[-1] == 0.999
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(60, 5))
+    x[7] = x[3] * 2
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(99, None)], "id bigint, v array<double>")
+    c = np.round((x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)), 12)
+    want = {(a, b, r + 1) for a in range(60) for r, b in enumerate(sorted((b for b in range(60) if b != a), key=lambda b: (-c[a, b], b))[:3])}
+    for block in (2048, 16):
+        assert {(r["a"], r["b"], r["rank"]) for r in graph.nearest(df, "id", "v", 3, block).collect()} == want
