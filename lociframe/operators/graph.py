@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lociframe.checkpoint import cut
 
 
+#: Edges that a round keeps in one file, about.
+PART = 50_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first())
 
@@ -20,12 +24,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = cut(e.where("whole and u != v").select("u", "v").distinct())
     state = _state(e)
     while True:
+        n = max(1, -(-state[0] // PART))  # few edges need few files
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))  # on its own, so that a hub's join can be split
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(n))  # on its own, so that a hub's join can be split
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(first, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = cut(small.unionByName(first.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(small.unionByName(first.select("u", F.col("m").alias("v"))).distinct().coalesce(n))
         if (now := _state(e)) == state:
             return e
         state = now
