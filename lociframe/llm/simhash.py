@@ -99,8 +99,9 @@ def _counts(h: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(out, 1)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
-    """docs with the column fp in place of the text: a bigint of 64 bits, or the bytes of more."""
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, bits: int = BITS, repeats: bool = True) -> DataFrame:
+    """docs with the column fp in place of the text: a bigint of 64 bits, or the bytes of more. Without repeats each
+    shingle of a text counts once, as in its shingle set."""
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, "fp")]
     given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
@@ -108,7 +109,8 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, bits: int
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = _column(fold([shingle_hashes(t, words) for t in batch.column(len(kept)).to_pylist()], bits))
+            hashes = [shingle_hashes(t, words) for t in batch.column(len(kept)).to_pylist()]
+            fp = _column(fold(hashes if repeats else [np.unique(h) for h in hashes], bits))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], fp], names=[*kept, "fp"])
 
     return given.mapInArrow(over, schema)
@@ -468,7 +470,7 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", word
     f = differing(similarity)
     spread = math.sqrt(bits * f * (1 - f))
     marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    rows = cut(fingerprints(marked, text, words, bits))
+    rows = cut(fingerprints(marked, text, words, bits, repeats=False))
     distinct = cut(rows.groupBy("fp").agg(F.min(F.col(f"`{id}`")).alias("least"), F.min("__h").alias("h")))
     planned = plan(*agreement(distinct, bits), 0, [16, 20, 24, 28, 32, 36, 40, 46], 1, f, recall)
     found = cut(links(distinct, int(f * bits - 2 * spread), bits, planned, int(f * bits + 2.5 * spread)))

@@ -172,3 +172,12 @@ def test_doubtful_pairs_of_a_large_group():
     fps[1], fps[2] = fps[0] ^ np.array([1, 1], "<u8"), fps[0] ^ np.array([31, 0], "<u8")
     a, b, sure = simhash._verify(np.ones(500, int), np.ones(500, bool), fps, 2, 7)
     assert {(x, y): s for x, y, s in zip(a.tolist(), b.tolist(), sure.tolist())} in ({(0, 1): True, (0, 2): False}, {(0, 1): True, (2, 0): False})
+
+
+def test_repeats_do_not_part_equal_shingle_sets(spark):
+    rnd = random.Random(12)
+    words = ["w%d" % rnd.randrange(10**6) for _ in range(1000)]
+    often = words[:500] + 30 * words[400:500] + words[500:]  # the set has four shingles more
+    rows = [(1, " ".join(words)), (2, " ".join(often)), (3, " ".join("v%d" % rnd.randrange(10**6) for _ in range(1000)))]
+    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(df).collect()) == [1, 3]
