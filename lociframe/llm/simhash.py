@@ -448,25 +448,29 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("h", "text").mapInArrow(over, "h bigint, shingles array<bigint>")
 
 
-def _confirmed(docs: DataFrame, text: str, pairs: DataFrame, distinct: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts have at least this Jaccard similarity. Only texts of doubtful pairs
-    are read for it: a bitmap of fixed size keeps the others from being moved."""
-    hashes = distinct.select("fp", "h")
-    named = cut(pairs.join(hashes.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(hashes.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b"))
-    asked = named.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
+def _sets(docs: DataFrame, text: str, fps: DataFrame, distinct: DataFrame, words: int) -> DataFrame:
+    """(fp, shingles) of fps. Only their texts are read: a bitmap of fixed size keeps the others from being moved."""
+    asked = cut(fps.join(distinct.select("fp", "h"), "fp"))
     held = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = mark(held, [F.col("h")], bitmap(asked)).where("__hit").drop("__hit").join(asked, "h", "left_semi")
-    sets = cut(shingle_sets(found.groupBy("h").agg(F.any_value("text").alias("text")), words))
-    both = named.join(sets.select(F.col("h").alias("ha"), F.col("shingles").alias("x")), "ha").join(sets.select(F.col("h").alias("hb"), F.col("shingles").alias("y")), "hb")
+    found = mark(held, [F.col("h")], bitmap(asked.select("h"))).where("__hit").drop("__hit").join(asked, "h", "left_semi")
+    sets = shingle_sets(found.groupBy("h").agg(F.any_value("text").alias("text")), words)
+    return cut(asked.join(sets, "h").select("fp", "shingles"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts have at least this Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).drop("x", "y"))
 
 
-def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 512, recall: float = 0.98) -> DataFrame:
-    """near_groups for texts of at least this Jaccard similarity of their shingle sets. Wider fingerprints estimate it:
-    pairs two deviations closer than it comes to are links, pairs up to two and a half deviations farther are confirmed
-    on their shingle sets (in a group of over 32, where the two parts that they join meet closest). The plan finds so much of the pairs that just have it, nearly all that have more, whatever
-    their number."""
+def _rooted(rows: DataFrame, roots: DataFrame, fp: str = "fp", root: str = "root") -> DataFrame:
+    """rows with the root of a fingerprint, from the roots (u, v)."""
+    return rows.join(roots.select(F.col("u").alias(fp), F.col("v").alias(root)), fp, "left").withColumn(root, F.coalesce(root, fp))
+
+
+def _similar(docs: DataFrame, id: str, text: str, words: int, similarity: float, bits: int, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs, without the text, with fp; the distinct fp with their least id; and the roots (u, v) of similar groups."""
     f = differing(similarity)
     spread = math.sqrt(bits * f * (1 - f))
     marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
@@ -474,15 +478,25 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", word
     distinct = cut(rows.groupBy("fp").agg(F.min(F.col(f"`{id}`")).alias("least"), F.min("__h").alias("h")))
     planned = plan(*agreement(distinct, bits), 0, [16, 20, 24, 28, 32, 36, 40, 46], 1, f, recall)
     found = cut(links(distinct, int(f * bits - 2 * spread), bits, planned, int(f * bits + 2.5 * spread)))
-    sure = components(found.where("sure"))
-    root = sure.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    pairs = found.where("not sure").select("a", "b").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(root.select(F.col("fp").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
-    apart = cut(pairs.where("ra != rb"))
-    new = apart.join(_confirmed(docs, text, apart.select("a", "b"), distinct, words, similarity), ["a", "b"]).select("ra", "rb")
-    joined = sure.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(new.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    return _named(rows.drop("__h"), distinct, components(joined))
+    sets = _sets(docs, text, found.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), distinct, words)
+    # most near links lead to their group's root by a similar text: only links between what that leaves apart are left
+    stars = components(found.where("sure")).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    roots = _confirmed(stars, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = _rooted(_rooted(found.select("a", "b").distinct(), roots, "a", "ra"), roots, "b", "rb").where("ra != rb")
+    new = _confirmed(pairs, sets, similarity).select("ra", "rb")
+    return rows.drop("__h"), distinct, components(_joined(roots, new))
+
+
+def _joined(roots: DataFrame, new: DataFrame) -> DataFrame:
+    return roots.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(new.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
+
+def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 512, recall: float = 0.98) -> DataFrame:
+    """near_groups for texts of at least this Jaccard similarity of their shingle sets. Wider fingerprints, in which each
+    shingle of a text counts once, estimate it: pairs up to two and a half deviations farther than it comes to meet, and
+    every link is confirmed on the shingle sets (in a group of over 32, links where the two parts that they join meet
+    closest). The plan finds so much of the pairs that just have it, nearly all that have more, whatever their number."""
+    return _named(*_similar(docs, id, text, words, similarity, bits, recall))
 
 
 def drop_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -181,3 +181,19 @@ def test_repeats_do_not_part_equal_shingle_sets(spark):
     rows = [(1, " ".join(words)), (2, " ".join(often)), (3, " ".join("v%d" % rnd.randrange(10**6) for _ in range(1000)))]
     df = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
     assert sorted(r["doc_id"] for r in simhash.drop_similar(df).collect()) == [1, 3]
+
+
+def test_near_links_are_confirmed_on_their_texts(spark, monkeypatch):
+    """Links within the bits that are sure come out only where the sets are similar, and another link replaces one to
+    the group's root that is not."""
+    rnd = random.Random(13)
+    base = ["w%d" % rnd.randrange(10**6) for _ in range(200)]
+    texts = [base]
+    for k in range(1, 8):  # each has 12 words unlike the one before, so only neighbours are similar
+        texts.append([*texts[-1][: 12 * k], *("x%d" % rnd.randrange(10**6) for _ in range(12)), *texts[-1][12 * k + 12 :]])
+    far = [*base[:150], *("y%d" % rnd.randrange(10**6) for _ in range(50))]  # 0.6 similar to the first
+    rows = [(k, " ".join(t)) for k, t in enumerate([*texts, far])]
+    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
+    real = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, distance, bits, planned, most, **more: real(fps, most + 60, bits, planned, most + 60, **more))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, recall=0.9).collect()} == {k: 8 if k == 8 else 0 for k in range(9)}
