@@ -38,6 +38,9 @@ BLOCK = 2048
 #: Cost of a looked-up row against one verified pair.
 ROW_COST = 100.0
 
+#: Options of similar_groups and drop_similar.
+SIMILAR = {"words": 5, "similarity": 0.8, "bits": 512, "recall": 0.98}
+
 
 def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> np.ndarray:
     import xxhash
@@ -491,21 +494,21 @@ def _joined(roots: DataFrame, new: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(new.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 
 
-def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 512, recall: float = 0.98) -> DataFrame:
+def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """near_groups for texts of at least this Jaccard similarity of their shingle sets. Wider fingerprints, in which each
     shingle of a text counts once, estimate it: pairs up to two and a half deviations farther than it comes to meet, and
     every link is confirmed on the shingle sets (in a group of over 32, links where the two parts that they join meet
     closest). The plan finds so much of the pairs that just have it, nearly all that have more, whatever their number."""
-    return _named(*_similar(docs, id, text, words, similarity, bits, recall))
+    return _named(*_similar(docs, id, text, **(SIMILAR | options)))
 
 
 def drop_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of similar_groups: that of the smallest id (of rows that share it, that of the
-    smallest content hash)."""
+    """docs with one row of each group of similar texts: that of the smallest id (of rows that share it, that of the
+    smallest content hash). A group is known by its root fingerprint, so ids that are null or repeated join no groups."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = docs.select(F.col(f"`{id}`").alias("id"), F.xxhash64(*columns).alias("content"), F.col(f"`{text}`").alias("text"))
-    groups = similar_groups(hashed, "id", "text", **options)
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("best"))
+    rows, _, roots = _similar(hashed, "id", "text", **(SIMILAR | options))
+    best = _rooted(rows, roots).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("best"))
     best = best.select(F.col("best.id").alias("__best"), F.col("best.content").alias("__content"))
     marked = docs.withColumn("__content", F.xxhash64(*columns))
     kept = marked.join(best, "__content").where(F.col(f"`{id}`").eqNullSafe(F.col("__best")))

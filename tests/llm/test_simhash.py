@@ -197,3 +197,11 @@ def test_near_links_are_confirmed_on_their_texts(spark, monkeypatch):
     real = simhash.links
     monkeypatch.setattr(simhash, "links", lambda fps, distance, bits, planned, most, **more: real(fps, most + 60, bits, planned, most + 60, **more))
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, recall=0.9).collect()} == {k: 8 if k == 8 else 0 for k in range(9)}
+
+
+def test_ids_join_no_groups(spark):
+    rnd = random.Random(14)
+    texts = [" ".join("w%d" % rnd.randrange(10**6) for _ in range(60)) for _ in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[4]), (None, texts[4])]
+    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
+    assert sorted(((r["doc_id"], r["text"]) for r in simhash.drop_similar(df).collect()), key=repr) == sorted(rows[:5], key=repr)
