@@ -38,6 +38,9 @@ BLOCK = 2048
 #: Cost of a looked-up row against one verified pair.
 ROW_COST = 100.0
 
+#: Rows of a block whose shingle sets one task holds.
+OPEN = 256
+
 #: Options of similar_groups and drop_similar.
 SIMILAR = {"words": 5, "similarity": 0.8, "bits": 512, "recall": 0.98}
 
@@ -375,10 +378,32 @@ def _verify(group: np.ndarray, own: np.ndarray, fps: np.ndarray, distance: int,
     return np.concatenate(a), np.concatenate(b), np.concatenate(sure)
 
 
-def links(fps: DataFrame, distance: int = 4, bits: int = BITS, planned: list[tuple[list[int], int]] | None = None, most: int | None = None) -> DataFrame:
+def _parts(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of groups of over 32, of which not all pairs come out: the rows that links join to two others or more, and the
+    first row of what each belongs to."""
+    large = np.bincount(group)[group[a]] > 32
+    label: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := label.setdefault(x, x)) != x:
+            label[x] = label[y]
+            x = y
+        return x
+
+    for x, y in zip(a[large].tolist(), b[large].tolist(), strict=True):
+        p, q = root(x), root(y)
+        label[max(p, q)] = min(p, q)
+    rows = np.array(sorted(label), np.int64)
+    first = np.array([root(x) for x in rows.tolist()], np.int64)
+    held = np.bincount(first)[first] > 2 if len(first) else np.zeros(0, bool)
+    return rows[held], first[held]
+
+
+def links(fps: DataFrame, distance: int = 4, bits: int = BITS, planned: list[tuple[list[int], int]] | None = None, most: int | None = None, parts: bool = False) -> DataFrame:
     """(a, b, sure): links that connect every two distinct fingerprints that differ in at most distance bits and that the
     plan brings together (without one of its own: all), directly or through others. Where most is larger, also pairs up to
-    it, not sure: all of a small group, of a larger one the closest that join what its links leave apart."""
+    it, not sure: all of a small group, of a larger one the closest that join what its links leave apart. With parts, also
+    rows (a, part, name) for the fingerprints a of what is joined in a larger group, where not all pairs come out."""
     most = distance if most is None else most
     planned = planned or plan(*agreement(fps, bits), distance)
     signatures = _signatures(fps, planned) if bits == BITS else _wide_signatures(fps, planned, bits)
@@ -392,6 +417,8 @@ def links(fps: DataFrame, distance: int = 4, bits: int = BITS, planned: list[tup
     dealt = dealt.repartition(n, *keys).sortWithinPartitions(*keys)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         def done(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
             t = pa.Table.from_batches(held).combine_chunks()
             k = [t.column(c).to_numpy() for c in keys]
@@ -399,9 +426,18 @@ def links(fps: DataFrame, distance: int = 4, bits: int = BITS, planned: list[tup
             stop = len(new) if last else int(np.flatnonzero(new)[-1])
             if not stop:
                 return None, t.to_batches()
-            column = t.column("fp").slice(0, stop).combine_chunks()
-            a, b, sure = _verify(np.cumsum(new[:stop]), t.column("own").to_numpy()[:stop], _rows(column, bits), distance, most)
-            return pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b)), pa.array(sure)], names=["a", "b", "sure"]), t.slice(stop).to_batches()
+            column, group = t.column("fp").slice(0, stop).combine_chunks(), np.cumsum(new[:stop])
+            a, b, sure = _verify(group, t.column("own").to_numpy()[:stop], _rows(column, bits), distance, most)
+            out = {"a": column.take(pa.array(a)), "b": column.take(pa.array(b)), "sure": pa.array(sure)}
+            if parts:
+                x, first = _parts(group, a, b)
+                names = [xxhash.xxh64_intdigest(repr([int(c[y]) for c in k]).encode() + column[y].as_buffer().to_pybytes()) - (1 << 63) for y in np.unique(first).tolist()]
+                names = np.array(names, np.int64)[np.unique(first, return_inverse=True)[1]] if names else np.zeros(0, np.int64)
+                more = {"a": column.take(pa.array(x)), "b": pa.nulls(len(x), column.type), "sure": pa.nulls(len(x), pa.bool_())}
+                out = {c: pa.concat_arrays([out[c], more[c]]) for c in out}
+                out["part"] = pa.array([*[None] * len(a), *k[0][x].tolist()], pa.int16())
+                out["name"] = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(names)])
+            return pa.RecordBatch.from_pydict(out), t.slice(stop).to_batches()
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -417,7 +453,8 @@ def links(fps: DataFrame, distance: int = 4, bits: int = BITS, planned: list[tup
             yield done(held, True)[0]
 
     kind = "bigint" if bits == BITS else "binary"
-    return dealt.mapInArrow(over, f"a {kind}, b {kind}, sure boolean").where("a != b")
+    schema = f"a {kind}, b {kind}, sure boolean" + (", part smallint, name bigint" if parts else "")
+    return dealt.mapInArrow(over, schema).where("b is null or a != b" if parts else "a != b")
 
 
 def _named(rows: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
@@ -467,6 +504,48 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).drop("x", "y"))
 
 
+def _similar_pairs(fps: np.ndarray, sets: list[np.ndarray], root: list, masks: list[tuple[np.ndarray, int]], most: int, similarity: float) -> list[tuple[int, int]]:
+    """Rows of similar pairs within most bits that join unlike roots. Where a mask before (with its threshold) holds a
+    pair, it met and was checked there."""
+    names = {r: k for k, r in enumerate(dict.fromkeys(root))}
+    part = np.array([names[r] for r in root])
+    sizes, out = np.array([len(x) for x in sets]), []
+    for i in range(len(fps)):
+        j = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        j = j[(_apart(fps[j], fps[i]) <= most) & (np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]))]
+        for mask, t in masks:
+            j = j[_apart(fps[j] & mask, fps[i] & mask) > t]
+        for x in j.tolist():
+            if part[x] != part[i]:
+                shared = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
+                if shared >= similarity * (sizes[i] + sizes[x] - shared):
+                    out.append((i, x))
+                    part[part == part[x]] = part[i]
+    return out
+
+
+def _rest(found: DataFrame, roots: DataFrame, sets: DataFrame, planned: list[tuple[list[int], int]], bits: int, most: int, similarity: float) -> DataFrame:
+    """(ra, rb): roots that are joined by a similar pair of a larger group that did not come out as a link. Only what has
+    unlike roots is looked at, in pairs of blocks of OPEN rows, with the shingle sets in the task."""
+    rows = _rooted(found.where("name is not null").select("part", "name", F.col("a").alias("fp")), roots)
+    several = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    met = cut(rows.join(several.select("name", "n"), "name")).withColumn("blocks", F.expr(f"cast((n + {OPEN - 1}) div {OPEN} as int)"))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("p"), F.greatest(x, block).alias("q")))
+    dealt = met.join(sets, "fp").withColumn("s", F.explode(pairs)).select("part", "name", "s.p", "s.q", "fp", "root", "shingles")
+    masks = [(np.packbits(np.isin(np.arange(bits), own), bitorder="little").view("<u8"), t) for own, t in planned]
+
+    def over(t: pa.Table) -> pa.Table:
+        root = t.column("root").combine_chunks()
+        held = t.column("shingles").combine_chunks()
+        own = [np.asarray(held[k].values).view("<u8") for k in range(len(held))]
+        before = [(m, d) for m, d in masks[: t.column("part")[0].as_py()] if d >= 0]
+        hit = _similar_pairs(_rows(t.column("fp").combine_chunks(), bits), own, root.to_pylist(), before, most, similarity)
+        return pa.table({c: root.take(pa.array([h[k] for h in hit], pa.int64())) for k, c in enumerate(("ra", "rb"))})
+
+    return cut(dealt.groupBy("part", "name", "p", "q").applyInArrow(over, "ra binary, rb binary").distinct())
+
+
 def _rooted(rows: DataFrame, roots: DataFrame, fp: str = "fp", root: str = "root") -> DataFrame:
     """rows with the root of a fingerprint, from the roots (u, v)."""
     return rows.join(roots.select(F.col("u").alias(fp), F.col("v").alias(root)), fp, "left").withColumn(root, F.coalesce(root, fp))
@@ -480,14 +559,18 @@ def _similar(docs: DataFrame, id: str, text: str, words: int, similarity: float,
     rows = cut(fingerprints(marked, text, words, bits, repeats=False))
     distinct = cut(rows.groupBy("fp").agg(F.min(F.col(f"`{id}`")).alias("least"), F.min("__h").alias("h")))
     planned = plan(*agreement(distinct, bits), 0, [16, 20, 24, 28, 32, 36, 40, 46], 1, f, recall)
-    found = cut(links(distinct, int(f * bits - 2 * spread), bits, planned, int(f * bits + 2.5 * spread)))
+    most = int(f * bits + 2.5 * spread)
+    every = cut(links(distinct, int(f * bits - 2 * spread), bits, planned, most, parts=True))
+    found = every.where("b is not null")
     sets = _sets(docs, text, found.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), distinct, words)
     # most near links lead to their group's root by a similar text: only links between what that leaves apart are left
     stars = components(found.where("sure")).select(F.col("u").alias("a"), F.col("v").alias("b"))
     roots = _confirmed(stars, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
     pairs = _rooted(_rooted(found.select("a", "b").distinct(), roots, "a", "ra"), roots, "b", "rb").where("ra != rb")
     new = _confirmed(pairs, sets, similarity).select("ra", "rb")
-    return rows.drop("__h"), distinct, components(_joined(roots, new))
+    roots = components(_joined(roots, new))
+    rest = _rest(every, roots, sets, planned, bits, most, similarity)
+    return rows.drop("__h"), distinct, roots if rest.isEmpty() else components(_joined(roots, rest))
 
 
 def _joined(roots: DataFrame, new: DataFrame) -> DataFrame:
@@ -497,8 +580,8 @@ def _joined(roots: DataFrame, new: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """near_groups for texts of at least this Jaccard similarity of their shingle sets. Wider fingerprints, in which each
     shingle of a text counts once, estimate it: pairs up to two and a half deviations farther than it comes to meet, and
-    every link is confirmed on the shingle sets (in a group of over 32, links where the two parts that they join meet
-    closest). The plan finds so much of the pairs that just have it, nearly all that have more, whatever their number."""
+    every link is confirmed on the shingle sets. In a group of over 32 that is first done where two parts meet closest, then
+    for every pair between what is still apart. The plan finds so much of the pairs that just have it, nearly all that have more, whatever their number."""
     return _named(*_similar(docs, id, text, **(SIMILAR | options)))
 
 

@@ -205,3 +205,54 @@ def test_ids_join_no_groups(spark):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[4]), (None, texts[4])]
     df = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
     assert sorted(((r["doc_id"], r["text"]) for r in simhash.drop_similar(df).collect()), key=repr) == sorted(rows[:5], key=repr)
+
+
+@pytest.mark.parametrize("open_", [256, 3])
+def test_rejected_links_of_a_large_group_are_replaced(spark, monkeypatch, open_):
+    """All fingerprints meet in one group; the closest pairs are not similar, a farther one that they stand for is."""
+    rnd = np.random.default_rng(15)
+    words = [["w%d" % rnd.integers(10**9) for _ in range(100)] for _ in range(40)]
+    words[2] = [*words[0][:98], "y", "z"]  # similar to the first
+    texts = [" ".join(w) for w in words]
+    fps = rnd.integers(0, 1 << 63, (40, 8)).astype("<u8")
+    fps[:, 0] &= ~np.uint64(1)
+
+    def flipped(fp, bits):
+        out = simhash._single(fp[None])[0].copy()
+        out[bits] ^= 1
+        return np.packbits(out, bitorder="little").view("<u8")
+
+    fps[1], fps[2] = flipped(fps[0], np.arange(1, 71)), flipped(fps[0], np.arange(30, 108))  # 70 bits from A to B, 78 to C, 66 from B to C
+    of = dict(zip(texts, fps))
+
+    def planted(docs, text, *_, **__):
+        make = simhash.F.udf(lambda t: bytearray(of[t].tobytes()), "binary")
+        return docs.withColumn("fp", make(text)).drop(text)
+
+    monkeypatch.setattr(simhash, "fingerprints", planted)
+    monkeypatch.setattr(simhash, "plan", lambda *_: [([0], 0)])
+    monkeypatch.setattr(simhash, "OPEN", open_)
+    df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()} == {k: 0 if k == 2 else k for k in range(40)}
+
+
+def test_similar_pairs_equal_brute_force():
+    rnd = np.random.default_rng(16)
+    fps = rnd.integers(0, 16, (60, 8)).astype("<u8")
+    sets = [np.unique(rnd.integers(0, 12, rnd.integers(1, 20))).astype("<u8") for _ in range(60)]
+    root = [bytes([k // 2]) for k in range(60)]
+    masks = [(np.array([3, 0, 0, 0, 0, 0, 0, 0], "<u8"), 0)]
+
+    def classes(edges):
+        label = [k // 2 for k in range(60)]
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(k for k in range(60) if label[k] == x) for x in label}
+
+    def similar(i, j):
+        x, y = set(sets[i].tolist()), set(sets[j].tolist())
+        return len(x & y) >= 0.8 * len(x | y) and simhash._apart(fps[i], fps[j]) <= 14 and (fps[i][0] ^ fps[j][0]) & np.uint64(3)
+
+    found = simhash._similar_pairs(fps, sets, root, masks, 14, 0.8)
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if similar(i, j)]
+    assert found and set(found) <= set(want) and classes(found) == classes(want)
