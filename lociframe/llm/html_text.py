@@ -36,7 +36,8 @@ TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object audio video select".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Elements that hold no article whatever stands around them, and class words that say the same.
+#: Elements that hold no article whatever stands around them, and class words that say the same of all but long
+#: paragraphs. They say nothing of html, body, article and main elements; a main element inside starts anew.
 NEVER = frozenset("nav footer aside form button dialog menu fieldset head".split())
 NEVER_WORDS = frozenset("comment comments commentlist respond disqus replies reply cookie cookies consent gdpr newsletter subscribe advert advertisement advertising adverts ads ad sponsor sponsored promo promotion popup modal breadcrumb breadcrumbs pagination".split())
 #: Class words of what stands beside an article; an article or main element inside starts anew.
@@ -52,21 +53,26 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 
 
 @lru_cache(4096)
-def place(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is hidden, and what it is: -2 no article, -1 beside one, 0 nothing, 1 likely, 2 an article."""
+def _place(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is hidden, and what it is: -3 no article, -2 none by its class words, -1 beside one, 0 nothing,
+    1 likely, 2 an article."""
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
     words = set(WORD.findall(CAMEL.sub(" ", " ".join(found.get(k, "") for k in ("class", "id"))).lower()))
     role = found.get("role", "").lower()
-    if tag in NEVER or words & NEVER_WORDS or role in ("navigation", "contentinfo", "complementary", "form", "search", "dialog", "alert", "alertdialog", "menu", "menubar"):
-        return hidden, -2
     if tag in ("html", "body"):
         return hidden, 0
-    if tag in ("article", "main") or role in ("main", "article"):
+    if tag in NEVER or role in ("navigation", "contentinfo", "complementary", "form", "search", "dialog", "alert", "alertdialog", "menu", "menubar"):
+        return hidden, -3
+    if tag in ("article", "main") or role == "main":
         return hidden, 2
     if words & {"with", "without", "has", "no"}:  # says what the page has elsewhere
-        words -= {"sidebar", "nav", "navigation", "header", "footer", "side", "menu"}
+        words -= {"sidebar", "nav", "navigation", "header", "footer", "side", "menu"} | NEVER_WORDS
+    if words & NEVER_WORDS:
+        return hidden, -2
+    if role == "article":
+        return hidden, 2
     beside = words & BESIDE
     if beside == {"header"} and words & {"article", "post", "entry", "story"}:  # holds the title
         beside = set()
@@ -75,6 +81,12 @@ def place(tag: str, attributes: str) -> tuple[bool, int]:
     return hidden, 1 if words & CONTENT else 0
 
 
+def place(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is hidden, and what it is: -2 no article, -1 beside one, 0 nothing, 1 likely, 2 an article."""
+    hidden, kind = _place(tag, attributes)
+    return hidden, max(kind, -2)
+
+
 @dataclass(slots=True)
 class Block:
     text: str
@@ -155,7 +167,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
-        hidden, kind = place(tag, m[3])
+        hidden, kind = _place(tag, m[3])
         if tag in INLINE and not hidden and kind > -2:
             continue
         if tag in ENDS_P:
@@ -175,7 +187,9 @@ def blocks(page: str) -> list[Block]:
                     break
         flush()
         above = stack[-1]
-        if above.kind == -2 or kind == -2:
+        if above.kind == -3 or kind == -3:
+            kind = -3
+        elif (above.kind == -2 and tag != "main") or kind == -2:
             kind = -2
         elif kind == 0 or (kind == 1 and above.kind != 0) or (tag == "header" and above.kind == 2):
             kind = above.kind
@@ -190,11 +204,11 @@ SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
 def score(b: Block) -> float:
     """Above zero: content is likelier."""
-    if b.kind == -2:
+    if b.kind == -3:
         return -9.0
     words = b.text.count(" ") + 1
-    s = {2: 4.0, 1: 1.5, 0: -0.4, -1: -5.0}[b.kind]
-    s += min(words, 40) / 20 + (0.5 if SENTENCE.search(b.text) else 0.0)
+    s = {2: 4.0, 1: 1.5, 0: -0.4, -1: -5.0, -2: -5.0}[b.kind]
+    s += min(words, 90 if b.kind == -2 else 40) / 20 + (0.5 if SENTENCE.search(b.text) else 0.0)
     s += {"p": 1.0, "pre": 0.8, "blockquote": 0.8, "h1": 0.6, "h2": 0.4, "h3": 0.4, "td": -0.2, "li": -0.2}.get(b.tag, -0.3)
     s -= 4.0 * b.linked / len(b.text)
     if b.kind < 2 and ("©" in b.text or "all rights reserved" in b.text.lower()):

@@ -92,3 +92,16 @@ def test_query(spark):
         inner = pages[r["page_id"]].split("<article>", 1)[1].split("</article>")[0]
         parts = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?(?:p|h1)>", inner)]
         assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("body", ["single no-comments", "newsletter-enabled", "cookie-consent-shown ads"])
+@pytest.mark.parametrize("open_,close", [('<article class="post has-comments">', "</article>"), ('<main id="promo">', "</main>"), ('<div class="content without-ads">', "</div>"), ('<div class="promo"><main>', "</main></div>")])
+def test_class_words_do_not_take_the_article(body, open_, close):
+    assert html_text.main_text((PAGE % (open_ + BODY + close)).replace("with-sidebar", body)) == WANT
+
+
+def test_long_paragraphs_overrule_class_words():
+    long, short = " ".join(["word"] * 95) + ".", " ".join(["word"] * 50) + "."
+    assert html_text.main_text(f'<div class="newsletter"><p>{long}</p><p>{short}</p><p>{long}</p></div>') == "\n".join([long, short, long])
+    assert html_text.main_text(f'<div class="comments"><div><p>Well said.</p></div><div><p>{long}</p></div><div><p>{short}</p></div></div>') == ""
+    assert html_text.main_text(f"<footer><p>{long}</p><p>{long}</p></footer>") == ""
