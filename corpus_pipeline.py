@@ -39,11 +39,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and the digests of ids and decoded bytes."""
-    kept = docs.select("doc_id", "lang", "source", "text")
+    """doc_id, lang, source, position, n_tokens, ids, and the digests of ids and decoded bytes. Rows come in any order:
+    sorted by position (file and row of what the mix stored) they follow the mix."""
+    name = F.col("_metadata.file_name")
+    numbers = [F.regexp_extract(name, p, 1).try_cast("bigint") for p in (r"^part-(\d+)", r"-c(\d+)\.")]
+    position = F.struct(numbers[0].alias("part"), numbers[1].alias("file"), F.col("_metadata.row_index").alias("row"))
+    kept = docs.select("doc_id", "lang", "source", position.alias("position"), "text")
     done = bpe.encode(kept, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded", packed=True)
     digests = {"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
-    return done.withColumns(digests).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return done.withColumns(digests).select("doc_id", "lang", "source", "position", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

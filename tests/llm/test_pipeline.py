@@ -78,3 +78,15 @@ def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "byte_bpe"]
     assert corpus_pipeline.ORACLE_SQL is None
     assert F is not None
+
+
+def test_rows_carry_their_place_in_the_mix(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, " ".join("w%d" % rng.randrange(10**6) for _ in range(50)), "en", "books" if k < 60 else "web", 1) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    placed, slots = corpus_pipeline.mixing.mix(docs, corpus_pipeline.queries.SOURCE_WEIGHTS)
+    want = [r["doc_id"] for r in placed.orderBy("slot", "place").collect()]
+    assert slots > 4 and len({r["position"]["part"] for r in got}) > 1
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: tuple(r["position"]))] == want
