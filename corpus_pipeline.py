@@ -16,8 +16,8 @@ from lociframe.llm.common import fresh_dir
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages. The field learns from those that are not held out; where nothing can
-    be learned (no labels), only documents without a letter go."""
+    """Documents with a letter. The field learns from those that are not held out and labels every text, but a text is
+    `und` only where it has no letter: no language or score drops a document, so the field has no effect on which stay."""
     field = lang_id.fit(lang_id.sample(docs, "doc_id", "text", "lang", F.col("doc_id").isNotNull() & ~queries.held_out()))
     return lang_id.keep_known(docs, field)
 
