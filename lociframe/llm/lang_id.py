@@ -33,8 +33,8 @@ CHAIN, RUN = 64, 32
 #: Hashed features; words that a worker remembers.
 WIDTH, KNOWN = 1 << 17, 400_000
 
-#: Bounds of the sample: languages (the most frequent), documents of each, characters and then words taken from one.
-LANGUAGES, DOCUMENTS, CHARACTERS, WORDS = 100, 250, 4000, 300
+#: Bounds of the sample: documents of each language, characters and then words taken from one. Every language is learned.
+DOCUMENTS, CHARACTERS, WORDS = 250, 4000, 300
 
 #: Frequent words of a language that form its lexicon.
 LEXICON = 300
@@ -189,12 +189,11 @@ def fit(texts: list[tuple[str, str]], rounds: int = 40, rate: float = 0.2, shrin
 
 
 def sample(docs: DataFrame, id: str, text: str, lang: str, learn: Column) -> list[tuple[str, str]]:
-    """At most DOCUMENTS rows of each of the LANGUAGES most frequent languages, those of the smallest hash."""
+    """At most DOCUMENTS rows of each language, those of the smallest hash."""
     whole, hashed = F.col(f"`{text}`"), F.xxhash64(F.col(f"`{id}`").cast("string"))
     part = F.substring(whole, F.pmod(hashed, F.greatest(F.char_length(whole) - CHARACTERS, F.lit(1))).cast("int") + 1, F.lit(CHARACTERS))
     rows = docs.where(learn & F.col(f"`{lang}`").isNotNull() & whole.isNotNull()).select(hashed.alias("h"), F.col(f"`{lang}`").alias("lang"), part.alias("text"))
-    known = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    ranked = rows.join(F.broadcast(known.select("lang")), "lang", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
     return sorted((r["lang"], r["text"]) for r in ranked.where(F.col("k") <= DOCUMENTS).select("lang", "text").collect())
 
 
@@ -296,13 +295,14 @@ class Reader:
         owner = np.repeat(np.arange(len(sizes)), chains)
         offset = starts[owner] + (np.arange(len(owner)) - first[owner]) * CHAIN
         length = np.minimum(CHAIN, (starts + sizes)[owner] - offset)
-        for i in range(0, len(owner), 4096):
-            o, m = offset[i : i + 4096], np.arange(CHAIN) < length[i : i + 4096, None]
+        step = max(1, min(4096, 400_000 // n))  # chains at once: no more memory where languages are many
+        for i in range(0, len(owner), step):
+            o, m = offset[i : i + step], np.arange(CHAIN) < length[i : i + step, None]
             w = np.where(m, index[np.minimum(o[:, None] + np.arange(CHAIN), len(index) - 1)], 0)
             found, _ = forward_backward(self.table[w], m, self.field.moves.astype(np.float32))
             held = m & (w > 0)
-            np.add.at(out, owner[i : i + 4096], (found * held[:, :, None]).sum(1, dtype=np.float64))
-            np.add.at(letters, owner[i : i + 4096], held.sum(1))
+            np.add.at(out, owner[i : i + step], (found * held[:, :, None]).sum(1, dtype=np.float64))
+            np.add.at(letters, owner[i : i + step], held.sum(1))
         return out, letters
 
 

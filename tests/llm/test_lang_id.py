@@ -78,3 +78,11 @@ def test_held_out_accuracy(spark):
     got = queries.op10_lang_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     right = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right > 0.97
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"word{k} other", f"l{k % 120 if k % 2 else 0}") for k in range(960)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {lang for lang, _ in lang_id.sample(df, "doc_id", "text", "lang", F.lit(True))} == {lang for *_, lang in rows}
+    df = spark.createDataFrame([(k, "a b", f"l{k}") for k in range(130)], df.schema)
+    assert len({lang for lang, _ in lang_id.sample(df, "doc_id", "text", "lang", F.lit(True))}) == 130
