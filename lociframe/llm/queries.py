@@ -154,7 +154,8 @@ FROM t, s, run WHERE run.slot >= 0 AND s.keys[run.who] = t.key AND run.blk = r /
 
 @query
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = html_text.extract(fields(read(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    pages = fields(read(spark, sf_dir, "pages"), "page_id", "url", "html")
+    done = html_text.extract(pages, weights=html_text.learn(pages))
     return done.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
