@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
-A piece (one match of the pre-split pattern) is halved down to short leaves. Leaves are merged by rank; neighbours are
-joined by re-encoding a window around their border. A token sequence is the encoding of its bytes exactly if every two
-neighbours in it are, alone, encoded as themselves; so a join is final as soon as the window's two outer pairs pass that
-test, and until then the window grows. Decoding concatenates the tokens' bytes up a tree.
+A piece (one match of the pre-split pattern) is a token as a whole, or it is halved down to tokens and leaves of two bytes
+at most, and neighbours are joined by re-encoding a window around their border. A token sequence is the encoding of its
+bytes exactly if every two neighbours in it are, alone, encoded as themselves; so a join is final as soon as the window's
+two outer pairs pass that test, and until then the window grows. Decoding concatenates the tokens' bytes up a tree.
+
+A part that is a token is taken whole, which is right for tokens that merging their own bytes yields. That is checked
+for every token when a vocabulary is loaded; those that it does not yield stand for whole pieces only.
 
 Defined results: a null text counts as empty; an empty text has no ids. Rows, repeats and further columns stay as they
 are; an added column replaces one of the same name.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 import sys
 from collections.abc import Iterator
 
@@ -24,28 +28,38 @@ from pyspark.sql import functions as F
 
 from lociframe.llm.common import small_batches
 
-#: Pieces that a worker remembers, and bytes of the longest of them; the memory is emptied when full.
+#: Pieces that a worker remembers twice over, and bytes of the longest of them. When as many are new as that, those that
+#: were neither new nor asked for since the last time are forgotten.
 CACHE_PIECES, CACHE_BYTES = 250_000, 64
 
+#: Bytes of the longest halves that are remembered.
+HALF_BYTES = 8
+
 
 class TreeBpe:
     """ranks: token bytes to id, where a lower id merges first; every single byte has one."""
 
-    def __init__(self, ranks: dict[bytes, int], leaf: int = 32):
+    def __init__(self, ranks: dict[bytes, int], leaf: int = 2):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
-        self.ranks, self.leaf = ranks, max(2, leaf)
+        self.ranks, self.leaf = ranks, max(1, leaf)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
+        sizes = np.array([len(t) for t in self.tokens])
+        self._sizes, self._starts, self._bytes = sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(self.tokens), np.uint8)
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._halves: dict[bytes, list[int]] = {}
+        self.joins = 0  # borders at which two parts were joined
+        self.parts = {t: [i] for t, i in ranks.items() if len(t) <= 2 or self._plain(t) == [i]}  # tokens as parts of a piece
 
     def merge(self, data: bytes) -> list[int]:
         """Plain encoding: the pair of lowest rank merges first, the leftmost of equals."""
         if not data:
             return []
-        if (whole := self.ranks.get(data)) is not None:
-            return [whole]
+        return list(whole) if (whole := self.parts.get(data)) else self._plain(data)
+
+    def _plain(self, data: bytes) -> list[int]:
         return self._merge_short(data) if len(data) <= 48 else self._merge_long(data)
 
     def _merge_short(self, data: bytes) -> list[int]:
@@ -85,24 +99,31 @@ class TreeBpe:
             i = end[i]
         return out
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether the two tokens, side by side, are encoded as themselves."""
+    def pair(self, a: int, b: int) -> list[int]:
+        """How the two tokens, side by side, are encoded."""
         known = self._pairs.get((a, b))
         if known is None:
             if len(self._pairs) >= CACHE_PIECES:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self._pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b])
         return known
 
+    def stable(self, a: int, b: int) -> bool:
+        """Whether the two tokens, side by side, are encoded as themselves."""
+        known = self.pair(a, b)
+        return len(known) == 2 and known[0] == a and known[1] == b
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of both."""
         if not left or not right:
             return left or right
-        if self.stable(left[-1], right[0]):
+        self.joins += 1
+        a, b = left[-1], right[0]
+        window = self._pairs.get((a, b)) or self.pair(a, b)
+        if len(window) == 2 and window[0] == a and window[1] == b:
             return left + right
         i, j, step = len(left) - 1, 1, 1
         while True:
-            window = self.merge(b"".join(map(self.tokens.__getitem__, left[i:] + right[:j])))
             fixed_left = i == 0 or self.stable(left[i - 1], window[0])
             fixed_right = j == len(right) or self.stable(window[-1], right[j])
             if fixed_left and fixed_right:
@@ -112,20 +133,36 @@ class TreeBpe:
             if not fixed_right:
                 j = min(len(right), j + step)
             step *= 2
+            window = self.merge(b"".join(map(self.tokens.__getitem__, left[i:] + right[:j])))
 
     def encode(self, data: bytes) -> list[int]:
-        if (whole := self.ranks.get(data)) is not None:
-            return [whole]
+        """The ids of a piece: of one that is a token that, else what the tree reduction of its bytes gives."""
+        return [whole] if (whole := self.ranks.get(data)) is not None else self.reduced(data)
+
+    def reduced(self, data: bytes) -> list[int]:
+        if (found := self.parts.get(data)) is not None or (found := self._halves.get(data)) is not None:
+            return found
         if len(data) <= self.leaf:
             return self.merge(data)
         middle = len(data) // 2
-        return self.join(self.encode(data[:middle]), self.encode(data[middle:]))
+        out = self.join(self.reduced(data[:middle]), self.reduced(data[middle:]))
+        if len(data) <= HALF_BYTES:  # a half of many pieces
+            if len(self._halves) >= CACHE_PIECES:
+                self._halves.clear()
+            self._halves[data] = out
+        return out
 
-    def decode(self, ids: list[int], leaf: int = 4096) -> bytes:
-        if len(ids) <= leaf:
-            return b"".join(map(self.tokens.__getitem__, ids))
-        middle = len(ids) // 2
-        return self.decode(ids[:middle], leaf) + self.decode(ids[middle:], leaf)
+    def decode(self, ids: np.ndarray | list[int], leaf: int = 1 << 16) -> bytes:
+        """The tokens' bytes side by side; leaves are gathered at once."""
+        if len(ids) > leaf:
+            middle = len(ids) // 2
+            return self.decode(ids[:middle], leaf) + self.decode(ids[middle:], leaf)
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and ids.min() < 0:
+            raise IndexError("an id below 0")
+        sizes = self._sizes[ids]
+        at = np.cumsum(sizes) - sizes
+        return self._bytes[np.repeat(self._starts[ids] - at, sizes) + np.arange(sizes.sum())].tobytes()
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -143,11 +180,15 @@ class Codec:
         outer = self
 
         class Known(dict):
+            before: dict[str, bytes] = {}
+
             def __missing__(self, piece: str) -> bytes:
-                data = piece.encode("utf-8", "surrogatepass")
-                packed = np.array(outer.tree.encode(data), dtype="<u4").tobytes()
-                if len(data) <= CACHE_BYTES:
+                packed = self.before.get(piece)
+                if packed is None:
+                    packed = struct.pack(f"<{len(ids := outer.tree.encode(piece.encode('utf-8', 'surrogatepass')))}I", *ids)
+                if len(piece) <= CACHE_BYTES:
                     if len(self) >= CACHE_PIECES:
+                        self.before = dict(self)
                         self.clear()
                     self[piece] = packed
                 return packed
@@ -159,7 +200,7 @@ class Codec:
         return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
 
     def decode(self, packed: bytes) -> bytes:
-        return self.tree.decode(np.frombuffer(packed, "<u4").tolist())
+        return self.tree.decode(np.frombuffer(packed, "<u4"))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}

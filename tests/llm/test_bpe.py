@@ -94,3 +94,36 @@ def test_query(spark, theirs):
         assert got[d]["n_tokens"] == len(want)
         assert got[d]["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert got[d]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_ordinary_pieces_go_through_the_tree(ranks, theirs, spark):
+    """Each piece of the table that is no token is joined from its parts, at least once."""
+    codec = bpe.Codec(ranks, P.PATTERN)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r["text"]]
+    assert [ids(codec, t) for t in texts] == theirs.encode_ordinary_batch(texts)
+    pieces = {p.encode() for t in texts for p in codec.pieces.findall(t)}
+    split = [p for p in pieces if p not in ranks]
+    assert len(split) > 0.5 * len(pieces) and codec.tree.joins >= 0.5 * len(split)
+    fresh = bpe.TreeBpe(ranks)
+    for p in split[:300]:
+        before = fresh.joins
+        fresh._halves.clear()
+        assert fresh.encode(p) == fresh._plain(p) and (fresh.joins > before) == (len(p) > 2)
+
+
+def test_tokens_that_merging_does_not_yield():
+    """The first merge in abcd is bc, after which no pair is a token; so the token abcd comes of the piece abcd only."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"ab": 257, b"abcd": 258, b"xabc": 259, b"da": 260}
+    tree, theirs = bpe.TreeBpe(ranks), tiktoken.Encoding("odd", pat_str=r"[a-z]+", mergeable_ranks=ranks, special_tokens={})
+    assert b"abcd" not in tree.parts and b"xabc" not in tree.parts and b"ab" in tree.parts
+    rnd = random.Random(5)
+    for data in [b"abcd", b"xabc", b"abcdabcd", *(bytes(rnd.choice(b"abcdx") for _ in range(rnd.randrange(1, 40))) for _ in range(2000))]:
+        assert tree.encode(data) == theirs.encode_ordinary(data.decode())
+
+
+def test_wrong_ids():
+    tree = bpe.TreeBpe({bytes([b]): b for b in range(256)})
+    assert tree.decode([]) == b"" and tree.decode([104, 105]) == b"hi"
+    for wrong in (-1, 256):
+        with pytest.raises(IndexError):
+            tree.decode([wrong])
