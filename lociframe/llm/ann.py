@@ -3,10 +3,15 @@
 Vectors are scaled to length one, so the cosine is their inner product. Product codes of four bits for each pair of
 dimensions are chosen, and their codewords fitted, to penalise the part of the residual that is parallel to the vector
 more than the rest, as it is the one that changes high inner products. A query's tables of inner products with the
-codewords are read by the codes, two at a time, for all vectors; the best of each block are scored again exactly.
+codewords are read by the codes, two at a time; of the best of all, the original vectors are fetched and scored exactly.
 
-Equal vectors are coded once, with their smallest ids, so copies cost nothing and ties come out by id. Queries and
-vectors meet in pairs of blocks of fixed size; every query meets every vector.
+Vectors are dealt out to lists by their nearest centre, about LIST of them to each, and a query scans the lists whose
+centres are nearest to it: as many as hold the share `recall` of the nearest neighbours in a sample. Where vectors form
+clusters these are few, whatever the number of lists; where they form none, it is a good part of them, and without `recall`
+it is all of them, with exact scores in place of codes. Queries and codes meet in pairs of blocks of fixed size, and only
+codes and hashes are copied for that.
+
+Equal vectors are coded once, with their smallest ids, so copies cost nothing and ties come out by id.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have another length than most,
 take no part; rows of the same id and vector count once; a query's own id is no candidate. A null id takes no part.
@@ -24,11 +29,14 @@ from pyspark.sql import functions as F
 
 from lociframe.llm.common import cut
 
-#: Codewords of a pair of dimensions (four bits), and vectors in the sample they are fitted on, about.
+#: Codewords of a pair of dimensions (four bits), and vectors in the sample that they and the centres are fitted on, about.
 WORDS, SAMPLE = 16, 20_000
 
-#: Vectors and queries of a block; vectors of a block that are scored again for each query.
-VECTORS, QUERIES, AGAIN = 8192, 1024, 128
+#: Vectors of a list, about, and lists at most; vectors and queries of a block.
+LIST, LISTS, VECTORS, QUERIES = 4096, 1024, 8192, 1024
+
+#: Vectors that are scored exactly for each query, and how many of them one block may give.
+AGAIN, FROM_BLOCK = 192, 96
 
 
 @dataclass
@@ -101,6 +109,31 @@ def tables(queries: np.ndarray, book: Codebook) -> np.ndarray:
     return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(queries), low.shape[1], 256).astype(np.float32)
 
 
+def centres(x: np.ndarray, n: int, rounds: int = 8, seed: int = 45) -> np.ndarray:
+    """n directions that the vectors of length one gather about."""
+    out = x[np.random.default_rng(seed).choice(len(x), min(n, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        own = (x @ out.T).argmax(1)
+        sums = np.zeros_like(out)
+        np.add.at(sums, own, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        out = np.where(size > 0, sums / np.maximum(size, 1e-300), out)
+    return out
+
+
+def probes(x: np.ndarray, middle: np.ndarray, k: int, recall: float, asked: int = 400) -> int:
+    """How many nearest lists hold this share of the k nearest others of some of the sample's vectors. In a sample
+    neighbours are farther than in all, so it is no less there."""
+    asked = min(asked, len(x))
+    near = x[:asked] @ x.T
+    near[np.arange(asked), np.arange(asked)] = -np.inf
+    best = np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, :k] if len(x) > k else np.argsort(-near, axis=1)[:, : len(x) - 1]
+    place = np.argsort(np.argsort(-(x[:asked] @ middle.T), axis=1), axis=1)
+    found = np.take_along_axis(place, (x @ middle.T).argmax(1)[best], axis=1).ravel()
+    share = np.cumsum(np.bincount(found, minlength=len(middle))) / max(1, len(found))
+    return int(np.searchsorted(share, min(recall, share[-1]) - 1e-12)) + 1 if len(found) else len(middle)
+
+
 def valid(vector: str) -> Column:
     """Finite, and not zero."""
     v = F.col(f"`{vector}`")
@@ -108,14 +141,34 @@ def valid(vector: str) -> Column:
     return v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each two rows, in double precision; very large and very small components are scaled first, so no square is lost."""
+    x, y = (v if 1e-150 < np.abs(v).max() < 1e150 and (np.abs(v).max(1) > 1e-100).all() else v / np.abs(v).max(1, keepdims=True) for v in (x, y))
+    return np.einsum("nd,nd->n", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+
+
 def _unit(rows: list) -> np.ndarray:
     x = np.asarray(rows, float)
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow of squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): of each row where is_query holds the k nearest others by cosine."""
+@dataclass
+class Index:
+    book: Codebook
+    middle: np.ndarray  # centres of the lists
+    probed: int  # lists that a query scans
+
+
+def fit_index(x: np.ndarray, total: int, k: int, recall: float | None) -> Index:
+    """x: a sample of vectors of length one of a table that has total of them."""
+    middle = centres(x, max(1, min(LISTS, total // LIST, len(x) // 8)))
+    return Index(fit(x), middle, len(middle) if recall is None else probes(x, middle, k, recall))
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", recall: float | None = 0.985) -> DataFrame:
+    """(query_id, rank, id, score): of each row where is_query holds the k nearest others by cosine. recall: the share of
+    neighbours that the scanned lists are to hold; None: exactly the nearest, by scores of every vector for every query."""
     spark = df.sparkSession
     rows = df.where(valid(vector) & F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("asks").alias("asks")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -129,44 +182,69 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
     drawn = distinct.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * SAMPLE).collect()
     if not drawn:
         drawn = distinct.select("v").limit(SAMPLE).collect()
-    book = fit(_unit([r["v"] for r in drawn]))
-    shared = spark.sparkContext.broadcast(book)
+    index = fit_index(_unit([r["v"] for r in drawn]), total, k, recall)
+    shared = spark.sparkContext.broadcast(index)
+    whole = recall is None  # vectors stand in place of codes
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = padded(_unit(b.column(0).to_pylist()))
-                made = [c.tobytes() for c in packed(shared.value.codes(x))]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=["v", "ids", "h", "code"])
+                x = _unit(b.column(0).to_pylist())
+                made = x if whole else packed(shared.value.book.codes(padded(x)))
+                own = (x @ shared.value.middle.T).argmax(1)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in made], pa.binary())], names=["h", "list", "code"])
 
-    blocks, asks = -(-total // VECTORS), max(1, -(-asking // QUERIES))
-    kind = df.schema[vector].dataType.simpleString()
-    coded = distinct.select("v", "ids", "h").mapInArrow(code, f"v {kind}, ids array<{df.schema[id].dataType.simpleString()}>, h bigint, code binary")
-    coded = coded.select(F.pmod("h", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"), "v", "ids", "code")
-    query = rows.where("asks").select("id", "v").distinct()
-    query = query.select(F.pmod(F.xxhash64("id"), F.lit(asks)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), "id", "v", F.xxhash64("v").alias("h"))
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _unit(b.column(1).to_pylist())
+                near = np.argsort(-(x @ shared.value.middle.T), axis=1, kind="stable")[:, : shared.value.probed]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([q.tobytes() for q in x], pa.binary()), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["qh", "q", "lists"])
+
+    coded = cut(distinct.select("v", "h").mapInArrow(code, "h bigint, list int, code binary"))
+    # no more rows than lists
+    lists = F.broadcast(coded.groupBy("list").agg(F.expr(f"cast((count(*) + {VECTORS - 1}) div {VECTORS} as int)").alias("blocks")))
+    asks = max(1, -(-asking * index.probed // (len(index.middle) * QUERIES)))
+    query = cut(rows.where("asks").select("id", "v").distinct().withColumn("qh", F.xxhash64("v")))
+    seen = query.select("qh", "v").dropDuplicates(["qh"]).mapInArrow(probe, "qh bigint, q binary, lists array<int>")
+    seen = seen.select("qh", "q", F.explode("lists").alias("list")).join(lists, "list")
+    seen = seen.select("list", F.pmod(F.xxhash64("qh"), F.lit(asks)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qh", "q")
+    held = coded.join(lists, "list").select("list", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"), F.pmod("h", F.col("blocks")).cast("int").alias("block"), "h", "code")
 
     def scan(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if asked.num_rows and held.num_rows:
-            own, ids = np.asarray(held.column("v").to_pylist(), float), held.column("ids").to_pylist()
-            lengths = np.linalg.norm(own, axis=1)
-            codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T.copy()
-            names, hashes, vectors = asked.column("id").to_pylist(), asked.column("h").to_pylist(), np.asarray(asked.column("v").to_pylist(), float)
+            h, names = held.column("h").to_numpy(), asked.column("qh").to_numpy()
+            data = b"".join(held.column("code").to_pylist())
+            x = np.frombuffer(data).reshape(len(h), -1) if whole else np.frombuffer(data, np.uint8).reshape(len(h), -1).T.copy()
+            vectors = np.frombuffer(b"".join(asked.column("q").to_pylist())).reshape(len(names), -1)
             for i in range(0, len(names), 64):
-                for name, h, q, t in zip(names[i : i + 64], hashes[i : i + 64], vectors[i : i + 64], tables(_unit(vectors[i : i + 64]), shared.value), strict=True):
-                    guess = t[0].take(codes[0])
-                    for m in range(1, len(codes)):
-                        guess += t[m].take(codes[m])
-                    again = np.arange(len(ids)) if len(ids) <= AGAIN else np.argpartition(-guess, AGAIN)[:AGAIN]
-                    exact = own[again] @ q / (lengths[again] * np.linalg.norm(q))
-                    best = sorted(zip((-exact).tolist(), (ids[x] for x in again), strict=True), key=lambda s: (s[0], s[1][0]))[: k + 1]
-                    flat = sorted((s, x) for s, own_ids in best for x in own_ids if x != name)[:k]
-                    out += [(name, h, x, -s) for s, x in flat]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table([pa.array(columns[0], asked.schema.field("id").type), pa.array(columns[1], pa.int64()), pa.array(columns[2], asked.schema.field("id").type), pa.array(columns[3], pa.float64())], names=["query_id", "h", id, "score"])
-
+                read = [None] * 64 if whole else tables(vectors[i : i + 64], shared.value.book)
+                for name, q, t in zip(names[i : i + 64], vectors[i : i + 64], read, strict=False):
+                    if whole:
+                        guess = (x @ q).astype(np.float32)
+                    else:
+                        guess = t[0].take(x[0])
+                        for m in range(1, len(x)):
+                            guess += t[m].take(x[m])
+                    again = np.arange(len(h)) if len(h) <= FROM_BLOCK else np.argpartition(-guess, FROM_BLOCK)[:FROM_BLOCK]
+                    out.append((np.full(len(again), name), h[again], guess[again]))
+        columns = [np.concatenate([o[k] for o in out]) for k in range(3)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.float32)]
+        return pa.table([pa.array(c) for c in columns], names=["qh", "h", "guess"])
+
+    met = seen.groupBy("list", "ask", "block").cogroup(held.groupBy("list", "ask", "block")).applyInArrow(scan, "qh bigint, h bigint, guess float")
+    order = Window.partitionBy("qh").orderBy(F.desc("guess"), "h")
+    best = met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= AGAIN).select("qh", "h")
+    pairs = best.join(distinct, "h").join(query.select("qh", F.col("id").alias("query_id"), F.col("v").alias("q")), "qh").select("query_id", "qh", "q", "v", "ids")
     kind = df.schema[id].dataType.simpleString()
-    met = query.groupBy("ask", "block").cogroup(coded.groupBy("ask", "block")).applyInArrow(scan, f"query_id {kind}, h bigint, `{id}` {kind}, score double")
-    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), F.asc(id))
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                made = cosines(*(np.asarray(b.column(c).to_pylist(), float) for c in (2, 3)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made), b.column(4)], names=["query_id", "qh", "score", "ids"])
+
+    scored = pairs.mapInArrow(score, f"query_id {kind}, qh bigint, score double, ids array<{kind}>")
+    found = scored.select("query_id", "qh", "score", F.explode("ids").alias(id)).where(F.col(f"`{id}`") != F.col("query_id"))
+    place = Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), F.col(f"`{id}`"))
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", F.col(f"`{id}`"), "score")

@@ -119,3 +119,35 @@ def test_parallel_residuals_count_more():
     by_table = sum(tables[:, m][:, ann.packed(codes)[:, m]] for m in range(4))
     direct = np.einsum("qmd,nmd->qn", x[:3].reshape(3, 8, 2), np.stack([book.words[m][codes[:, m]] for m in range(8)], 1))
     assert np.allclose(by_table, direct, atol=1e-5)
+
+
+def gathered(n, d=16, clusters=40, seed=9):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(clusters, d))
+    return middle[rng.integers(0, clusters, n)] + 0.3 * rng.normal(size=(n, d))
+
+
+def test_few_lists_are_scanned_where_vectors_form_clusters(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 100)
+    x = gathered(3000)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.fit_index(unit, len(x), 5, 0.985)
+    assert len(index.middle) == 30 and index.probed <= 6
+    assert ann.fit_index(unit, len(x), 5, None).probed == 30
+    spread = np.random.default_rng(1).normal(size=(3000, 64))
+    assert ann.fit_index(spread / np.linalg.norm(spread, axis=1, keepdims=True), 3000, 5, 0.985).probed > 15
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = {(q, i) for q, _, i, _ in exact(rows, lambda i: i % 50 == 0)}
+    got = {(r[0], r[2]) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect()}
+    assert len(want & got) / len(want) >= 0.95
+    whole = {(r[0], r[2]) for r in ann.nearest(df, F.col("vec_id") % 50 == 0, recall=None).collect()}
+    assert whole == want
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [3e200, 0.0]), (3, [-1.0, 1.0]), (4, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for recall in (0.985, None):
+        got = [(r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") == 0, recall=recall).orderBy("rank").collect()]
+        assert [i for i, _ in got] == [1, 4, 2, 3] and np.allclose([s for _, s in got], [1, 1, 0.5**0.5, 0], atol=1e-12)
