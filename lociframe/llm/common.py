@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociframe.checkpoint import cut, fresh_dir, shared_dir
 
-__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "cut", "fields", "fresh_dir", "shared_dir", "small_batches"]
+__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "cut", "fields", "fresh_dir", "own_prefix", "shared_dir", "small_batches"]
 
 #: The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,6 +29,14 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def own_prefix(*tables: DataFrame) -> str:
+    """What the names of an operator's own columns begin with: none of these tables has a column that does."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for t in tables for c in t.columns):
+        prefix += "_"
+    return prefix
+
+
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Exactly these columns, whatever else the table has."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -2,7 +2,7 @@
 
 Texts are equal when they are identical without blanks ([\\x20\\x09-\\x0D]); null counts as empty. Rows are grouped by
 length, those that share one by a hash of their first characters, and only rows of groups that survive both have their
-full content hashed. The surviving groups reach the second scan as a bitmap of fixed size, so the texts themselves are
+full content hashed. The surviving groups reach the second scan as a bitmap of bounded size, so the texts themselves are
 never shuffled; a chance hit in the bitmap costs one more hash and changes no result.
 
 Defined results: of equal texts stays the row with the most code points in the original text, then the smallest id
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import BLANKS, cut
+from lociframe.llm.common import BLANKS, cut, own_prefix
 from lociframe.llm.repeats import bitmap, mark
 
 #: Characters whose hash refines a length group.
@@ -27,48 +27,48 @@ def normal(text: str) -> Column:
     return reduce(lambda c, x: F.replace(c, F.lit(x)), BLANKS, F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-def _key() -> list[Column]:
-    return [F.octet_length("__normal"), F.xxhash64(F.substring("__normal", 1, PREFIX))]
-
-
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __normal, and __hit: whether the row's length and prefix hash occur more than once."""
-    made = docs.withColumn("__normal", normal(text))
-    length, prefix = _key()
+def candidates(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with the normalised text and whether the row's length and prefix hash occur more than once, and the names of
+    these two columns."""
+    p = own_prefix(docs)
+    made = docs.withColumn(whole := f"{p}normal", normal(text))
+    key = [F.octet_length(whole), F.xxhash64(F.substring(whole, 1, PREFIX))]
     # counted by both at once, so that many copies are few rows before anything is joined by length
-    seen = cut(made.groupBy(length.alias("length"), prefix.alias("prefix")).agg(F.count("*").alias("n")))
+    seen = cut(made.groupBy(key[0].alias("length"), key[1].alias("prefix")).agg(F.count("*").alias("n")))
     lengths = seen.groupBy("length").agg(F.sum("n").alias("rows")).where("rows > 1").select("length")
     groups = seen.join(lengths, "length", "left_semi").where("n > 1").select("length", "prefix")
-    return mark(made, _key(), bitmap(groups))
+    return mark(made, key, bitmap(groups, seen.where("n > 1").count()), hit := f"{p}hit"), whole, hit
 
 
 def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
     """One row for each row of docs: id, keep_id (id of the row that stays), group_size, kept. digest names a column for
     the SHA-256 of every normalised text; without it only the texts of surviving groups are hashed."""
-    own, full = f"`{id}`", F.sha2("__normal", 256)
-    seen = candidates(docs.select(F.col(own), F.col(f"`{text}`")), text)
+    seen, whole, hit = candidates(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text")
+    full = F.sha2(whole, 256)
     rows = cut(
         seen.select(
-            F.col(own).alias("id"), F.monotonically_increasing_id().alias("uid"), F.coalesce(F.char_length(F.col(f"`{text}`")), F.lit(0)).alias("size"),
-            "__hit", (full if digest else F.when(F.col("__hit"), full)).alias("full"),
+            "id", F.monotonically_increasing_id().alias("uid"), F.coalesce(F.char_length("text"), F.lit(0)).alias("size"),
+            F.col(hit).alias("hit"), (full if digest else F.when(F.col(hit), full)).alias("full"),
         )
     )
-    groups = rows.where("__hit").groupBy("full").agg(F.max(F.struct("size", (-F.col("id")).alias("id"), (-F.col("uid")).alias("uid"))).alias("best"), F.count("*").alias("group_size"))
-    groups = cut(groups).select("full", (-F.col("best.id")).alias("keep_id"), (-F.col("best.uid")).alias("best"), "group_size")
+    order = F.struct((-F.col("size")).alias("size"), F.col("id").isNull().alias("none"), "id", "uid")
+    groups = cut(rows.where("hit").groupBy("full").agg(F.min(order).alias("best"), F.count("*").alias("group_size")))
+    groups = groups.select("full", F.col("best.id").alias("keep_id"), F.col("best.uid").alias("best"), "group_size")
     extra = [F.col("full").alias(digest)] if digest else []
     one = [F.col("id").alias(id)]
-    alone = rows.where(~F.col("__hit")).select(*one, F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), *extra)
-    shared = rows.where("__hit").join(groups, "full").select(*one, "keep_id", "group_size", (F.col("uid") == F.col("best")).alias("kept"), *extra)
+    alone = rows.where("not hit").select(*one, F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), *extra)
+    shared = rows.where("hit").join(groups, "full").select(*one, "keep_id", "group_size", (F.col("uid") == F.col("best")).alias("kept"), *extra)
     return alone.unionByName(shared)
 
 
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that exact_groups does not keep; rows outside surviving groups are not shuffled, and each
     task passes on one row of a group at most."""
-    seen = candidates(docs, text)
+    seen, whole, hit = candidates(docs, text)
+    full, rank = f"{hit}_full", f"{hit}_rank"
     order = [F.char_length(F.col(f"`{text}`")).desc_nulls_last(), F.col(f"`{id}`").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])]
-    within = Window.partitionBy("__full").orderBy(*order)
-    shared = seen.where("__hit").withColumn("__full", F.sha2("__normal", 256)).drop("__normal")
-    shared = shared.withColumn("__rank", F.row_number().over(within)).where("__rank = 1")
+    within = Window.partitionBy(full).orderBy(*order)
+    shared = seen.where(F.col(hit)).withColumn(full, F.sha2(whole, 256)).drop(whole)
+    shared = shared.withColumn(rank, F.row_number().over(within)).where(F.col(rank) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return seen.where(~F.col("__hit")).select(*columns).unionByName(shared.select(*columns))
+    return seen.where(~F.col(hit)).select(*columns).unionByName(shared.select(*columns))

@@ -202,7 +202,7 @@ def label(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     given = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), "lang_pred string", "score double"])
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

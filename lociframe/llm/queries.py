@@ -90,8 +90,8 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_and_read(spark, fields(read(spark, sf_dir, "pages"), "page_id", "url", "html"))
-    size = F.coalesce(F.octet_length("payload").cast("bigint"), F.col("length"))
-    return back.select(F.col("id").alias("page_id"), size.alias("payload_bytes"), warc.verified(F.col("payload"), F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
+    digest = warc.verified(F.col("payload"), F.col("digest"))
+    return back.select(warc.row_id("record_id").alias("page_id"), F.col("length").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", warc.row_id("refers_to").alias("refers_to"))
 
 
 sql(

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import cut, small_batches
+from lociframe.llm.common import cut, own_prefix, small_batches
 from lociframe.llm.components import components
 from lociframe.llm.repeats import bitmap, mark
 
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, bits: int
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, "fp")]
     given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"), f"fp {'bigint' if bits == BITS else 'binary'}"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), f"fp {'bigint' if bits == BITS else 'binary'}"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -477,7 +477,7 @@ def differing(similarity: float) -> float:
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(h, shingles): the distinct shingle hashes of texts (h, text)."""
+    """(h, shingles): the distinct shingle hashes of texts (h, text). h: the text's SHA-256."""
     small_batches(texts.sparkSession, 200)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,14 +485,19 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
             made = [np.unique(shingle_hashes(t, words)).view("<i8") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["h", "shingles"])
 
-    return texts.select("h", "text").mapInArrow(over, "h bigint, shingles array<bigint>")
+    return texts.select("h", "text").mapInArrow(over, "h binary, shingles array<bigint>")
+
+
+def _named_text(text: str) -> Column:
+    """The text's SHA-256, so that no two texts share a name."""
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
 
 
 def _sets(docs: DataFrame, text: str, fps: DataFrame, distinct: DataFrame, words: int) -> DataFrame:
-    """(fp, shingles) of fps. Only their texts are read: a bitmap of fixed size keeps the others from being moved."""
+    """(fp, shingles) of fps. Only their texts are read: a bitmap keeps the others from being moved."""
     asked = cut(fps.join(distinct.select("fp", "h"), "fp"))
-    held = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = mark(held, [F.col("h")], bitmap(asked.select("h"))).where("__hit").drop("__hit").join(asked, "h", "left_semi")
+    held = docs.select(_named_text(text).alias("h"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    found = mark(held, [F.col("h")], bitmap(asked.select("h"), asked.count())).where("__hit").drop("__hit").join(asked, "h", "left_semi")
     sets = shingle_sets(found.groupBy("h").agg(F.any_value("text").alias("text")), words)
     return cut(asked.join(sets, "h").select("fp", "shingles"))
 
@@ -555,9 +560,9 @@ def _similar(docs: DataFrame, id: str, text: str, words: int, similarity: float,
     """docs, without the text, with fp; the distinct fp with their least id; and the roots (u, v) of similar groups."""
     f = differing(similarity)
     spread = math.sqrt(bits * f * (1 - f))
-    marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    rows = cut(fingerprints(marked, text, words, bits, repeats=False))
-    distinct = cut(rows.groupBy("fp").agg(F.min(F.col(f"`{id}`")).alias("least"), F.min("__h").alias("h")))
+    name = f"{own_prefix(docs)}h"
+    rows = cut(fingerprints(docs.withColumn(name, _named_text(text)), text, words, bits, repeats=False))
+    distinct = cut(rows.groupBy("fp").agg(F.min(F.col(f"`{id}`")).alias("least"), F.min(name).alias("h")))
     planned = plan(*agreement(distinct, bits), 0, [16, 20, 24, 28, 32, 36, 40, 46], 1, f, recall)
     most = int(f * bits + 2.5 * spread)
     every = cut(links(distinct, int(f * bits - 2 * spread), bits, planned, most, parts=True))
@@ -570,7 +575,7 @@ def _similar(docs: DataFrame, id: str, text: str, words: int, similarity: float,
     new = _confirmed(pairs, sets, similarity).select("ra", "rb")
     roots = components(_joined(roots, new))
     rest = _rest(every, roots, sets, planned, bits, most, similarity)
-    return rows.drop("__h"), distinct, roots if rest.isEmpty() else components(_joined(roots, rest))
+    return rows.drop(name), distinct, roots if rest.isEmpty() else components(_joined(roots, rest))
 
 
 def _joined(roots: DataFrame, new: DataFrame) -> DataFrame:
@@ -589,10 +594,11 @@ def drop_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", **opti
     """docs with one row of each group of similar texts: that of the smallest id (of rows that share it, that of the
     smallest content hash). A group is known by its root fingerprint, so ids that are null or repeated join no groups."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    hashed = docs.select(F.col(f"`{id}`").alias("id"), F.xxhash64(*columns).alias("content"), F.col(f"`{text}`").alias("text"))
+    content = F.struct(_named_text(text).alias("text"), F.xxhash64(*columns).alias("rest"))  # of unlike texts never the same
+    hashed = docs.select(F.col(f"`{id}`").alias("id"), content.alias("content"), F.col(f"`{text}`").alias("text"))
     rows, _, roots = _similar(hashed, "id", "text", **(SIMILAR | options))
     best = _rooted(rows, roots).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("best"))
-    best = best.select(F.col("best.id").alias("__best"), F.col("best.content").alias("__content"))
-    marked = docs.withColumn("__content", F.xxhash64(*columns))
-    kept = marked.join(best, "__content").where(F.col(f"`{id}`").eqNullSafe(F.col("__best")))
-    return kept.dropDuplicates(["__content"]).select(*columns)
+    own, key = (f"{own_prefix(docs)}{x}" for x in ("id", "content"))
+    best = best.select(F.col("best.id").alias(own), F.col("best.content").alias(key))
+    kept = docs.withColumn(key, content).join(best, key).where(F.col(f"`{id}`").eqNullSafe(F.col(own)))
+    return kept.dropDuplicates([key]).select(*columns)

@@ -116,7 +116,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
     name, new = vocabulary.rsplit("/", 1)[-1], ("n_words", "n_tokens", "n_unknown")
     columns = [c for c in df.columns if c != text and c not in new]
     given = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"), *(f"{n} bigint" for n in new)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), *(f"{n} bigint" for n in new)])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _COUNTS:

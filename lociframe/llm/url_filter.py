@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import ascii_lower
+from lociframe.llm.common import ascii_lower, own_prefix
 
 #: The index travels with the plan, so the number of rules is bounded.
 MAX_RULES = 100_000
@@ -102,11 +102,13 @@ def judge(urls: DataFrame, rules: list[Rule], url: str = "url", default: str = "
     buckets = F.from_json(F.lit(json.dumps(held)), f"array<array<{ENTRY}>>")  # folded to a constant before it runs
     tried = F.from_json(F.lit(json.dumps(loose)), f"array<{ENTRY}>")
     host, path = host_path(F.col(f"`{url}`"))
+    p = own_prefix(urls)
+    target, tokens, won = (f"{p}{x}" for x in ("target", "tokens", "won"))
     made = urls.drop("host", "path", "rule", "rule_priority", "action").withColumns({"host": host, "path": path})
-    made = made.withColumn("__target", F.concat("host", "path")).withColumn("__tokens", _tokens(F.col("__target")))
-    fetched = F.flatten(F.transform("__tokens", lambda t: F.filter(F.element_at(buckets, (F.crc32(t.cast("binary")) % width + 1).cast("int")), lambda r: r["token"] == t)))
-    fits = F.filter(F.concat(fetched, tried), lambda r: F.rlike(F.col("__target"), r["regex"]) & (F.col("host") != ""))
+    made = made.withColumn(target, F.concat("host", "path")).withColumn(tokens, _tokens(F.col(target)))
+    fetched = F.flatten(F.transform(tokens, lambda t: F.filter(F.element_at(buckets, (F.crc32(t.cast("binary")) % width + 1).cast("int")), lambda r: r["token"] == t)))
+    fits = F.filter(F.concat(fetched, tried), lambda r: F.rlike(F.col(target), r["regex"]) & (F.col("host") != ""))
     best = F.array_max(F.transform(fits, lambda r: F.struct(r["priority"].alias("priority"), r["size"].alias("size"), r["rule"].alias("rule"), r["action"].alias("action"))))
-    made = made.withColumn("__best", best)
-    made = made.withColumns({"rule": F.col("__best.rule"), "rule_priority": F.col("__best.priority"), "action": F.coalesce("__best.action", F.lit(default))})
-    return made.drop("__best", "__target", "__tokens")
+    made = made.withColumn(won, best)
+    made = made.withColumns({"rule": F.col(f"{won}.rule"), "rule_priority": F.col(f"{won}.priority"), "action": F.coalesce(f"{won}.action", F.lit(default))})
+    return made.drop(won, target, tokens)

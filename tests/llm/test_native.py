@@ -9,7 +9,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from lociframe.llm import exact_dedup, mixing, queries, repeats, url_filter
+from lociframe.llm import exact_dedup, mixing, queries, repeats, simhash, url_filter
 
 
 def no_python(df):
@@ -113,9 +113,12 @@ def test_drop_copies(spark):
 
 def test_bitmap_misses_nothing(spark):
     keys = spark.range(5000).select(F.col("id").alias("k"))
-    seen = repeats.mark(spark.range(20000), [F.col("id")], repeats.bitmap(keys))
+    seen = repeats.mark(spark.range(20000), [F.col("id")], repeats.bitmap(keys, 5000))
     assert seen.where("id < 5000 and not __hit").count() == 0
     assert seen.where("id >= 5000 and __hit").count() < 200
+    small = repeats.mark(spark.range(20000).withColumn("__place", F.lit("kept")), [F.col("id")], repeats.bitmap(keys.where("false"), 0), "found")
+    assert small.columns == ["id", "__place", "found"] and small.where("found or __place != 'kept'").count() == 0
+    assert repeats.bitmap(keys, 10**12).bits == repeats.MOST
 
 
 @pytest.mark.parametrize("weights", [[1], [1, 1], [5, 3, 2], [7, 1, 1], [6, 3, 3, 2, 2, 1, 1], [97, 2, 1], [1] * 30])
@@ -181,6 +184,35 @@ def test_mix_bounds(spark):
     assert mixing.mix(df.where("false"), {})[0].count() == 0
 
 
+@pytest.mark.parametrize("weights", [{"a": 19_999, "b": 2}, {"a": 1_000_003, "b": 700_001, "c": 13}, {f"s{k}": 1 + k % 7 for k in range(60)}])
+def test_any_weights_and_sources(spark, weights, monkeypatch):
+    """Long periods and many phases, through a plan in several parts too."""
+    rnd = random.Random(1)
+    rows = [(k, rnd.choice([*weights, "other"])) for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string")
+    counts = Counter(s for _, s in rows)
+    want = simulate({f"={s}": -(-n // 4) for s, n in counts.items()}, {f"={s}": w for s, w in weights.items()} | {"=other": 1})
+    for inline in (mixing.INLINE, 100):
+        monkeypatch.setattr(mixing, "INLINE", inline)
+        done, slots = mixing.mix(df, weights, block_docs=4)
+        no_python(done)
+        got = done.collect()
+        owner = {r["slot"]: f"={r['source']}" for r in got}
+        assert len(got) == len(rows) and [owner[k] for k in range(slots)] == want
+        assert all(r["released"] <= r["slot"] < r["due"] for r in got)
+
+
+def test_own_names_give_way(spark):
+    """Columns that are called as the operators' own were stay as they are."""
+    names = ["__normal", "__hit", "__full", "__rank", "__best", "__target", "__tokens", "__key", "__hash", "__bucket", "__place", "__row", "__bits", "__content"]
+    df = spark.createDataFrame([(1, "a b", "s", "http://x.com/en/1", *names), (2, "ab", "s", None, *names), (3, "c", None, "u", *names)], "doc_id bigint, text string, source string, url string, " + ", ".join(f"`{n}` string" for n in names))
+    for done, n in ((exact_dedup.drop_copies(df), 2), (mixing.mix(df, {"s": 2})[0], 3), (url_filter.judge(df, [url_filter.Rule("||com/en/", "block")]), 3), (simhash.drop_similar(df), 3)):
+        got = done.collect()
+        assert len(got) == n and all(r[c] == c for r in got for c in names)
+    ids = exact_dedup.exact_groups(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in ids.collect()) == [("1", "1", True), ("2", "1", False), ("3", "3", True)]
+
+
 def test_mixing_query_places_each_document_once(spark):
     got = queries.op6_mix_sources(spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()
