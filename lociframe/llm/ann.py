@@ -35,8 +35,8 @@ WORDS, SAMPLE = 16, 20_000
 #: Vectors of a list, about, and lists at most; vectors and queries of a block.
 LIST, LISTS, VECTORS, QUERIES = 4096, 1024, 8192, 1024
 
-#: Vectors that are scored exactly for each query, and how many of them one block may give.
-AGAIN, FROM_BLOCK = 192, 96
+#: Vectors that are scored exactly for each query; its blocks give as many in all, each twice k at least.
+AGAIN = 256
 
 
 @dataclass
@@ -147,7 +147,12 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("nd,nd->n", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
 
 
-def _unit(rows: list) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length without nulls as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _unit(rows: list | np.ndarray) -> np.ndarray:
     x = np.asarray(rows, float)
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow of squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -189,7 +194,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = _unit(b.column(0).to_pylist())
+                x = _unit(_matrix(b.column(0)))
                 made = x if whole else packed(shared.value.book.codes(padded(x)))
                 own = (x @ shared.value.middle.T).argmax(1)
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in made], pa.binary())], names=["h", "list", "code"])
@@ -197,13 +202,14 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = _unit(b.column(1).to_pylist())
+                x = _unit(_matrix(b.column(1)))
                 near = np.argsort(-(x @ shared.value.middle.T), axis=1, kind="stable")[:, : shared.value.probed]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([q.tobytes() for q in x], pa.binary()), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["qh", "q", "lists"])
 
     coded = cut(distinct.select("v", "h").mapInArrow(code, "h bigint, list int, code binary"))
     # no more rows than lists
     lists = F.broadcast(coded.groupBy("list").agg(F.expr(f"cast((count(*) + {VECTORS - 1}) div {VECTORS} as int)").alias("blocks")))
+    from_block = max(2 * k, -(-AGAIN // (index.probed * max(1, -(-total // (len(index.middle) * VECTORS))))))
     asks = max(1, -(-asking * index.probed // (len(index.middle) * QUERIES)))
     query = cut(rows.where("asks").select("id", "v").distinct().withColumn("qh", F.xxhash64("v")))
     seen = query.select("qh", "v").dropDuplicates(["qh"]).mapInArrow(probe, "qh bigint, q binary, lists array<int>")
@@ -227,7 +233,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
                         guess = t[0].take(x[0])
                         for m in range(1, len(x)):
                             guess += t[m].take(x[m])
-                    again = np.arange(len(h)) if len(h) <= FROM_BLOCK else np.argpartition(-guess, FROM_BLOCK)[:FROM_BLOCK]
+                    again = np.arange(len(h)) if len(h) <= from_block else np.argpartition(-guess, from_block)[:from_block]
                     out.append((np.full(len(again), name), h[again], guess[again]))
         columns = [np.concatenate([o[k] for o in out]) for k in range(3)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.float32)]
         return pa.table([pa.array(c) for c in columns], names=["qh", "h", "guess"])
@@ -241,7 +247,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                made = cosines(*(np.asarray(b.column(c).to_pylist(), float) for c in (2, 3)))
+                made = cosines(_matrix(b.column(2)), _matrix(b.column(3)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made), b.column(4)], names=["query_id", "qh", "score", "ids"])
 
     scored = pairs.mapInArrow(score, f"query_id {kind}, qh bigint, score double, ids array<{kind}>")
