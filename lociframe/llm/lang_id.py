@@ -227,6 +227,7 @@ def keep_known(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
         for batch in batches:
             pred, _ = reader.label(batch.column(at).to_pylist())
             yield batch.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+        Reader.now = None  # its words would stay with the worker, which serves later stages
 
     return docs.mapInArrow(over, docs.schema)
 
