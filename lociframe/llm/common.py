@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.checkpoint import cut, fresh_dir, shared_dir
 
-__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "cut", "fields", "fresh_dir", "own_prefix", "shared_dir", "small_batches"]
+__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "cut", "fields", "fresh_dir", "literal_table", "own_prefix", "shared_dir", "small_batches"]
 
 #: The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -37,6 +39,21 @@ def own_prefix(*tables: DataFrame) -> str:
     return prefix
 
 
+def literal_table(spark: SparkSession, parts: list[list[dict]], schema: str) -> DataFrame:
+    """Rows that the driver made, as a table: one part travels with the query, several go through the shared folder, one
+    at a time."""
+
+    def table(part: list[dict]) -> DataFrame:
+        return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(part)), f"array<struct<{schema}>>")).alias("p")).select("p.*")
+
+    if len(parts) == 1:
+        return table(parts[0])
+    out = fresh_dir(spark, "rows")
+    for part in parts:
+        table(part).coalesce(1).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Exactly these columns, whatever else the table has."""
     return df.select(*[F.col(f"`{n}`") for n in names])

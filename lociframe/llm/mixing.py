@@ -17,13 +17,12 @@ from __future__ import annotations
 
 import bisect
 import heapq
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import fresh_dir, own_prefix
+from lociframe.llm.common import literal_table, own_prefix
 
 #: Numbers of a plan that travel with the query, and that one part of a larger one has.
 INLINE = 20_000
@@ -67,7 +66,7 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
     return out
 
 
-PHASE = "array<struct<key:string,first:bigint,until:bigint,start:bigint,total:bigint,weight:bigint,at:bigint,slots:array<int>>>"
+PHASE = "key:string,first:bigint,until:bigint,start:bigint,total:bigint,weight:bigint,at:bigint,slots:array<int>"
 
 
 def _key(source: str) -> Column:
@@ -76,10 +75,6 @@ def _key(source: str) -> Column:
 
 def _planned(spark: SparkSession, plan: list[dict]) -> DataFrame:
     """The plan as a table; a large one goes through the shared folder, some of it at a time."""
-
-    def table(part: list[dict]) -> DataFrame:
-        return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(part)), PHASE)).alias("p")).select("p.*")
-
     parts: list[list[dict]] = [[]]
     room = INLINE
     for row in plan:
@@ -90,12 +85,8 @@ def _planned(spark: SparkSession, plan: list[dict]) -> DataFrame:
                 room = INLINE
             parts[-1].append(row | {"slots": piece, "at": at})
             room -= len(piece) + 1
-    if len(parts) == 1:
-        return F.broadcast(table(parts[0]))
-    out = fresh_dir(spark, "mix-plan")
-    for part in parts:
-        table(part).coalesce(1).write.mode("append").parquet(out)
-    return spark.read.parquet(out)
+    table = literal_table(spark, parts, PHASE)
+    return F.broadcast(table) if len(parts) == 1 else table
 
 
 def mix(docs: DataFrame, weights: dict[str | None, int], id: str = "doc_id", source: str = "source", block_docs: int = 16, default: int = 1) -> tuple[DataFrame, int]:

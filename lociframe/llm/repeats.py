@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from lociframe.llm.common import own_prefix
 
-#: A bitmap has at least eight bits for each key, so one in eight of other rows is hit at most, up to 2**MOST bits (64
-#: megabytes, for 64 million keys; with more keys more rows are hit), in rows of 2**ROW_BITS.
-LEAST, MOST, ROW_BITS = 20, 29, 15
+#: A bitmap has 2**LEAST bits (one megabyte) or 32 for each key, so one in 32 of other rows is hit at most, up to 2**MOST
+#: bits (64 megabytes, for 16 million keys; with more keys more rows are hit), in rows of 2**ROW_BITS.
+LEAST, MOST, ROW_BITS = 23, 29, 15
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,7 @@ def _place(key: list[Column], bits: int) -> Column:
 
 def bitmap(keys: DataFrame, count: int) -> Bitmap:
     """The bitmap of all rows of keys, of which there are about count."""
-    bits = min(MOST, max(LEAST, math.ceil(math.log2(8 * max(1, count)))))
+    bits = min(MOST, max(LEAST, math.ceil(math.log2(32 * max(1, count)))))
     place = keys.select(_place([F.col(f"`{c}`") for c in keys.columns], bits).alias("place"))
     rows = place.groupBy(F.shiftright("place", ROW_BITS).alias("__row")).agg(F.expr(f"bitmap_construct_agg(place % {1 << ROW_BITS})").alias("__bits"))
     return Bitmap(rows, bits)
