@@ -32,14 +32,14 @@ def sql(name: str, text: str) -> None:
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
 #: Patterns for URLs that no rule above fits.
-URL_PATTERNS = ("||cheap-pills.", "||spam-farm.", "||casino.", "/casino/", "/adserver/")
+URL_PATTERNS = ("||cheap-pills.", "||spam-farm.", "||casino.", "||casino-win.", "||free-bets.", "||ads-track.", "/casino/", "/adserver/", "/banner^ad^", "@@/casino/rules|")
 
 
 @query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [url_filter.Rule(f"||{r}", action, 1) for r, action in URL_RULES] + [url_filter.Rule(p, "block") for p in URL_PATTERNS]
+    rules = [url_filter.Rule(f"||{r}", action, 2) for r, action in URL_RULES] + [url_filter.parse(p) for p in URL_PATTERNS]
     done = url_filter.judge(fields(read(spark, sf_dir, "pages"), "page_id", "url"), rules)
-    return done.select("page_id", "host", "path", F.when(F.col("rule_priority") == 1, F.col("rule")).alias("rule"), F.col("action").alias("verdict"))
+    return done.select("page_id", "host", "path", F.when(F.col("rule_priority") == 2, F.col("rule")).alias("rule"), F.col("action").alias("verdict"))
 
 
 sql(
@@ -57,7 +57,7 @@ WITH cut AS (
 )
 SELECT p.page_id, p.host, p.path, f.rule,
   CASE WHEN f.rule IS NOT NULL THEN f.act
-       WHEN p.host <> '' AND (regexp_matches(p.host || p.path, '^([^/]*[.])?(cheap-pills|spam-farm|casino)[.]') OR contains(p.host || p.path, '/casino/') OR contains(p.host || p.path, '/adserver/')) THEN 'block'
+       WHEN p.host <> '' AND (regexp_matches(p.host || p.path, '^([^/]*[.])?(cheap-pills|spam-farm|casino|casino-win|free-bets|ads-track)[.]') OR contains(p.host || p.path, '/casino/') OR contains(p.host || p.path, '/adserver/') OR regexp_matches(p.host || p.path, '/banner([^a-zA-Z0-9_.%-]|$)ad([^a-zA-Z0-9_.%-]|$)')) AND NOT ends_with(p.host || p.path, '/casino/rules') THEN 'block'
        ELSE 'allow' END AS verdict
 FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
 """,
