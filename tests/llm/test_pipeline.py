@@ -5,7 +5,6 @@ import re
 
 import public_tokenizers as P
 import tiktoken
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lociframe.llm.bpe import read_ranks
@@ -77,7 +76,6 @@ def test_empty_table(spark, tmp_path):
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "byte_bpe"]
     assert corpus_pipeline.ORACLE_SQL is None
-    assert F is not None
 
 
 def test_rows_carry_their_place_in_the_mix(spark, tmp_path):
