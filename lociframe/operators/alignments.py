@@ -33,26 +33,43 @@ def coverage(hits: DataFrame, chrom: str = "chrom", pos: str = "pos", weight: st
 
 def distribute_multi(hits: DataFrame, rounds: int = 4, enough: float = 0.05, read: str = "read_id", chrom: str = "chrom", pos: str = "pos", pseudo: float = 0.01) -> DataFrame:
     """hits with weight: each read's one unit in proportion to the coverage where its hits lie, by expectation and
-    maximisation. Rounds end when the mean change of a weight is below enough; each is kept in the shared folder."""
-    now = cut(weighted_hits(hits, read))
+    maximisation. Rounds end when the mean change of a weight is below enough; each is kept in the shared folder. Reads of
+    one hit keep their weight, so only their coverage takes part."""
+    first = weighted_hits(hits, read)
+    unique = first.where("weight = 1")
+    fixed = cut(unique.groupBy(chrom, pos).agg(F.sum("weight").alias("weight")))
+    now, total = cut(first.where("weight < 1")), hits.count()
     for _ in range(rounds):
-        placed = now.join(coverage(now, chrom, pos, pseudo=pseudo), [chrom, pos])
+        covered = coverage(fixed.unionByName(now.select(chrom, pos, "weight")), chrom, pos, pseudo=pseudo)
+        placed = now.join(covered, [chrom, pos])
         totals = placed.groupBy(read).agg(F.sum("coverage").alias("__t"))
         following = cut(placed.join(totals, read).withColumn("__w", F.col("coverage") / F.col("__t")).drop("coverage", "__t"))
-        change = following.agg(F.avg(F.abs(F.col("__w") - F.col("weight")))).first()[0] or 0.0
+        change = (following.agg(F.sum(F.abs(F.col("__w") - F.col("weight")))).first()[0] or 0.0) / max(1, total)
         now = following.withColumn("weight", F.col("__w")).drop("__w")
         if change < enough:
             break
-    return now
+    return unique.unionByName(now.select(*unique.columns))
 
 
 def tail_threshold(rate: float, p: float = 0.01) -> int:
-    """The least k with P(X >= k) <= p for X Poisson."""
-    k, below, term = 0, 0.0, math.exp(-rate)
-    while 1 - below > p:
-        below += term
+    """The least k with P(X >= k) <= p for X Poisson; terms are summed from the largest, so the rate may be any."""
+    k = math.floor(rate)
+    mass = math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else 1.0
+    tail, term, j = 0.0, mass, k  # P(X >= k)
+    while term > 1e-18 and rate > 0:
+        tail += term
+        j += 1
+        term *= rate / j
+    if rate <= 0:
+        return 1
+    while tail > p:  # up
+        tail -= mass
         k += 1
-        term *= rate / k
+        mass *= rate / k
+    while k > 0 and tail + mass * k / rate <= p:  # down
+        mass *= k / rate
+        k -= 1
+        tail += mass
     return k
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.operators.metrics import accuracy, moments, pearson_of, spearman
+from lociframe.operators.ordered import numbered
+from lociframe.operators.quantiles import wide
 
 
 def correlation_table(df: DataFrame, target: list[str], y: str, p: str) -> DataFrame:
@@ -20,10 +22,13 @@ def correlation_table(df: DataFrame, target: list[str], y: str, p: str) -> DataF
     return out
 
 
-def equal_buckets(df: DataFrame, value: str, n: int, id: str, group: list[str] | None = None) -> DataFrame:
-    """df with quantile (from 0): buckets that end at the whole parts of an even division of the rows."""
-    w = Window.partitionBy(*(group or []))
-    ranked = df.withColumns({"__k": F.row_number().over(w.orderBy(value, id)) - 1, "__n": F.count("*").over(w)})
+def equal_buckets(df: DataFrame, value: str, n: int, id: str, group: list[str] | None = None, spread: bool = True) -> DataFrame:
+    """df with quantile (from 0): buckets that end at the whole parts of an even division of the rows; value and id have
+    no ties together. spread: ranks are taken over any number of tasks."""
+    group = group or []
+    sizes = df.groupBy(*group).agg(F.count("*").alias("__n"))
+    ranked = numbered(df.withColumn("__o", F.struct(value, id)), group, ["__o"], "__k", spread).drop("__o")
+    ranked = ranked.join(sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))  # one row
     cut = F.least(F.floor(F.col("__k") * n / F.col("__n")), F.lit(n - 1))
     # bucket q starts at floor(q * rows / n)
     fixed = F.when(F.floor((cut + 1) * F.col("__n") / n) <= F.col("__k"), cut + 1).when(F.floor(cut * F.col("__n") / n) > F.col("__k"), cut - 1).otherwise(cut)
@@ -119,13 +124,13 @@ def indel(ref: Column, alt: Column, absolute: bool = True) -> Column:
     return F.abs(d) if absolute else d
 
 
-def pseudocount(df: DataFrame, ids: DataFrame, quantile: float, gene: str = "gene_id", target: str = "target_id", value: str = "value") -> DataFrame:
+def pseudocount(df: DataFrame, ids: DataFrame, quantile: float, gene: str = "gene_id", target: str = "target_id", value: str = "value", spread: bool = True) -> DataFrame:
     """(target, pseudo): a quantile over the genes whose id, without its version, is listed."""
     from lociframe.functions.sequence import without_version
 
     listed = ids.select(without_version(F.col(gene)).alias("__g")).distinct()
     held = df.withColumn("__g", without_version(F.col(gene))).join(listed, "__g", "left_semi")
-    return held.groupBy(target).agg(F.percentile(value, F.lit(quantile)).alias("pseudo"))
+    return wide(held, [target], value, {"pseudo": quantile}, spread)
 
 
 def plain_window_score(df: DataFrame, sites: DataFrame, reach: int = 2000, key: str = "key", pos: str = "pos", value: str = "value", site: str = "site") -> DataFrame:

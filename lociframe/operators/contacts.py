@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.operators.quantiles import wide
+
 
 def outer(df: DataFrame, keys: list[str], i: str = "i", value: str = "v") -> DataFrame:
     """(keys, i, j, apart, mean, max, dot, geodot): every two positions of a key, both ways round."""
@@ -45,10 +47,21 @@ def without_bins(df: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def clipped_by_diagonal(df: DataFrame, keys: list[str], value: str = "value", times: float = 10.0) -> DataFrame:
+def clipped_by_diagonal(df: DataFrame, keys: list[str], value: str = "value", times: float = 10.0, spread: bool = False) -> DataFrame:
     """Values at most so many times the median of their diagonal."""
-    tops = df.groupBy(*keys, F.abs(F.col("i") - F.col("j")).alias("__d")).agg((F.percentile(value, F.lit(0.5)) * times).alias("__t"))
-    return df.withColumn("__d", F.abs(F.col("i") - F.col("j"))).join(tops, [*keys, "__d"]).withColumn(value, F.least(value, "__t")).drop("__d", "__t")
+    placed = df.withColumn("__d", F.abs(F.col("i") - F.col("j")))
+    tops = wide(placed, [*keys, "__d"], value, {"__t": 0.5}, spread)
+    return placed.join(tops, [*keys, "__d"]).withColumn(value, F.least(F.col(value), F.col("__t") * times)).drop("__d", "__t")
+
+
+def read_map(df: DataFrame, masked: DataFrame, keys: list[str], factor: int = 1, sd: float = 0.0, most: float | None = None, value: str = "value") -> DataFrame:
+    """A raw map (keys, i, j, value; its upper triangle) as an example's target: without the masked bins, clipped by
+    diagonal, coarsened, observed over expected as a logarithm, smoothed, and clipped at both signs of most."""
+    made = clipped_by_diagonal(without_bins(df, masked, keys), keys, value)
+    made = coarsened(made, keys, factor, value) if factor > 1 else made
+    made = observed_over_expected(made, keys, value, log=True)
+    made = blurred(made.where(F.col(value).isNotNull()), keys, sd, value) if sd else made
+    return made if most is None else made.withColumn(value, F.greatest(F.least(F.col(value), F.lit(most)), F.lit(-most)))
 
 
 def coarsened(df: DataFrame, keys: list[str], factor: int, value: str = "value") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.operators.intervals import bins_touched, overlap_join
+from lociframe.operators.intervals import bins_touched, chain, overlap_join
 
 
 def gene_bins(windows: DataFrame, segments: DataFrame, stride: int, id: str = "snp_id", gene: str = "gene_id", majority: bool = True, intron: bool = False, width: int = 1 << 14) -> DataFrame:
@@ -140,13 +140,10 @@ def clear_middle(flags: DataFrame, keys: list[str], bins: int) -> DataFrame:
     return flags.groupBy(*keys).agg(F.count_if(F.col("flag") & middle).alias("hit")).where("hit = 0").drop("hit")
 
 
-def active_blocks(coverage: DataFrame, gap: int = 50_000, key: str = "chrom", pos: str = "pos", value: str = "coverage") -> DataFrame:
+def active_blocks(coverage: DataFrame, gap: int = 50_000, key: str = "chrom", pos: str = "pos", value: str = "coverage", spread: bool = False) -> DataFrame:
     """(chrom, start, end) of stretches with coverage that no run of at least so many empty positions splits."""
-    held = coverage.where(F.col(value) > 0)
-    w = Window.partitionBy(key).orderBy(pos)
-    opens = F.when(F.col(pos) - F.lag(pos).over(w) - 1 < gap, 0).otherwise(1)
-    marked = held.withColumn("__o", opens).withColumn("__b", F.sum("__o").over(w))
-    return marked.groupBy(key, "__b").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end")).drop("__b")
+    marked = chain(coverage.where(F.col(value) > 0), gap + 1, key, pos, spread)
+    return marked.groupBy(key, "cluster").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end")).drop("cluster")
 
 
 def final_coverage(unique: DataFrame, multi: DataFrame, clip: float, paired: bool, least: float = 0.003, chrom: str = "chrom", pos: str = "pos") -> DataFrame:

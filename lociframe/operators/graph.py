@@ -37,11 +37,56 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def labelled(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
-    """nodes with component: the smallest node that each reaches."""
-    found = components(edges, a, b).select(F.col("u").alias(node), F.col("v").alias("component"))
+    """nodes with component: the smallest node that each reaches. Names are numbered once, so that the rounds move whole
+    numbers."""
+    if edges.schema[a].dataType.simpleString() in ("bigint", "int"):
+        found = components(edges, a, b).select(F.col("u").alias(node), F.col("v").alias("component"))
+        return nodes.join(found, node, "left").withColumn("component", F.coalesce("component", node))
+    held = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    named = cut(held.select(F.explode(F.array("a", "b")).alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    numbers = held.join(named.select(F.col("name").alias("a"), F.col("id").alias("x")), "a").join(named.select(F.col("name").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    roots = components(numbers, "x", "y")
+    rooted = named.join(roots, F.col("id") == F.col("u"), "left").select("name", F.coalesce("v", "id").alias("root"))
+    least = cut(rooted.groupBy("root").agg(F.min("name").alias("component")))  # on its own, so that a hot root's join can be split
+    found = rooted.join(least, "root").select(F.col("name").alias(node), "component")
     return nodes.join(found, node, "left").withColumn("component", F.coalesce("component", node))
 
 
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 6, a: str = "a", b: str = "b", weight: str = "w", seed: int = 44) -> DataFrame:
+    """(node, community): groups of nodes that are joined more than their weights would have it, by moves that raise the
+    modularity: in each round half of the nodes (by hash) go where they gain most, all at once; when none gains, or after
+    so many rounds, each group becomes a node and the moves begin anew. A community is named by its smallest node. Each
+    round is a few joins by node and by community, kept in the shared folder."""
+    half = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"), F.col(weight).cast("double").alias("w"))
+    e = cut(half.unionByName(half.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
+    total = e.agg(F.sum("w")).first()[0] or 1.0
+    named = cut(e.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct())
+    for level in range(levels):
+        degrees = cut(e.groupBy("u").agg(F.sum("w").alias("k")))
+        now, still = cut(degrees.select("u", "k", F.col("u").alias("c"))), 0
+        for round_ in range(rounds):
+            sums = now.groupBy("c").agg(F.sum("k").alias("s"))
+            to = e.where("u != v").join(now.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+            own = now.select("u", "c", F.lit(0.0).alias("w"))
+            tried = to.unionByName(own).groupBy("u", "c").agg(F.sum("w").alias("w")).join(now.select("u", "k", F.col("c").alias("mine")), "u").join(sums, "c")
+            gain = F.col("w") - resolution * F.col("k") * (F.col("s") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / total
+            best = tried.withColumn("g", F.round(gain, 12)).groupBy("u", "k", "mine").agg(F.min_by("c", F.struct(-F.col("g"), F.col("c") != F.col("mine"), "c")).alias("best"))
+            turn = F.pmod(F.xxhash64("u", F.lit(seed + level)) + round_, F.lit(2)) == 0
+            following = cut(best.select("u", "k", F.when(turn, F.col("best")).otherwise(F.col("mine")).alias("c"), (turn & (F.col("best") != F.col("mine"))).alias("moved")))
+            moved = following.where("moved").limit(1).count()
+            now, still = following.drop("moved"), 0 if moved else still + 1
+            if still == 2:  # neither half gains
+                break
+        least = now.groupBy("c").agg(F.min("u").alias("least"))
+        named_groups = cut(now.join(least, "c").select("u", "least"))
+        grown = e.join(named_groups.select("u", F.col("least").alias("x")), "u").join(named_groups.select(F.col("u").alias("v"), F.col("least").alias("y")), "v")
+        named = cut(named.join(named_groups.select(F.col("u").alias("community"), "least"), "community").select("node", F.col("least").alias("community")))
+        before, e = degrees.count(), cut(grown.groupBy(F.col("x").alias("u"), F.col("y").alias("v")).agg(F.sum("w").alias("w")))
+        if named_groups.select("least").distinct().count() == before:
+            break
+    return named
+
+
 def _block_pairs(df: DataFrame, id: str, vector: str, block: int, keep) -> DataFrame:
     """(a, b, cosine): rows meet in pairs of blocks of bounded size, each compared by one matrix product; keep(cosines, ids
     of the rows, ids of the columns) gives the cells to return."""

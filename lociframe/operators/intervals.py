@@ -8,10 +8,14 @@ for one task.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.operators.ordered import dealt, running
+from lociframe.operators.ordered import dealt, running, running_sums
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -59,18 +63,16 @@ def merge(df: DataFrame, key: str = "key", start: str = "start", end: str = "end
     return marked.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
 
 
-def subtract(spans: DataFrame, holes: DataFrame, key: str = "key", start: str = "start", end: str = "end") -> DataFrame:
+def subtract(spans: DataFrame, holes: DataFrame, key: str = "key", start: str = "start", end: str = "end", spread: bool = False) -> DataFrame:
     """What holes leave of each key's one span. Overlapping holes are merged first; touching and outlying ones are fine."""
-    merged = merge(holes, key, start, end).select(key, F.col(start).alias("__hs"), F.col(end).alias("__he"))
-    inside = spans.join(merged, key, "left").where(F.col("__hs").isNull() | ((F.col("__hs") < F.col(end)) & (F.col("__he") > F.col(start))))
+    merged = merge(holes, key, start, end, spread=spread).select(F.col(key).alias("__key"), F.col(start).alias("__hs"), F.col(end).alias("__he"))
+    within = (F.col(key) == F.col("__key")) & (F.col("__hs") < F.col(end)) & (F.col("__he") > F.col(start))
+    inside = spans.join(merged, within, "left").select(key, start, end, "__hs", "__he")
     w = Window.partitionBy(key, start, end).orderBy("__hs")
     pieces = inside.withColumn("__next", F.coalesce(F.lead("__hs").over(w), F.col(end))).withColumn("__first", F.row_number().over(w) == 1)
     before = F.when(F.col("__first") & F.col("__hs").isNotNull(), F.struct(F.col(start).alias("s"), F.col("__hs").alias("e")))
     after = F.struct(F.coalesce("__he", F.col(start)).alias("s"), F.col("__next").alias("e"))
-    out = pieces.select(key, F.explode(F.array(before, after)).alias("p")).where("p is not null").select(key, F.col("p.s").alias(start), F.col("p.e").alias(end)).where(F.col(start) < F.col(end))
-    whole = spans.join(merged.select(key).distinct(), key, "left_semi")
-    untouched = whole.join(inside.select(key).distinct(), key, "left_anti").select(key, start, end)
-    return out.unionByName(untouched)
+    return pieces.select(key, F.explode(F.array(before, after)).alias("p")).where("p is not null").select(key, F.col("p.s").alias(start), F.col("p.e").alias(end)).where(F.col(start) < F.col(end))
 
 
 def tile(df: DataFrame, length: int, stride: int, start: str = "start", end: str = "end", snap: int | None = None, inclusive: bool = True) -> DataFrame:
@@ -112,13 +114,24 @@ def break_large(df: DataFrame, most: int, start: str = "start", end: str = "end"
     return out.withColumns({start: F.col("__w.s"), end: F.col("__w.e")}).drop("__p", "__w")
 
 
-def without_overlaps(df: DataFrame, key: str = "key", owner: str = "owner", start: str = "start", end: str = "end", width: int = 64) -> DataFrame:
-    """Rows that overlap no row of another owner under the same key."""
-    other = df.select(F.col(key), F.col(owner).alias("__owner"), F.col(start).alias("__s"), F.col(end).alias("__e"))
-    left = df.withColumn("__bin", _bins(F.col(start), F.col(end), width))
-    right = other.withColumn("__bin", _bins(F.col("__s"), F.col("__e"), width))
-    hit = left.join(right, [key, "__bin"]).where((F.col(start) < F.col("__e")) & (F.col("__s") < F.col(end)) & (F.col(owner) != F.col("__owner")))
-    return df.join(hit.select(key, owner, start, end).distinct(), [key, owner, start, end], "left_anti")
+def _covering(df: DataFrame, key: list[str], start: str, end: str, out: str, spread: bool) -> DataFrame:
+    """df with how many rows of its key start before its end, less those that end at its start or before: what overlaps it,
+    itself included (where it has a length). No pairs are made."""
+    at = F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col(end).alias("at"), F.lit(0).alias("s"), F.lit(1).alias("e"))))
+    steps = df.select(*key, at.alias("x")).groupBy(*key, "x.at").agg(F.sum("x.s").alias("s"), F.sum("x.e").alias("e"))
+    sums = running_sums(steps, key, "at", {"__s": "s", "__e": "e"}, spread)
+    started = sums.select(*key, F.col("at").alias(end), (F.col("__s") - F.col("s")).alias("__started"))
+    ended = sums.select(*key, F.col("at").alias(start), F.col("__e").alias("__ended"))
+    return df.join(started, [*key, end]).join(ended, [*key, start]).withColumn(out, F.col("__started") - F.col("__ended")).drop("__started", "__ended")
+
+
+def without_overlaps(df: DataFrame, key: str = "key", owner: str = "owner", start: str = "start", end: str = "end", spread: bool = False) -> DataFrame:
+    """Rows that overlap no row of another owner under the same key: those that all rows cover no more often than their
+    owner's own do. Sweeps over starts and ends, so the work grows with the rows, not with their overlaps."""
+    each = df.groupBy(key, owner, start, end).agg(F.count("*").alias("__n"))  # equal rows count once
+    both = _covering(_covering(each, [key], start, end, "__all", spread), [key, owner], start, end, "__own", spread)
+    alone = both.where(F.col("__all") == F.col("__own")).select(key, owner, start, end)
+    return df.join(alone, [key, owner, start, end], "left_semi")
 
 
 def bins_touched(start: Column, end: Column, stride: int, majority: bool = True) -> Column:
@@ -149,36 +162,62 @@ def chain(df: DataFrame, distance: int, key: str = "key", pos: str = "pos", spre
     return marked.withColumnRenamed("__island", "cluster").drop("__last")
 
 
-def greedy(df: DataFrame, reach: float, key: str = "key", pos: str = "pos") -> DataFrame:
-    """(key, first, n): a cluster takes positions until one is reach or more from its first. The fold is ordered by
-    nature; it runs over one sorted array of distinct positions for each key."""
-    counted = df.groupBy(key, pos).agg(F.count("*").alias("n"))
-    folded = counted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).cast("bigint").alias("p"), "n"))).alias("a"))
-    out = F.aggregate(
-        "a",
-        F.struct(F.array().cast("array<struct<first:bigint,n:bigint>>").alias("done"), F.lit(None).cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("n")),
-        lambda acc, x: F.when(
-            acc["first"].isNull() | (x["p"] >= acc["first"] + reach),
-            F.struct(F.when(acc["first"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["first"].alias("first"), acc["n"].alias("n")))).alias("done"), x["p"].alias("first"), x["n"].alias("n")),
-        ).otherwise(F.struct(acc["done"].alias("done"), acc["first"].alias("first"), (acc["n"] + x["n"]).alias("n"))),
-        lambda acc: F.array_append(acc["done"], F.struct(acc["first"].alias("first"), acc["n"].alias("n"))),
-    )
-    return folded.select(key, F.explode(out).alias("c")).select(key, "c.first", "c.n")
-
-
-def running_mean_clusters(df: DataFrame, distance: float, key: str = "key", pos: str = "pos") -> DataFrame:
-    """(key, mean, n): a position joins the open cluster if it is within the distance of the cluster's mean so far."""
-    folded = df.groupBy(key).agg(F.sort_array(F.collect_list(F.col(pos).cast("bigint"))).alias("a"))
-    out = F.aggregate(
-        "a",
-        F.struct(F.array().cast("array<struct<total:bigint,n:bigint>>").alias("done"), F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("n")),
-        lambda acc, x: F.when(
-            (acc["n"] > 0) & (x - acc["total"] / acc["n"] <= distance),
-            F.struct(acc["done"].alias("done"), (acc["total"] + x).alias("total"), (acc["n"] + 1).alias("n")),
-        ).otherwise(F.struct(F.when(acc["n"] == 0, acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["total"].alias("total"), acc["n"].alias("n")))).alias("done"), x.alias("total"), F.lit(1).cast("bigint").alias("n"))),
-        lambda acc: F.array_append(acc["done"], F.struct(acc["total"].alias("total"), acc["n"].alias("n"))),
-    )
-    return folded.select(key, F.explode(out).alias("c")).select(key, (F.col("c.total") / F.col("c.n")).alias("mean"), F.col("c.n").alias("n"))
+def _folded(df: DataFrame, key: str, pos: str, apart: float, spread: bool, step, schema: str) -> DataFrame:
+    """A fold over each key's positions (with n, how many rows have one) in order. Where the next is `apart` or more away a
+    new fold begins, so that a key is dealt out by its gaps; each part streams through its task in bounded memory. step: a
+    function of a stream of (new, pos, n) that gives rows of first columns."""
+    kind = df.schema[key].dataType.simpleString()
+    counted = df.groupBy(key, F.col(pos).cast("bigint").alias("__p")).agg(F.count("*").alias("__n"))
+    d = running(dealt(counted, [key], "__p", spread), [key], ["__p"], {"__last": ("last", F.col("__p"))}, spread)
+    marked = _islands(d, key, ["__p"], F.when(F.col("__p") - F.col("__last") < apart, 0).otherwise(1), spread)
+    laid = marked.select(F.col(key).alias("key"), F.col("__island").alias("part"), F.col("__p").alias("p"), F.col("__n").alias("n"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = laid.repartition(n, "key", "part").sortWithinPartitions("key", "part", "p")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for batch in batches:
+            keys, out = batch.column(0), []
+            names = keys.to_pylist()
+            for k, part, p, n in zip(names, *(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                if last != (k, part):
+                    if state is not None:
+                        out.append((last[0], *state))
+                    state, last = None, (k, part)
+                state, done = step(state, p, n)
+                if done is not None:
+                    out.append((k, *done))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], keys.type), *(pa.array([o[c] for o in out], pa.int64()) for c in (1, 2))], names=["key", "a", "b"])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], keys.type), pa.array([state[0]], pa.int64()), pa.array([state[1]], pa.int64())], names=["key", "a", "b"])
+
+    return laid.mapInArrow(over, f"key {kind}, a bigint, b bigint").select(F.col("key").alias(key), *[F.expr(x) for x in schema.split(", ")])
+
+
+def greedy(df: DataFrame, reach: float, key: str = "key", pos: str = "pos", spread: bool = False) -> DataFrame:
+    """(key, first, n): a cluster takes positions until one is reach or more from its first. A gap of the reach always ends
+    one, so a key is dealt out by those; between them the fold is ordered by nature."""
+
+    def step(state, p, n):
+        if state is None:
+            return (p, n), None
+        return ((p, n), state) if p >= state[0] + reach else ((state[0], state[1] + n), None)
+
+    return _folded(df, key, pos, reach, spread, step, "a as first, b as n")
+
+
+def running_mean_clusters(df: DataFrame, distance: float, key: str = "key", pos: str = "pos", spread: bool = False) -> DataFrame:
+    """(key, mean, n): a position joins the open cluster if it is within the distance of the cluster's mean so far. A gap
+    over the distance always ends a cluster, so a key is dealt out by those."""
+
+    def step(state, p, n):  # rows of one position follow each other: the first may open a cluster, which the others join
+        if state is None:
+            return (p * n, n), None
+        return ((state[0] + p * n, state[1] + n), None) if p - state[0] / state[1] <= distance else ((p * n, n), state)
+
+    made = _folded(df, key, pos, math.nextafter(distance, math.inf), spread, step, "a as total, b as n")
+    return made.select(key, (F.col("total") / F.col("n")).alias("mean"), "n")
 
 
 def runs(df: DataFrame, low: Column, key: str = "key", pos: str = "pos", min_rows: int = 1, spread: bool = False) -> DataFrame:
@@ -235,8 +274,19 @@ def offsets(lengths: DataFrame, key: str = "key", length: str = "length") -> Dat
     return lengths.withColumn("offset", F.sum(length).over(w) - F.col(length))
 
 
+#: Chromosomes, about, that a broadcast may have.
+FEW = 100_000
+
+
 def from_offset(places: DataFrame, laid: DataFrame, place: str = "place", key: str = "key") -> DataFrame:
-    """places with the key and the position in it, the inverse of offsets (key, length, offset): one row for each
-    chromosome is joined by the range that holds the place."""
-    ranges = laid.select(F.col(key), F.col("offset").alias("__o"), (F.col("offset") + F.col("length")).alias("__e"))
-    return places.join(F.broadcast(ranges), (F.col(place) >= F.col("__o")) & (F.col(place) < F.col("__e"))).withColumn("pos", F.col(place) - F.col("__o")).drop("__o", "__e")
+    """places with the key and the position in it, the inverse of offsets (key, length, offset). Few keys, as chromosomes
+    are, are joined by the range that holds the place; many are swept together with the places."""
+    ranges = laid.select(F.col("offset").alias("o"), (F.col("offset") + F.col("length")).alias("e"), F.col(key).alias("k"))
+    if laid.limit(FEW + 1).count() <= FEW:
+        met = places.join(F.broadcast(ranges), (F.col(place) >= F.col("o")) & (F.col(place) < F.col("e")))
+        return met.withColumns({key: F.col("k"), "pos": F.col(place) - F.col("o")}).drop("o", "e", "k")
+    rows = places.select(F.col(place).alias("__at"), F.lit(1).alias("__side"), F.lit(None).alias("__own"), F.struct(*places.columns).alias("__row"))
+    marks = ranges.select(F.col("o").alias("__at"), F.lit(0).alias("__side"), F.struct("o", "e", "k").alias("__own"), F.lit(None).alias("__row"))
+    swept = dealt(marks.unionByName(rows), [], "__at", True)
+    found = running(swept, [], ["__at", "__side"], {"__last": ("max", F.col("__own"))}, True).where("__side = 1 and __at < __last.e")
+    return found.select("__row.*", F.col("__last.k").alias(key), (F.col("__at") - F.col("__last.o")).alias("pos"))

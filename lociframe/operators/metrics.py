@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.operators.ordered import mid_ranks, running_sums
+from lociframe.operators.ordered import dealt, mid_ranks, numbered, running, running_sums
 
 
 def moments(y: str, p: str) -> list[Column]:
@@ -72,8 +72,21 @@ def auprc(df: DataFrame, target: list[str], label: str, score: str, spread: bool
     return sums.select(*target, F.when(F.col("np") > 0, F.col("a") / F.col("np")).otherwise(0.0).alias("auprc"))
 
 
-def benjamini_hochberg(df: DataFrame, group: list[str], p: str = "p", order: list[str] | None = None, legacy: bool = False) -> DataFrame:
-    """df with q: the step-up false discovery rate. legacy: floor(p * m / rank), without the step-up."""
+def benjamini_hochberg(df: DataFrame, group: list[str], p: str = "p", order: list[str] | None = None, legacy: bool = False, spread: bool = False) -> DataFrame:
+    """df with q: the step-up false discovery rate. legacy: floor(p * m / rank), without the step-up. spread: a group may
+    fill any number of tasks."""
+    if spread and not legacy:  # equal p have one q, that of their last rank
+        counted = df.groupBy(*group, p).agg(F.count("*").alias("__n"))
+        sizes = counted.groupBy(*group).agg(F.sum("__n").alias("__m"))
+        ranked = running_sums(counted, group, p, {"__upto": "__n"}, True)
+        ranked = ranked.join(sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))
+        raw = ranked.select(*group, p, (-F.col(p)).alias("__down"), (F.col(p) * F.col("__m") / F.col("__upto")).alias("__raw"))
+        above = running(dealt(raw, group, "__down", True), group, ["__down"], {"__least": ("max", -F.col("__raw"))}, True)
+        q = above.select(*group, F.col(p).alias("__p"), F.least(F.col("__raw"), -F.col("__least"), F.lit(1.0)).alias("q"))
+        same = F.lit(True)
+        for c in group:
+            same = same & df[c].eqNullSafe(q[c])
+        return df.join(q, same & (df[p] == q["__p"])).select(*[df[c] for c in df.columns], "q")
     w = Window.partitionBy(*group)
     ranked = df.withColumns({"__m": F.count("*").over(w), "__k": F.row_number().over(w.orderBy(p, *(order or [])))})
     raw = F.col(p) * F.col("__m") / F.col("__k")
@@ -83,10 +96,10 @@ def benjamini_hochberg(df: DataFrame, group: list[str], p: str = "p", order: lis
     return ranked.withColumn("q", F.least(least, F.lit(1.0))).drop("__m", "__k")
 
 
-def quantile_normalised(df: DataFrame, row: list[str], column: str, value: str, stat: str = "mean") -> DataFrame:
+def quantile_normalised(df: DataFrame, row: list[str], column: str, value: str, stat: str = "mean", spread: bool = False) -> DataFrame:
     """Within each column, the value of rank k becomes the mean (or median) over columns of their k-th values; ties by
-    row."""
-    ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(column).orderBy(value, *row)))
+    row. spread: a column's ranks are taken over any number of tasks."""
+    ranked = numbered(df.withColumn("__o", F.struct(value, *row)), [column], ["__o"], "__k", spread).drop("__o")
     level = F.avg(value) if stat == "mean" else F.percentile(value, F.lit(0.5))
     return ranked.drop(value).join(ranked.groupBy("__k").agg(level.alias(value)), "__k").drop("__k")
 
@@ -114,23 +127,50 @@ def mse_udot(df: DataFrame, group: list[str], y: str, p: str, weight: float = 1.
     return df.groupBy(*group).agg((error - weight * F.avg(F.col(y) * F.col(p))).alias("loss"))
 
 
-def poisson_tail(k: Column, rate: Column, terms: int = 400) -> Column:
-    """P(X >= k) for X Poisson, by its terms below k; for k up to the number of terms. Zero and less give 1."""
-    top = F.least(k.cast("int") - 1, F.lit(terms))
-    below = F.aggregate(
-        F.when(top >= 0, F.sequence(F.lit(0), top)).otherwise(F.array().cast("array<int>")),
-        F.struct(F.exp(-rate).alias("term"), F.lit(0.0).alias("sum")),
-        lambda a, i: F.struct((a["term"] * rate / (i + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum")),
-        lambda a: a["sum"],
-    )
-    return F.greatest(F.lit(0.0), 1 - below)
+def _log_factorial(k: Column) -> Column:
+    """Less k * log(k) - k, by Stirling's series; from 10 on it is exact to double precision."""
+    x = 1 / k
+    series = x / 12 - F.pow(x, F.lit(3.0)) / 360 + F.pow(x, F.lit(5.0)) / 1260 - F.pow(x, F.lit(7.0)) / 1680 + F.pow(x, F.lit(9.0)) / 1188
+    small = F.log(F.factorial(F.least(k, F.lit(10.0)).cast("int")).cast("double")) - k * F.log(k) + k
+    return F.when(k < 10, small).otherwise(0.5 * F.log(2 * F.pi() * k) + series)
 
 
-def called_peaks(df: DataFrame, target: list[str], y: str, order: list[str], limit: float = 0.01) -> DataFrame:
+def _poisson_mass(k: Column, rate: Column) -> Column:
+    """P(X = k), k from 1, without the cancellation of large logarithms."""
+    return F.exp(k * F.log1p((rate - k) / k) + (k - rate) - _log_factorial(k))
+
+
+def poisson_tail(k: Column, rate: Column) -> Column:
+    """P(X >= k) for X Poisson, for any k and rate; zero and less give 1. The smaller tail is summed outwards from its
+    largest term until terms no longer count: some nine square roots of the rate of them at most."""
+    k, rate = F.ceil(k).cast("double"), rate.cast("double")
+    steps = F.sequence(F.lit(1), F.ceil(9 * F.sqrt(F.greatest(k, rate)) + 60).cast("int"))
+
+    def summed(ratio) -> Column:
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+        grown = lambda a, i: (a["term"] * F.greatest(ratio(i), F.lit(0.0))).alias("term")
+        return F.aggregate(steps, start, lambda a, i: F.struct(grown(a, i), (a["sum"] + a["term"] * F.greatest(ratio(i), F.lit(0.0))).alias("sum")), lambda a: a["sum"])
+
+    above = _poisson_mass(k, rate) * summed(lambda i: rate / (k + i))  # k, k + 1, ...
+    below = F.when(k > 1, _poisson_mass(k - 1, rate) * summed(lambda i: (k - i) / rate)).otherwise(F.exp(-rate))  # k - 1, k - 2, ...
+    tail = F.when(k > rate, above).otherwise(1 - below)
+    return F.when(k <= 0, 1.0).when(rate <= 0, 0.0).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
+
+
+def called_peaks(df: DataFrame, target: list[str], y: str, order: list[str], limit: float = 0.01, spread: bool = False) -> DataFrame:
     """df with p, q and peak: counts that are improbably high for their target's mean."""
     means = df.groupBy(*target).agg(F.avg(y).alias("__rate"))
     tested = df.join(means, target).withColumn("p", poisson_tail(F.round(y), F.col("__rate"))).drop("__rate")
-    return benjamini_hochberg(tested, target, "p", order).withColumn("peak", F.col("q") < limit)
+    return benjamini_hochberg(tested, target, "p", order, spread=spread).withColumn("peak", F.col("q") < limit)
+
+
+def peak_accuracy(df: DataFrame, target: list[str], y: str, p: str, bin: str = "bin", order: list[str] | None = None, every: int = 8, limit: float = 0.01, spread: bool = False) -> DataFrame:
+    """(target, n, peaks, auroc, auprc): how well predictions tell a target's peaks, which are called on every so manieth
+    bin; 0.5 and 0 where it has none."""
+    kept = df.where(F.col(bin) % every == 0).withColumnRenamed(p, "__pred")
+    peaks = called_peaks(kept, target, y, [bin, *(order or [])], limit, spread)
+    a = auroc(peaks, target, "peak", "__pred", spread).withColumnRenamed("positives", "peaks")
+    return a.join(auprc(peaks, target, "peak", "__pred", spread), target)
 
 
 def strata(x: Column, edges: list[float]) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,3 +51,11 @@ def forest_accuracy(df: DataFrame, features: list[str], value: str, id: str, fol
     model = RandomForestRegressor(labelCol=value, numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="log2")
     whole = reduce(DataFrame.unionByName, _held_out(_folded(df, features, id, folds, seed), model, folds))
     return accuracy(whole, ["fold"], value, "prediction")
+
+
+def factorised(df: DataFrame, row: str, column: str, value: str, rank: int, rounds: int = 10, penalty: float = 0.01, seed: int = 44) -> tuple[DataFrame, DataFrame]:
+    """Two tables of non-negative factors, (row, factors) and (column, factors), whose products come near the values, by
+    alternating least squares over blocks of both. Cells that are missing count for nothing; row and column are whole
+    numbers."""
+    model = ALS(rank=rank, maxIter=rounds, regParam=penalty, nonnegative=True, userCol=row, itemCol=column, ratingCol=value, seed=seed).fit(df)
+    return model.userFactors.select(F.col("id").alias(row), F.col("features").alias("factors")), model.itemFactors.select(F.col("id").alias(column), F.col("features").alias("factors"))

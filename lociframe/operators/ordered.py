@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from lociframe.checkpoint import cut
 
 
+def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with what right, which has one row for each key, has for its keys; a null is a key like any other."""
+    renamed = {k: f"__key{i}" for i, k in enumerate(keys)}
+    same = F.lit(True)
+    for k, n in renamed.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return left.join(right.withColumnsRenamed(renamed), same).drop(*renamed.values())
+
+
 def running_sums(df: DataFrame, key: list[str], order: str, sums: dict[str, str], spread: bool = False) -> DataFrame:
     """df with, for each name: column of sums, the running sum of the column by the order within the key; rows that tie
     share the sum that includes them all. spread: rows are dealt by ranges of (key, order), so that a key may span any
@@ -21,7 +30,7 @@ def running_sums(df: DataFrame, key: list[str], order: str, sums: dict[str, str]
     before = totals.select(*key, "__part", *[F.coalesce(F.sum(f"__{n}").over(w), F.lit(0)).alias(f"__{n}") for n in sums])
     w = Window.partitionBy(*key, "__part").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     within = dealt.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    return within.join(before, [*key, "__part"]).withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", *[f"__{n}" for n in sums])
+    return met(within, before, [*key, "__part"]).withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", *[f"__{n}" for n in sums])
 
 
 def mid_ranks(df: DataFrame, key: list[str], value: str, spread: bool = False) -> DataFrame:
@@ -32,6 +41,11 @@ def mid_ranks(df: DataFrame, key: list[str], value: str, spread: bool = False) -
     return done.withColumn("rank", F.col("__upto") - (F.col("n") - 1) / 2).drop("__upto")
 
 
+def numbered(df: DataFrame, key: list[str], order: list[str], out: str, spread: bool = False) -> DataFrame:
+    """df with how many rows of its key come before each, by an order without ties; with spread over any number of tasks."""
+    return running(dealt(df, key, order[0], spread), key, order, {out: ("sum", F.lit(1))}, spread).drop("__part")
+
+
 def dealt(df: DataFrame, key: list[str], order: str, spread: bool) -> DataFrame:
     """df with __part: where spread, the number of the range of (key, order) that a row is in, kept in the shared folder
     so that it stays; else 0. Rows that tie in the order share a part."""
@@ -61,6 +75,6 @@ def running(df: DataFrame, key: list[str], order: list[str], what: dict[str, tup
         for n, (kind, _) in what.items()
     }
     carry = totals.select(*parts, *[c.alias(f"__{n}") for n, c in carried.items()])
-    joined = df.withColumns(within).join(carry, parts)
+    joined = met(df.withColumns(within), carry, parts)
     mixed = {"sum": lambda a, b: a + b, "max": lambda a, b: F.greatest(a, b), "last": lambda a, b: F.coalesce(a, b), "next": lambda a, b: F.coalesce(a, b)}
     return joined.withColumns({n: mixed[kind](F.col(n), F.col(f"__{n}")) for n, (kind, _) in what.items()}).drop(*[f"__{n}" for n in what])

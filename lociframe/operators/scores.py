@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.checkpoint import cut
-from lociframe.operators.intervals import overlap_join
 from lociframe.operators.ordered import running_sums
+from lociframe.operators.quantiles import percentiles, wide
 from lociframe.operators.signal import hard_clip
 
 LENGTH_STATS = ("SAD", "logSAD", "sqrtSAD", "SAX", "D1", "logD1", "sqrtD1", "D2", "logD2", "sqrtD2", "JS", "logJS", "REF", "ALT")
@@ -123,25 +123,11 @@ def grid() -> list[float]:
 
 
 def percentile_grid(df: DataFrame, target: list[str], value: str = "value", spread: bool = True) -> DataFrame:
-    """(target, k, percentile, value): the grid over all rows of each target, by interpolation. Distinct values are
-    counted and ranked (spread: over any number of tasks), and each point takes the two values around its rank, so no task
-    holds a target's values."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*target, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    ranked = running_sums(counted, target, "__v", {"__upto": "__n"}, spread)
-    key = F.struct(*target)
-    at = F.split(F.lit(",".join(map(str, grid()))), ",").cast("array<double>")
-    points = df.where(F.col(value).isNotNull()).groupBy(*target).agg(F.count("*").alias("__rows")).select(key.alias("key"), "__rows", F.posexplode(at).alias("k", "percentile"))
-    points = points.withColumn("__at", F.col("percentile") * (F.col("__rows") - 1))
-    wanted = points.select("key", "k", "percentile", (F.col("__at") - F.floor("__at")).alias("__part"), F.explode(F.array(F.struct(F.floor("__at").alias("r"), F.lit(0).alias("side")), F.struct(F.least(F.floor("__at") + 1, F.col("__rows") - 1).alias("r"), F.lit(1).alias("side")))).alias("w"))
-    wanted = wanted.select("key", "k", "percentile", "__part", "w.side", F.col("w.r").alias("b_start"), (F.col("w.r") + 1).alias("b_end"))
-    held = ranked.select(key.alias("key"), "__v", (F.col("__upto") - F.col("__n")).alias("a_start"), F.col("__upto").alias("a_end"))
-    met = overlap_join(held, wanted, width=4096)
-    low, high = F.max(F.when(F.col("side") == 0, F.col("__v"))), F.max(F.when(F.col("side") == 1, F.col("__v")))
-    done = met.groupBy("key", "k", "percentile", "__part").agg(low.alias("__a"), high.alias("__b"))
-    return done.select("key.*", "k", "percentile", (F.col("__a") + F.col("__part") * (F.col("__b") - F.col("__a"))).alias("value"))
-
-
-def percentile_of(scores: DataFrame, grids: DataFrame, target: list[str], value: str = "value", spread: bool = False) -> DataFrame:
+    """(target, k, percentile, value): the grid over all rows of each target, by interpolation."""
+    return percentiles(df, target, value, grid(), spread)
+
+
+def percentile_of(scores: DataFrame, grids: DataFrame, target: list[str], value: str = "value", spread: bool = True) -> DataFrame:
     """scores with the percentile where the value would be inserted on the left, at most the last: distinct values and grid
     points are ordered together once and the points below each are counted. A null has none."""
     grids = cut(grids)  # asked for several times; a few hundred rows for each target
@@ -155,10 +141,10 @@ def percentile_of(scores: DataFrame, grids: DataFrame, target: list[str], value:
     return scores.join(found, [*target, value], "left")
 
 
-def fit_cauchy(df: DataFrame, target: list[str], value: str = "value") -> DataFrame:
+def fit_cauchy(df: DataFrame, target: list[str], value: str = "value", spread: bool = True) -> DataFrame:
     """(target, loc, scale): median, and half the distance of the quartiles, over all rows."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*target).agg(q.alias("q")).select(*target, F.col("q")[1].alias("loc"), ((F.col("q")[2] - F.col("q")[0]) / 2).alias("scale"))
+    q = wide(df, target, value, {"__a": 0.25, "loc": 0.5, "__c": 0.75}, spread)
+    return q.select(*target, "loc", ((F.col("__c") - F.col("__a")) / 2).alias("scale"))
 
 
 def target_set(label: Column, names: list[str]) -> Column:
@@ -202,10 +188,10 @@ def merged_targets(targets: DataFrame, index: str = "target_id", pair: str = "st
     return targets.select(index, F.least(F.col(index), F.coalesce(F.col(pair), F.col(index))).alias("merged_id"))
 
 
-def exon_gene_ratio(exons: DataFrame, genes: DataFrame, gene: str = "gene_id", target: str = "target_id", value: str = "value") -> DataFrame:
+def exon_gene_ratio(exons: DataFrame, genes: DataFrame, gene: str = "gene_id", target: str = "target_id", value: str = "value", spread: bool = True) -> DataFrame:
     """exons with the ratio of their value to their gene's, which has a pseudocount: the median over targets of the 25th
     percentile."""
-    pseudo = genes.groupBy(target).agg(F.percentile(value, F.lit(0.25)).alias("q")).agg(F.percentile("q", F.lit(0.5)).alias("__p"))
+    pseudo = wide(genes, [target], value, {"q": 0.25}, spread).agg(F.percentile("q", F.lit(0.5)).alias("__p"))  # of one row for each target
     g = genes.select(gene, target, F.col(value).alias("__g"))
     return exons.join(g, [gene, target]).crossJoin(F.broadcast(pseudo)).withColumn("ratio", F.col(value) / (F.col("__g") + F.col("__p"))).drop("__g", "__p")
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.operators.quantiles import wide
+
 #: The largest finite half-precision value.
 HALF = 65504.0
 
@@ -54,22 +56,24 @@ def hard_clip(x: Column, c: float = HALF) -> Column:
 
 
 def clip_at_percentile(df: DataFrame, p: float, value: str = "value", out: str = "value") -> DataFrame:
-    """Values clipped at both signs of the table's percentile; one row is broadcast."""
-    top = df.agg(F.percentile(value, F.lit(p)).alias("__top"))
+    """Values clipped at both signs of the table's percentile, which is found over any number of tasks; one row is
+    broadcast."""
+    top = wide(df, [], value, {"__top": p})
     return df.crossJoin(F.broadcast(top)).withColumn(out, F.greatest(F.least(F.col(value), F.col("__top")), -F.col("__top"))).drop("__top")
 
 
-def cap_masked(df: DataFrame, p: float, group: list[str], value: str = "value", mask: str = "masked") -> DataFrame:
+def cap_masked(df: DataFrame, p: float, group: list[str], value: str = "value", mask: str = "masked", spread: bool = False) -> DataFrame:
     """Masked values are at most the percentile of their group. The percentiles are aggregated, not windowed, so that a
-    large group is combined before it is shuffled."""
-    caps = df.groupBy(*group).agg(F.percentile(value, F.lit(p)).alias("__cap"))
+    large group is combined before it is shuffled; spread: its values may fill any number of tasks."""
+    caps = wide(df, group, value, {"__cap": p}, spread)
     return df.join(caps, group).withColumn(value, F.when(F.col(mask), F.least(value, "__cap")).otherwise(F.col(value))).drop("__cap")
 
 
-def baselined(df: DataFrame, p: float, group: list[str], value: str = "value", blacklisted: str = "blacklisted", least: int = 8) -> DataFrame:
+def baselined(df: DataFrame, p: float, group: list[str], value: str = "value", blacklisted: str = "blacklisted", least: int = 8, spread: bool = False) -> DataFrame:
     """Per group, the baseline is the percentile of the values if it has enough of them, else 0; blacklisted values are
     clamped between both signs of it, nulls take it."""
-    base = df.groupBy(*group).agg(F.when(F.count(value) >= least, F.percentile(value, F.lit(p))).otherwise(0.0).alias("__b"))
+    sizes = df.groupBy(*group).agg(F.count(value).alias("__size"))
+    base = sizes.join(wide(df, group, value, {"__q": p}, spread), group, "left").select(*group, F.when(F.col("__size") >= least, F.col("__q")).otherwise(0.0).alias("__b"))
     x = F.col(value)
     clamped = F.when(F.col(blacklisted), F.greatest(F.least(x, F.col("__b")), -F.col("__b"))).otherwise(x)
     return df.join(base, group).withColumn(value, F.when(x.isNull(), F.col("__b")).otherwise(clamped)).withColumnRenamed("__b", "baseline")
@@ -122,5 +126,5 @@ def varying(df: DataFrame, group: list[str], value: str = "value", least: float
 def high_variance(df: DataFrame, share: float, group: list[str], value: str = "value") -> DataFrame:
     """The share of groups with the highest variance."""
     spread = df.groupBy(*group).agg(F.var_pop(value).alias("variance"))
-    top = spread.agg(F.percentile("variance", F.lit(1 - share)).alias("__t"))
+    top = wide(spread, [], "variance", {"__t": 1 - share})
     return spread.crossJoin(F.broadcast(top)).where(F.col("variance") >= F.col("__t")).drop("__t")

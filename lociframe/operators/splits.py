@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.operators.intervals import overlap_join
+from lociframe.operators.ordered import dealt, numbered, running
 
 
 def by_key(key: Column, test: list, valid: list) -> Column:
@@ -65,13 +66,14 @@ def leakage(pairs: DataFrame, segments: DataFrame, a: tuple[str, str, str] = ("a
     return side(a, "a_split").join(side(b, "b_split"), id).join(size, id).groupBy("a_split", "b_split").agg(F.count("*").alias("pairs"), F.sum("bp").alias("bases"))
 
 
-def sampled(df: DataFrame, share: float, order: Column, group: list[str] | None = None) -> DataFrame:
-    """floor(n * share) rows (of each group), those of the smallest order. Ranks are only taken within groups."""
+def sampled(df: DataFrame, share: float, order: Column, group: list[str] | None = None, spread: bool = True) -> DataFrame:
+    """floor(n * share) rows (of each group), those of the smallest order, which has no ties. spread: a group's ranks are
+    taken over any number of tasks."""
     group = group or []
-    sizes = df.groupBy(*group).agg(F.floor(F.count("*") * share).alias("__most")) if group else df.agg(F.floor(F.count("*") * share).alias("__most"))
-    ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
-    joined = ranked.join(F.broadcast(sizes), group) if group else ranked.crossJoin(F.broadcast(sizes))
-    return joined.where(F.col("__k") <= F.col("__most")).drop("__k", "__most")
+    sizes = df.groupBy(*group).agg(F.floor(F.count("*") * share).alias("__most"))
+    ranked = numbered(df.withColumn("__o", order), group, ["__o"], "__k", spread).drop("__o")
+    joined = ranked.join(sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))  # one row
+    return joined.where(F.col("__k") < F.col("__most")).drop("__k", "__most")
 
 
 def within_budget(df: DataFrame, budget: int, group: str, order: list[Column]) -> DataFrame:
@@ -79,7 +81,7 @@ def within_budget(df: DataFrame, budget: int, group: str, order: list[Column]) -
     sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
     w = Window.orderBy(*order)  # one row for each group
     kept = sizes.withColumn("__before", F.sum("__n").over(w) - F.col("__n")).where(F.col("__before") < budget)
-    return df.join(F.broadcast(kept.select(group)), group)
+    return df.join(kept.select(group), group)
 
 
 def near_top(df: DataFrame, group: list[str], value: str, share: float = 0.666) -> DataFrame:
@@ -95,9 +97,15 @@ def top_share(df: DataFrame, group: list[str], value: str, share: float, id: str
     return ranked.join(sizes, group).where(F.col("__k") <= F.col("__most")).drop("__k", "__most")
 
 
-def shards(df: DataFrame, label: str, order: list[str], size: int = 256) -> DataFrame:
-    """df with shard: runs of so many rows within each label; none is empty."""
-    return df.withColumn("shard", F.floor((F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1) / size))
+def shards(df: DataFrame, label: str, order: list[str], size: int = 256, spread: bool = True) -> DataFrame:
+    """df with shard: runs of so many rows within each label, by an order without ties; none is empty."""
+    made = numbered(df.withColumn("__o", F.struct(*order)), [label], ["__o"], "__k", spread)
+    return made.withColumn("shard", F.floor(F.col("__k") / size)).drop("__o", "__k")
+
+
+def at_least(df: DataFrame, length: int, start: str = "start", end: str = "end") -> DataFrame:
+    """Intervals, contigs or exons, of at least so many positions."""
+    return df.where(F.col(end) - F.col(start) >= length)
 
 
 def contiguous_tail(df: DataFrame, group: str, number: str) -> DataFrame:
@@ -116,9 +124,10 @@ def inner_members(df: DataFrame, group: str, order: list[str], ends: int) -> Dat
 
 def assert_sorted(df: DataFrame, number: str, key: str, pos: str) -> DataFrame:
     """df; an error where, in the order of the row numbers, positions fall within a key or a key comes again."""
-    w = Window.orderBy(number)
-    last = df.withColumns({"__k": F.lag(key).over(w), "__p": F.lag(pos).over(w)})
-    fresh = last.withColumn("__new", F.when(F.col("__k").isNull() | (F.col("__k") != F.col(key)), 1).otherwise(0))
-    again = fresh.withColumn("__runs", F.sum("__new").over(Window.partitionBy(key)))
-    bad = ((F.col("__k") == F.col(key)) & (F.col("__p") > F.col(pos))) | (F.col("__runs") > 1)
-    return again.withColumn(pos, F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("the rows are not sorted")).cast(df.schema[pos].dataType)).otherwise(F.col(pos))).drop("__k", "__p", "__new", "__runs")
+    last = running(dealt(df, [], number, True), [], [number], {"__b": ("last", F.struct(F.col(key).alias("k"), F.col(pos).alias("p")))}, True)
+    fresh = last.withColumn("__new", F.when(F.col("__b.k").eqNullSafe(F.col(key)), 0).otherwise(1)).drop("__part")
+    runs = fresh.groupBy(F.col(key).alias("__key")).agg(F.sum("__new").alias("__runs"))
+    bad = (F.col("__b.k").eqNullSafe(F.col(key)) & (F.col("__b.p") > F.col(pos))) | (F.col("__runs") > 1)
+    error = F.raise_error(F.lit("the rows are not sorted")).cast(df.schema[pos].dataType)
+    again = fresh.join(runs, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return again.withColumn(pos, F.when(F.coalesce(bad, F.lit(False)), error).otherwise(F.col(pos))).select(*df.columns)
