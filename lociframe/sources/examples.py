@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociframe.operators.ordered import numbered
+
 EXAMPLES = T.StructType([T.StructField("seq_id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("seq", T.StringType()), T.StructField("targets", T.ArrayType(T.ArrayType(T.FloatType())))])
 
 #: Transcripts: their sequence, coding frame and junctions, with one value for each target.
@@ -67,6 +69,23 @@ def write_scores(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("stat", "chrom").parquet(path)
 
 
+def lookup(scores: DataFrame, snps: DataFrame, snp: str = "snp_id", order: str = "snp_index") -> DataFrame:
+    """The scores of the variants asked for, by their id; of several variants that share one, those of the last."""
+    asked = scores.join(snps.select(snp).distinct(), snp, "left_semi")
+    last = asked.groupBy(snp).agg(F.max(order).alias(order))
+    return asked.join(last, [snp, order])
+
+
+def negatives(df: DataFrame, most: int = 16384, seed: int = 44, id: str = "id") -> DataFrame:
+    """df where it has at most so many rows; else so many draws of its rows, each any row's with the same chance, so a row
+    may come more than once. draw numbers them; rows are numbered by their id over any number of tasks."""
+    n = df.count()
+    if n <= most:
+        return df.withColumn("draw", F.lit(None).cast("bigint"))
+    drawn = df.sparkSession.range(most).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("__k"))
+    return numbered(df, [], [id], "__k", True).join(drawn, "__k").drop("__k")
+
+
 def is_paired(reads: DataFrame) -> DataFrame:
     """One row: whether any read is one of a pair."""
     return reads.agg(F.coalesce(F.bool_or("paired"), F.lit(False)).alias("paired"))

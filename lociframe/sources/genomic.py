@@ -22,6 +22,10 @@ def _get(k: int) -> Column:
     return F.get("f", F.lit(k))
 
 
+def _chrom() -> Column:
+    return F.when(_get(0).startswith("chr"), _get(0)).otherwise(F.concat(F.lit("chr"), _get(0)))
+
+
 def chromosome_lengths(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, length) of a two-column table, or of a FASTA file."""
     first = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1).collect()
@@ -146,12 +150,16 @@ def transcript_genes(spark: SparkSession, path: str) -> DataFrame:
     return gtf(spark, path).select(F.col("attrs")["transcript_id"].alias("transcript_id"), F.col("attrs")["gene_id"].alias("gene_id")).where("transcript_id is not null and gene_id is not null").distinct()
 
 
-def vcf(spark: SparkSession, path: str, flip: bool = False) -> DataFrame:
+def vcf(spark: SparkSession, path: str, flip: bool = False, second: bool = False) -> DataFrame:
     """snp_id, chrom (with chr), pos (from 1), ref, alts, flipped. A missing id becomes chrom:pos. flip: single
-    alternatives change places with the reference."""
+    alternatives change places with the reference. second: also pos2, the sixth field, a place in another genome."""
     rows = _fields(spark, path)
-    chrom = F.when(_get(0).startswith("chr"), _get(0)).otherwise(F.concat(F.lit("chr"), _get(0)))
-    made = rows.select(chrom.alias("chrom"), _get(1).cast("bigint").alias("pos"), _get(2).alias("id"), _get(3).alias("ref"), F.split(_get(4), ",").alias("alts"))
+    if second:
+        one = vcf(spark, path).withColumn("__k", F.struct("chrom", "pos", "ref", F.array_join("alts", ",")))
+        other = rows.select(F.struct(_chrom().alias("chrom"), _get(1).cast("bigint").alias("pos"), _get(3).alias("ref"), _get(4)).alias("__k"), _get(5).cast("bigint").alias("pos2")).distinct()
+        made = one.join(other, "__k").drop("__k")
+        return flipped(made).join(made.select("snp_id", "chrom", "pos", "pos2"), ["snp_id", "chrom", "pos"]) if flip else made
+    made = rows.select(_chrom().alias("chrom"), _get(1).cast("bigint").alias("pos"), _get(2).alias("id"), _get(3).alias("ref"), F.split(_get(4), ",").alias("alts"))
     made = made.select(F.when(F.col("id") == ".", F.concat_ws(":", "chrom", F.col("pos").cast("string"))).otherwise(F.col("id")).alias("snp_id"), "chrom", "pos", "ref", "alts", F.lit(False).alias("flipped"))
     return flipped(made) if flip else made
 
@@ -186,6 +194,41 @@ def allele_sequences(windows: DataFrame, length: int) -> DataFrame:
     return each.select("snp_id", "allele", F.rpad(F.left(made, F.lit(length)), F.lit(length), F.lit("N")).alias("seq"))
 
 
+def two_genomes(variants: DataFrame, first: DataFrame, second: DataFrame, length: int) -> DataFrame:
+    """(snp_id, allele, seq): of variants with pos and pos2 the reference in the one genome and the alternative in the
+    other, each in the middle of a window of its own; an error where a genome does not carry its allele, or where there
+    are several alternatives. first, second: tiles (chrom, tile, seq)."""
+    single = variants.withColumn("__alt", F.when(F.size("alts") == 1, F.col("alts")[0]).otherwise(F.raise_error(F.concat(F.lit("several alternatives of "), "snp_id"))))
+    left, out = length // 2 - 1, None
+    for allele, (tiles, pos, held) in enumerate(((first, "pos", "ref"), (second, "pos2", "__alt"))):
+        start = F.col(pos) - 1 - left
+        windows = single.select("snp_id", "chrom", start.alias("start"), (start + length + F.length(held)).alias("end"), F.col(held).alias("held"))
+        seq = F.upper("seq")
+        fits = F.substring(seq, F.lit(left + 1), F.length("held")) == F.upper("held")
+        bad = F.raise_error(F.concat(F.lit("a genome does not carry its allele of "), "snp_id")).cast("string")
+        rows = window_sequences(windows, tiles).select("snp_id", F.lit(allele).alias("allele"), F.when(fits, F.left(seq, F.lit(length))).otherwise(bad).alias("seq"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def sam(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments of SAM text: read_id, read1 (of pairs, or single), paired, proper, mapped, duplicate, strand, chrom, pos
+    (from 0), end (by the CIGAR), cigar, template, n_hits (the NH tag, else one and those of XA), xa."""
+    from lociframe.functions.sequence import cigar_length
+
+    rows = spark.read.text(path).where((F.length(F.trim("value")) > 0) & ~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 11)
+    flag = _get(1).try_cast("int")
+    bit = lambda n: flag.bitwiseAND(F.lit(n)) != 0
+    tag = lambda name: F.substring(F.get(F.filter(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda x: x.startswith(name)), F.lit(0)), 6, 1 << 30)
+    xa, pos, cigar = tag("XA:Z:"), _get(3).try_cast("bigint") - 1, F.nullif(_get(5), F.lit("*"))
+    hits = F.coalesce(tag("NH:i:").try_cast("int"), 1 + F.coalesce(F.length(xa) - F.length(F.replace(xa, F.lit(";"))), F.lit(0)))
+    return rows.select(
+        _get(0).alias("read_id"), (~bit(1) | bit(64)).alias("read1"), bit(1).alias("paired"), bit(2).alias("proper"), (~bit(4)).alias("mapped"),
+        bit(1024).alias("duplicate"), F.when(bit(16), "-").otherwise("+").alias("strand"), F.nullif(_get(2), F.lit("*")).alias("chrom"), pos.alias("pos"),
+        (pos + cigar_length(cigar)).alias("end"), cigar.alias("cigar"), _get(8).try_cast("bigint").alias("template"), hits.alias("n_hits"), xa.alias("xa"),
+    )
+
+
 def ld_partners(variants: DataFrame, r: DataFrame, radius: int = 1_000_000, least: float = 0.1) -> DataFrame:
     """(snp_id, partner, r): partners above the threshold within the radius, and each itself at 1. r: snp_id, partner, r."""
     a = variants.select("snp_id", "chrom", F.col("pos").alias("__p"))
