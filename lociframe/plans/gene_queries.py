@@ -56,7 +56,7 @@ def description_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), gn.description_class(label).alias("class"))
 
 
-@query()
+@query("WITH f AS (SELECT key, s // 256 AS w, s % 256 // 16 AS bin, line > 1 AS flag FROM iv), m AS (SELECT key, w, count(*) FILTER (WHERE flag) / 16.0::DOUBLE AS share, count(*) FILTER (WHERE flag AND bin IN (7, 8)) AS hit FROM f GROUP BY ALL) SELECT key, w, round(share, 6) AS share FROM m WHERE share < 0.9 AND hit = 0", "iv")
 def mappable_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = intervals(spark, sf_dir)
     flags = rows.select("key", F.floor(F.col("s") / 256).alias("w"), F.floor(F.col("s") % 256 / 16).alias("bin"), (F.col("line") > 1).alias("flag"))
@@ -146,14 +146,14 @@ def example_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("seq_id").alias("key"), "bin", "target_id", F.round(F.col("value").cast("double"), 2).alias("value"))
 
 
-@query()
+@query("WITH x AS (SELECT quality = 1 AS y, n_chars AS s FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL), c AS (SELECT s, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT coalesce(y, false)) AS q FROM x GROUP BY s), r AS (SELECT s, sum(q) OVER (ORDER BY s DESC) / (sum(q) OVER ())::DOUBLE AS x, sum(p) OVER (ORDER BY s DESC) / (sum(p) OVER ())::DOUBLE AS y FROM c), l AS (SELECT x, y, coalesce(lag(x) OVER (ORDER BY s DESC), 0) AS x0, coalesce(lag(y) OVER (ORDER BY s DESC), 0) AS y0 FROM r), k AS (SELECT k, y0 + (y - y0) * (k / 255.0::DOUBLE - x0) / (x - x0) AS v FROM l, range(0, 256) t(k) WHERE x > x0 AND k >= ceil(x0 * 255) AND k <= floor(x * 255)) SELECT 'all' AS t, CAST(k AS INTEGER) AS k, round(k / 255.0::DOUBLE, 6) AS fpr, round(max(v), 6) AS tpr FROM k GROUP BY k")
 def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     rows = table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.lit("all").alias("t"), (F.col("quality") == 1).alias("y"), "n_chars")
-    return an.roc_points(rows, ["t"], "y", "n_chars")
+    return an.roc_points(rows, ["t"], "y", "n_chars").select("t", "k", *_r("fpr", "tpr"))
 
 
-@query()
+@query("WITH d AS (SELECT l_suppkey AS g, l_linenumber AS t, CAST(month(l_shipdate) AS INTEGER) AS m, min(l_partkey) AS pos, log2(sum(l_quantity) + 1) AS y, log2(sum(l_extendedprice) / 1000 + 1) AS p FROM lineitem GROUP BY ALL), v AS (SELECT g, t, var_pop(y) AS v, min(pos) AS q FROM d GROUP BY ALL), f AS (SELECT g, max(struct_pack(v := v, t := t, q := q)) AS f FROM v WHERE v > 0 GROUP BY g), o AS (SELECT v.g, f.f.t AS a, max(struct_pack(v := v.v, t := v.t)).t AS b FROM v JOIN f ON f.g = v.g WHERE v.v > 0 AND v.t <> f.f.t AND abs(v.q - f.f.q) >= 1 GROUP BY ALL), r AS (SELECT o.g, a, b, x.y - z.y AS y, x.p - z.p AS p FROM o JOIN d x ON x.g = o.g AND x.t = a JOIN d z ON z.g = o.g AND z.t = b AND z.m = x.m) SELECT g AS gene_id, a, b, CAST(count(*) AS BIGINT) AS n, round(CASE WHEN var_pop(y) > 1e-13 AND var_pop(p) > 1e-13 THEN corr(y, p) ELSE 0 END, 6) AS pearsonr, round(CASE WHEN stddev_samp(y) > 0 THEN avg(y) / (stddev_samp(y) / sqrt(count(*))) END, 6) AS t FROM r GROUP BY ALL")
 def alternative_tss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("gene_id"), F.col("l_linenumber").alias("tss_id"), F.month("l_shipdate").alias("target_id")).agg(F.min("l_partkey").alias("pos"), F.sum("l_quantity").alias("y"), (F.sum("l_extendedprice") / 1000).alias("p"))
     return an.alternative_starts(rows, 1).select("gene_id", "a", "b", "n", *_r("pearsonr", "t"))

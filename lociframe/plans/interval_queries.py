@@ -83,7 +83,7 @@ def break_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH t AS (SELECT l_partkey AS part, CAST(CAST(l_shipdate AS DATE) - DATE '1992-01-01' AS BIGINT) AS s, CAST(CAST(l_shipdate AS DATE) - DATE '1992-01-01' AS BIGINT) + CAST(floor(l_quantity) AS BIGINT) AS e, l_orderkey AS okey FROM lineitem) SELECT part, okey, s, e FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.part = a.part AND b.okey <> a.okey AND a.s < b.e AND b.s < a.e)")
 def anti_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.without_overlaps(intervals(spark, sf_dir, "l_partkey"), "key", "okey", "s", "e", 32).select(F.col("key").alias("part"), "okey", "s", "e")
+    return iv.without_overlaps(intervals(spark, sf_dir, "l_partkey"), "key", "okey", "s", "e").select(F.col("key").alias("part"), "okey", "s", "e")
 
 
 @query("WITH w AS (SELECT key, pos, pos // 3600 * 3600 AS start FROM pt), b AS (SELECT key, CAST(round_even((pos % 3600) / 128.0, 0) AS BIGINT) AS f, CAST(round_even((pos % 3600 + 140) / 128.0, 0) AS BIGINT) AS l, (pos % 3600) // 128 AS f2, CAST(ceil((pos % 3600 + 140) / 128.0) AS BIGINT) AS l2 FROM w), t AS (SELECT key, unnest(range(f, l)) AS bin, 'majority' AS mode FROM b UNION ALL SELECT key, unnest(range(f2, l2)), 'any' FROM b) SELECT key, bin, mode, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY ALL", "pt")
@@ -111,7 +111,7 @@ def cluster_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.greedy(points(spark, sf_dir), 86400)
 
 
-@query()
+@query("WITH o AS (SELECT key, pos, row_number() OVER (PARTITION BY key ORDER BY pos) AS k FROM pt), r AS (SELECT key, k, 1 AS c, CAST(pos AS HUGEINT) AS total, CAST(1 AS BIGINT) AS n FROM o WHERE k = 1 UNION ALL SELECT o.key, o.k, CASE WHEN near THEN c ELSE c + 1 END, CAST(CASE WHEN near THEN total + pos ELSE pos END AS HUGEINT), CASE WHEN near THEN n + 1 ELSE 1 END FROM (SELECT o.key, o.k, pos, r.c, r.total, r.n, pos - total::DOUBLE / n <= 7200 AS near FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1) o), l AS (SELECT key, c, max(n) AS n, arg_max(total, n) AS total FROM r GROUP BY ALL) SELECT key, round(total::DOUBLE / n, 6) AS mean, n FROM l", "pt")
 def cluster_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.running_mean_clusters(points(spark, sf_dir), 7200).select("key", F.round("mean", 6).alias("mean"), "n")
 

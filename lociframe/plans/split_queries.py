@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociframe.checkpoint import cut
 from lociframe.operators import alignments as al
 from lociframe.operators import contacts as ct
 from lociframe.operators import graph
@@ -32,7 +33,8 @@ def leakage_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = intervals(spark, sf_dir)
     split = F.when(F.col("key") % 10 == 0, "test").when(F.col("key") % 10 == 1, "valid").otherwise("train")
     segments = rows.groupBy("key").agg(F.min("s").alias("start"), F.max("e").alias("end")).withColumn("split", split)
-    pairs = rows.select(F.struct("okey", "line", "key", "s", "e").alias("id"), F.col("key").alias("a_key"), F.col("s").alias("a_start"), F.col("e").alias("a_end"), (1 + (F.col("key") * 3 + F.col("line")) % 50).alias("b_key"), F.col("s").alias("b_start"), F.col("e").alias("b_end")).distinct()
+    whole = cut(rows.select("okey", "line", "key", "s", "e").distinct().withColumn("id", F.monotonically_increasing_id()))
+    pairs = whole.select("id", F.col("key").alias("a_key"), F.col("s").alias("a_start"), F.col("e").alias("a_end"), (1 + (F.col("key") * 3 + F.col("line")) % 50).alias("b_key"), F.col("s").alias("b_start"), F.col("e").alias("b_end"))
     return sp.leakage(pairs, segments)
 
 
@@ -77,7 +79,7 @@ def shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).intersect(table(spark, sf_dir, "customer").where("c_nationkey < 12").select("c_custkey"))
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem), d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(it, node, comp) AS (SELECT 0, a, a FROM (SELECT DISTINCT a FROM d) UNION ALL SELECT it + 1, node, min(comp) FROM (SELECT it, node, comp FROM r WHERE it < 40 UNION ALL SELECT it, d.b, comp FROM r JOIN d ON d.a = r.node WHERE it < 40) GROUP BY it, node) SELECT node, comp AS component FROM r WHERE it = 40")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
     nodes = rows.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -115,13 +117,29 @@ def attr_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("k"), attrs["gene_id"].alias("gene_id"), attrs["exon_number"].alias("exon"))
 
 
-@query()
+_EM = "WITH hits AS (SELECT DISTINCT okey AS r, key AS c, s AS p FROM iv), w0 AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY r) AS w FROM hits), v1 AS (SELECT w0.*, sum(w) OVER (PARTITION BY c, p) + 0.01 AS x FROM w0), u1 AS (SELECT r, c, p, w AS old, x / sum(x) OVER (PARTITION BY r) AS w FROM v1), d1 AS (SELECT avg(abs(w - old)) AS d FROM u1), w1 AS (SELECT r, c, p, w FROM u1), v2 AS (SELECT w1.*, sum(w) OVER (PARTITION BY c, p) + 0.01 AS x FROM w1), u2 AS (SELECT r, c, p, w AS old, x / sum(x) OVER (PARTITION BY r) AS w FROM v2), d2 AS (SELECT avg(abs(w - old)) AS d FROM u2), w2 AS (SELECT r, c, p, w FROM u2), v3 AS (SELECT w2.*, sum(w) OVER (PARTITION BY c, p) + 0.01 AS x FROM w2), u3 AS (SELECT r, c, p, w AS old, x / sum(x) OVER (PARTITION BY r) AS w FROM v3), d3 AS (SELECT avg(abs(w - old)) AS d FROM u3), w3 AS (SELECT r, c, p, w FROM u3), v4 AS (SELECT w3.*, sum(w) OVER (PARTITION BY c, p) + 0.01 AS x FROM w3), u4 AS (SELECT r, c, p, w AS old, x / sum(x) OVER (PARTITION BY r) AS w FROM v4), d4 AS (SELECT avg(abs(w - old)) AS d FROM u4), w4 AS (SELECT r, c, p, w FROM u4), pick AS (SELECT CASE WHEN (SELECT d FROM d1) < 0.05 THEN 1 WHEN (SELECT d FROM d2) < 0.05 THEN 2 WHEN (SELECT d FROM d3) < 0.05 THEN 3 ELSE 4 END AS k), al AS (SELECT 1 AS k, * FROM w1 UNION ALL SELECT 2 AS k, * FROM w2 UNION ALL SELECT 3 AS k, * FROM w3 UNION ALL SELECT 4 AS k, * FROM w4) SELECT r AS read_id, c AS chrom, p AS pos, round(w, 7) AS weight FROM al WHERE k = (SELECT k FROM pick)"
+
+
+@query(_EM, "iv")
 def em_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = intervals(spark, sf_dir).select(F.col("okey").alias("read_id"), F.col("key").alias("chrom"), F.col("s").alias("pos")).distinct()
-    return al.distribute_multi(rows, 4, 0.05).select("read_id", "chrom", "pos", F.round("weight", 6).alias("weight"))
+    return al.distribute_multi(rows, 4, 0.05).select("read_id", "chrom", "pos", F.round("weight", 7).alias("weight"))
 
 
-@query()
+def _ridge_sql() -> str:
+    """The cubic ridge regression as SQL: normal equations, solved by elimination in a chain of steps."""
+    sums = ", ".join([f"avg(pow(gc, {k})) AS m{k}" for k in range(7)] + [f"avg(pow(gc, {k}) * log2(v + 0.01)) AS y{k}" for k in range(4)])
+    cells = ", ".join([f"m{i + j}{' + 0.01' if i == j and i else ''} AS a{i}{j}" for i in range(4) for j in range(4)] + [f"y{i} AS a{i}4" for i in range(4)] + ["y0"])
+    steps, last = [], "e0"
+    for k in range(4):
+        made = ", ".join(f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" if i != k else f"a{i}{j}" for i in range(4) for j in range(5))
+        steps.append(f"e{k + 1} AS (SELECT {made}, y0 FROM {last})")
+        last = f"e{k + 1}"
+    predicted = " + ".join(f"a{k}4 / a{k}{k} * pow(gc, {k})" for k in range(4))
+    return f"WITH t AS (SELECT l_suppkey, avg(l_discount) AS gc, sum(l_quantity) AS v FROM lineitem GROUP BY 1), s AS (SELECT {sums} FROM t), e0 AS (SELECT {cells} FROM s), {', '.join(steps)} SELECT l_suppkey, round(v / pow(2, {predicted} - y0), 4) AS normalised FROM t, {last}"
+
+
+@query(_ridge_sql())
 def gc_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("gc"), F.sum("l_quantity").alias("coverage"))
     return al.gc_normalised(rows, "gc", "coverage").select("l_suppkey", F.round("normalised", 4).alias("normalised"))
