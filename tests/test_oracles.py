@@ -46,11 +46,32 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_entry_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_subpackage(tmp_path, pipeline):
+    """Without the text operators, with or without the pipeline's file, the entry imports, a query runs and tests pass."""
     import shutil
 
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "lociframe", tmp_path / "lociframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'pool_sum' in q and not any(n.startswith('op') and n[2].isdigit() for n in q)"
+    shutil.copytree(root / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])]:
+        shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pool_sum' in q and 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    if pipeline:
+        subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_sequence.py"], cwd=tmp_path, check=True)
+
+
+def test_an_error_within_the_subpackage_is_an_error(tmp_path):
+    """Only its absence is passed over."""
+    import shutil
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "lociframe", tmp_path / "lociframe", ignore=shutil.ignore_patterns("__pycache__"))
+    if not (tmp_path / "lociframe" / "llm").is_dir():
+        pytest.skip("there is no subpackage")
+    (tmp_path / "lociframe" / "llm" / "queries.py").write_text("import no_such_module\n")
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, check=False)
+    assert done.returncode and "no_such_module" in done.stderr
