@@ -594,7 +594,7 @@ def drop_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", **opti
     """docs with one row of each group of similar texts: that of the smallest id (of rows that share it, that of the
     smallest content hash). A group is known by its root fingerprint, so ids that are null or repeated join no groups."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    content = F.struct(_named_text(text).alias("text"), F.xxhash64(*columns).alias("rest"))  # of unlike texts never the same
+    content = F.concat(_named_text(text), F.unhex(F.hex(F.xxhash64(*columns))))  # of unlike texts never the same
     hashed = docs.select(F.col(f"`{id}`").alias("id"), content.alias("content"), F.col(f"`{text}`").alias("text"))
     rows, _, roots = _similar(hashed, "id", "text", **(SIMILAR | options))
     best = _rooted(rows, roots).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("best"))
