@@ -64,7 +64,7 @@ ASIDE = frozenset(
 )
 CONTENT = frozenset("article content post entry main story body text".split())
 #: Words that only say what part of a thing an element is, that an aside belongs to the article, and that the page has something elsewhere.
-PART = frozenset("area article articles bar block body bottom box container content form inner item items left link links list main menu news panel post posts right section slot stories story top unit widget wrap wrapper".split())
+PART = frozenset("area article articles bar block body bottom box button buttons container content form icon icons inner item items left link links list main menu news panel post posts right section slot stories story top unit widget wrap wrapper".split())
 WITHIN = frozenset("callout footnote footnotes note pullquote quote".split())
 ELSEWHERE = frozenset("with without has no".split())
 WORD = re.compile("[a-z]+")
@@ -73,24 +73,29 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 
 
 #: What an article or main element adds to the scores of its blocks.
-ARTICLE = 3.5
+ARTICLE = 4.5
 
 
 @dataclass(frozen=True, slots=True)
 class Place:
-    """What the elements around a block say: a term of its score that is never over ARTICLE and never below -6."""
+    """What the elements around a block say: a term of its score that is never over ARTICLE and never below -8."""
 
     for_: float = 0.0  # within an article or main element ARTICLE, within what class words call content less
     against: float = 0.0
+    origin: int = 0  # number of the element that says the latter
 
-    def term(self, heading: bool) -> float:
-        """A heading is hardly likelier in an article: it goes with what it stands by."""
-        return self.against if self.against <= -4 else self.for_ / (7 if heading else 1) + self.against
+    def term(self, heading: bool, wraps: bool) -> float:
+        """A heading is hardly likelier in an article: it goes with what it stands by. What class words call a box beside
+        the article is less likely to be one if it wraps over half of the page."""
+        if self.against <= -4:
+            return self.against if wraps or self.against <= -8 else -7.0
+        return self.for_ / (6 if heading else 1) + self.against
 
-    def within(self, other: Place, tag: str) -> Place:
+    def within(self, other: Place, tag: str, number: int = 0) -> Place:
         """The place of an element of place self whose parent has the place other."""
         against = 0.0 if tag == "main" else max(other.against, -1.5) if tag == "article" and other.against == -4.25 else other.against
-        return Place(max(self.for_, other.for_), min(self.against, against))
+        own = self.against < against
+        return Place(max(self.for_, other.for_), self.against if own else against, number if own else other.origin)
 
 
 @lru_cache(4096)
@@ -107,9 +112,9 @@ def place(tag: str, attributes: str) -> tuple[Place, bool]:
     names = [WORD.findall(x) for x in CAMEL.sub("-", f"{found.get('class', '')} {found.get('id', '')}").lower().split()]
     words = {w for n in names for w in n}
     if tag in NEVER or role in ROLES:
-        return Place(0.0, -6.0), hidden
+        return Place(0.0, -8.0), hidden
     if tag == "aside" and not words & WITHIN:
-        return Place(0.0, -6.0), hidden
+        return Place(0.0, -8.0), hidden
     if tag == "header":
         return Place(0.0, 0.0 if words & CONTENT else -4.25), hidden
     against = 0.0
@@ -231,7 +236,7 @@ class Blocks:
         if tag == "header" and above.place.for_ == ARTICLE:
             own = Place()  # an article's own header holds its title
         self.open.setdefault(tag, []).append(at)
-        self.stack.append(Element(tag, self.numbers, own.within(above.place, tag), hidden or above.hidden, above.unseen or tag in UNSEEN, at if tag in SCOPE else above.scope))
+        self.stack.append(Element(tag, self.numbers, own.within(above.place, tag, self.numbers), hidden or above.hidden, above.unseen or tag in UNSEEN, at if tag in SCOPE else above.scope))
 
     def read(self, page: str) -> None:
         at, n = 0, len(page)
@@ -283,7 +288,7 @@ SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
 #: The classifier's features, and the weights that fitted ones are drawn towards.
 FEATURES = ("always", "words", "sentence", "linked", "paragraph", "heading", "item", "rights", "hidden", "mass")
-PRIOR = (-1.6, 0.6, 0.7, -4.0, 0.6, 0.8, -0.2, -2.0, -1.0, 2.5)
+PRIOR = (-1.6, 0.6, 0.7, -3.0, 0.6, -0.8, -0.2, -2.0, -1.0, 2.5)
 
 #: How close a fitted weight stays to the given one, and how many labelled blocks count as much as that.
 DRAWN, WEIGHED = 8.0, 40.0
@@ -303,7 +308,7 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
         hidden = float(b.hidden)
         rights = float(n < 40 and ("©" in b.text or "all rights reserved" in b.text.lower()))
         if b.tag in HEADINGS:  # its own words say little
-            out.append((1.0, 0.0, 0.0, linked / 4, 0.0, 1.0, 0.0, 0.0, hidden, 0.0))
+            out.append((0.0, 0.0, 0.0, linked / 4, 0.0, 1.0, 0.0, 0.0, hidden, 0.0))
         else:
             size, ends = min(math.log2(1 + n), 9.0), float(SENTENCE.search(b.text) is not None)
             out.append((1.0, size, ends, linked, float(b.tag in ("p", "pre", "blockquote")), 0.0, item, rights, hidden, min(math.log2(1 + mass[b.parent]), 9.0) / 9 - 0.5))
@@ -312,11 +317,15 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
 
 def scores(found: list[Block], weights: tuple[float, ...] = PRIOR) -> list[float]:
     """Above zero: content is likelier, by the classifier and the block's place."""
-    return [sum(map(float.__mul__, weights, x)) + b.place.term(b.tag in HEADINGS) for b, x in zip(found, features(found), strict=True)]
+    held: dict[int, int] = {}
+    for b in found:
+        held[b.place.origin] = held.get(b.place.origin, 0) + len(b.text)
+    half = sum(held.values()) / 2
+    return [sum(map(float.__mul__, weights, x)) + b.place.term(b.tag in HEADINGS, held[b.place.origin] > half) for b, x in zip(found, features(found), strict=True)]
 
 
-#: So many blocks after a heading may be what it stands by.
-AHEAD = 3
+#: The blocks after a heading that may be what it stands by, and how much each counts.
+AHEAD = (1.0, 0.75, 0.5)
 
 
 def edges(found: list[Block]) -> dict[tuple[int, int], float]:
@@ -333,9 +342,9 @@ def edges(found: list[Block]) -> dict[tuple[int, int], float]:
             out[j, i] = 0.25 if after else 1.0
         last[b.parent] = i
         shared = b.depth
-        for j in range(i + 1, min(i + 1 + AHEAD, len(found))) if after else ():
+        for j, share in zip(range(i + 1, len(found)), AHEAD) if after else ():  # noqa: B905
             shared = min(shared, found[j].shared)
-            out[i, j] = 8.0 / max(2, b.depth + found[j].depth - 2 * shared) ** 2
+            out[i, j] = share * 8.0 / max(2, b.depth + found[j].depth - 2 * shared) ** 2
     return out
 
 
@@ -428,7 +437,8 @@ def weak_labels(found: list[Block]) -> list[tuple[tuple[float, ...], bool]]:
     if not any(held):
         return []
     step = -(-len(found) // BLOCKS)
-    return list(zip(features(found), held, strict=True))[::step]
+    kept = [(x, y) for b, x, y in zip(found, features(found), held, strict=True) if b.tag not in HEADINGS]  # they say little by themselves
+    return kept[::step]
 
 
 def fit(samples: list[tuple[tuple[float, ...], bool]]) -> tuple[float, ...]:

@@ -58,7 +58,7 @@ def test_class_words():
     assert term("div", ' class="entry-header"') == (1.75, 0) and term("div", ' class="site-header"') == (0, -4.25) and term("div", ' class="content has-sidebar"') == (1.75, 0)
     assert term("div", " id=mainMenu") == (0, -4.25) and term("div", " class='postComments'") == (0, -5.5) and term("div", ' class="research"') == (0, 0)
     assert term("div", ' class="story-comment-box"') == (0, -1.5) and term("div", ' class="comment-list"') == (0, -5.5) and term("p", ' class="ad-hoc"') == (0, -1.5)
-    assert term("nav") == (0, -6) and term("article") == (html_text.ARTICLE, 0) and term("header") == (0, -4.25) and term("body", ' class="post"') == (0, 0)
+    assert term("nav") == (0, -8) and term("article") == (html_text.ARTICLE, 0) and term("header") == (0, -4.25) and term("body", ' class="post"') == (0, 0)
     assert html_text.place("p", " hidden")[1] and html_text.place("p", ' style="DISPLAY: none"')[1]
     page = '<article><header><h1>A title of it</h1></header><div class="post-header"><h2>Second head</h2></div><div class="notice"><p>Please note that this site is closed.</p></div><p>The text of it is here.</p></article>'
     assert html_text.main_text(page) == "A title of it\nSecond head\nThe text of it is here."
@@ -177,3 +177,35 @@ def test_long_paragraphs_overrule_class_words():
     assert html_text.main_text(f'<div class="newsletter"><p>{long}</p><p>{short}</p><p>{long}</p></div>') == "\n".join([long, short, long])
     assert html_text.main_text(f'<div class="comments"><div><p>Well said.</p></div><div><p>{long}</p></div><div><p>{short}</p></div></div>') == ""
     assert html_text.main_text(f"<footer><p>{long}</p><p>{long}</p></footer>") == ""
+
+
+PROSE = "The quick brown fox jumps over the lazy dog and runs away, as it was told."
+BEFORE = '<html><body><header class="site-header"><a href="/">Site</a><p>The best site of all the web, they say.</p></header><nav><a href=/a>A</a> <a href=/b>B</a></nav><div class="cookie-banner">We use cookies. OK?</div>'
+AFTER = '<div id="sidebar"><h3>Popular</h3><ul><li><a href=x>Story one</a><li><a href=y>Story two</a></ul></div><section class="comments"><h2>3 Comments</h2><div class="comment"><p class="author">Bob</p><p>I read this twice and it is wrong in many ways, as I have said before.</p></div></section><form><input><label>Email</label></form><footer><p>Copyright 2020 by us. All rights reserved.</p></footer></body></html>'
+INSIDE = f'<h1>Title of it</h1><p class="byline">By Jane Doe</p><p>{PROSE}</p><h2>A list</h2><ul><li>one</li><li>two words</li></ul><p>Short.</p><blockquote>Quoted words.</blockquote><pre>code x = 1</pre><table><tr><th>Name</th><th>Age</th></tr><tr><td>Bob</td><td>7</td></tr></table><h3>Last head</h3><div>Plain division text</div><p><a href=z>Read on here</a></p><figure><img><figcaption>A caption</figcaption></figure><dl><dt>Term</dt><dd>Meaning</dd></dl>'
+ALL = f"Title of it\nBy Jane Doe\n{PROSE}\nA list\none\ntwo words\nShort.\nQuoted words.\ncode x = 1\nName\nAge\nBob\n7\nLast head\nPlain division text\nRead on here\nA caption\nTerm\nMeaning"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article>{INSIDE}</article>", ALL), (f"<main>{INSIDE}</main>", ALL), (f"<main><article><section>{INSIDE}</section></article></main>", ALL), (f"<div role=main>{INSIDE}</div>", ALL),
+        (f'<article>{INSIDE}<section id="comments"><h2>Comments</h2><ol class="comment-list"><li><article class="comment-body"><p>Great article, I liked the fox, and the dog too, very much indeed.</p></article></li></ol></section></article>', ALL),
+        (f"<article>{INSIDE}<aside><p>Related: see our other story about a cat that sleeps.</p></aside><footer><p>Posted in News</p></footer></article>", ALL),
+        (f'<article><nav class="toc"><ol><li><a href="#a">A</a></li></ol></nav>{INSIDE}</article>', ALL),
+        ("<article>" + INSIDE.replace("<p>Short.</p>", '<div class="ad">Buy the new thing now, it is very good for you.</div><p>Short.</p>') + "</article>", ALL),
+        ("<article>" + INSIDE.replace("<p>Short.</p>", '<aside>Buy the new thing now, it is very good for you, and so is the old one.</aside><p>Short.</p>') + "</article>", ALL),
+        (f'<article>{INSIDE}<div class="newsletter-signup"><h3>Join us</h3><p>Get our best stories in your mail each week, it is free.</p></div><div class="share-buttons"><a href=f>Share</a> <a href=t>Tweet</a></div></article>', ALL),
+        (f'<article><div class="notice"><p>This story is more than five years old, so please read it with care.</p></div>{INSIDE}</article>', ALL),
+        (f'<article>{INSIDE}<h2>Comments</h2><div class="comments"><p>Nice one, I like it a lot.</p></div></article>', ALL),
+        ("<article>Just a line of text</article>", "Just a line of text"), ("<article>First line<br><br>second line</article>", "First line second line"),
+        (f"<article><h2>One</h2><p>{PROSE}</p></article><article><h2>Two</h2><p>{PROSE} Again.</p></article>", f"One\n{PROSE}\nTwo\n{PROSE} Again."),
+        (f"<div><div><h1>Title of it</h1><p>{PROSE}</p><p>{PROSE} More.</p><h2>Head</h2><p>{PROSE} Most.</p></div></div>", f"Title of it\n{PROSE}\n{PROSE} More.\nHead\n{PROSE} Most."),
+        (f"<article><h1>T</h1><p>{PROSE}</p><h2>Sources</h2><ul><li><a href=1>First source of the story</a></li><li><a href=2>Second source of it</a></li></ul></article>", f"T\n{PROSE}\nSources\nFirst source of the story\nSecond source of it"),
+    ],
+)
+def test_kinds_of_pages(pages, page, want):
+    weights = html_text.fit([s for p in pages.values() for s in html_text.weak_labels(html_text.blocks(p))])
+    assert html_text.main_text(BEFORE + page + AFTER) == want == html_text.main_text(BEFORE + page + AFTER, weights)
+    long = AFTER.replace("I read this twice", "I read this twice. " + PROSE * 12)
+    assert html_text.main_text(BEFORE + page + long) == want
