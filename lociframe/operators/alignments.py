@@ -35,10 +35,10 @@ def distribute_multi(hits: DataFrame, rounds: int = 4, enough: float = 0.05, rea
     """hits with weight: each read's one unit in proportion to the coverage where its hits lie, by expectation and
     maximisation. Rounds end when the mean change of a weight is below enough; each is kept in the shared folder. Reads of
     one hit keep their weight, so only their coverage takes part."""
-    first = weighted_hits(hits, read)
+    first = cut(weighted_hits(hits, read))
     unique = first.where("weight = 1")
     fixed = cut(unique.groupBy(chrom, pos).agg(F.sum("weight").alias("weight")))
-    now, total = cut(first.where("weight < 1")), hits.count()
+    now, total = first.where("weight < 1"), first.count()
     for _ in range(rounds):
         covered = coverage(fixed.unionByName(now.select(chrom, pos, "weight")), chrom, pos, pseudo=pseudo)
         placed = now.join(covered, [chrom, pos])
