@@ -132,10 +132,10 @@ def read_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     word = lambda c: c.cast("string")
     line = F.concat_ws(" ", F.when(F.col("o_orderkey") % 2 == 0, " fill").otherwise("   fill"), word(F.col("o_orderkey")), word(5 + F.col("o_custkey") % 7), F.concat(F.lit("other"), word(F.col("o_custkey"))), F.lit("+"), word(F.col("o_custkey")), word(6 + F.col("o_orderkey") % 5), F.lit("id 1"))
-    whole = rows.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("fills"))
+    ends = rows.select("c_nationkey").distinct().select("c_nationkey", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.concat(F.lit("net chr"), word(F.col("c_nationkey")), F.lit(" 1000")).alias("value")), F.struct(F.lit(2).alias("place"), F.lit(" gap 1 2").alias("value")))).alias("x")).select("c_nationkey", "x.*")
+    lines = rows.select("c_nationkey", F.lit(1).alias("place"), line.alias("value")).unionByName(ends)
     path = fresh_dir(spark, "text")
-    n = whole.count()  # a file for each nation
-    whole.select(F.concat(F.lit("net chr"), word(F.col("c_nationkey")), F.lit(" 1000\n"), "fills", F.lit("\n gap 1 2\n")).alias("value")).repartitionByRange(n, "value").write.option("maxRecordsPerFile", 1).text(path)
+    lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "place", "value").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
     return io.aligned_pairs(spark, path, 7)
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 BED = T.StructType([T.StructField("chrom", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("name", T.StringType()), T.StructField("score", T.StringType()), T.StructField("strand", T.StringType())])
 
+#: Blocks of files, about, that a broadcast may have.
+FEW = 100_000
+
 
 def _fields(spark: SparkSession, path: str | list[str]) -> DataFrame:
     lines = spark.read.text(path).where((F.length(F.trim("value")) > 0) & ~F.col("value").startswith("#"))
@@ -255,22 +258,37 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
 
 def aligned_pairs(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
     """Fill lines of a net file, with the chromosome of the net line before them: chrom, start, end, other_chrom,
-    other_start, other_end. Files are read whole, as the order of their lines has a meaning."""
+    other_start, other_end. Lines are read block by block, in their order; the fill lines at the head of a block take the
+    last net line of the file's blocks before it, so files may be of any size."""
+    from lociframe.checkpoint import cut
+
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *place)
+    net = F.regexp_extract("value", r"^\s*net\s+(\S+)", 1)
+    nets = F.when(net != "", F.struct(F.monotonically_increasing_id().alias("at"), net.alias("chrom")))
+    marks = cut(lines.select("file", "block", nets.alias("net")).groupBy("file", "block").agg(F.max("net").alias("net")))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select("file", "block", F.last("net.chrom", True).over(before).alias("__before"))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = chrom = None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                chrom, rows = None, []
-                for line in text.splitlines():
-                    f = line.split()
-                    if f[:1] == ["net"]:
-                        chrom = f[1]
-                    elif f[:1] == ["fill"] and int(f[2]) >= least and int(f[6]) >= least:
-                        rows.append((chrom, int(f[1]), int(f[1]) + int(f[2]), f[3], int(f[5]), int(f[5]) + int(f[6])))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["chrom", "start", "end", "other_chrom", "other_start", "other_end"])
-
-    return spark.read.text(path, wholetext=True).mapInArrow(over, "chrom string, start bigint, end bigint, other_chrom string, other_start bigint, other_end bigint")
+            rows = []
+            for line, *own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != at:
+                    at, chrom = own, None
+                f = line.split()
+                if f[:1] == ["net"]:
+                    chrom = f[1]
+                elif f[:1] == ["fill"] and int(f[2]) >= least and int(f[6]) >= least:
+                    rows.append((*own, chrom, int(f[1]), int(f[1]) + int(f[2]), f[3], int(f[5]), int(f[5]) + int(f[6])))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["file", "block", "chrom", "start", "end", "other_chrom", "other_start", "other_end"])
+
+    fills = lines.mapInArrow(over, "file string, block bigint, chrom string, start bigint, end bigint, other_chrom string, other_start bigint, other_end bigint")
+    few = marks.limit(FEW + 1).count() <= FEW
+    met = fills.join(F.broadcast(carried) if few else carried, ["file", "block"], "left")
+    return met.withColumn("chrom", F.coalesce("chrom", "__before")).drop("file", "block", "__before")
 
 
 def motif_proteins(spark: SparkSession, path: str) -> DataFrame:

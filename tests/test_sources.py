@@ -132,3 +132,33 @@ def test_offsets_are_undone(spark):
     laid = iv.offsets(spark.createDataFrame([("a", 10), ("b", 5)], "key string, length bigint"))
     got = iv.from_offset(spark.createDataFrame([(0,), (9,), (10,), (14,), (15,)], "place bigint"), laid).collect()
     assert sorted((r["place"], r["key"], r["pos"]) for r in got) == [(0, "a", 0), (9, "a", 9), (10, "b", 0), (14, "b", 4)]
+
+
+def test_net_file_of_many_blocks(spark, tmp_path):
+    """Fill lines at the head of a block take the net line of an earlier block, of their own file only."""
+    rows = {f: [(f"chr{f}{c}", k, k + 10, "x", k + 1, k + 21) for c in range(3) for k in range(c, 90, 3)] for f in "ab"}
+    for f, own in rows.items():
+        text = "".join(f"net chr{f}{c} 1000\n" + "".join(f"  fill {s} 10 x + {o} 20 id 1\n" for chrom, s, _, _, o, _ in own if chrom == f"chr{f}{c}") for c in range(3))
+        put(tmp_path, f"{f}.net", text)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = gn.aligned_pairs(spark, str(tmp_path), 10).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted(rows["a"] + rows["b"])
+
+
+def test_read_nets_writes_lines(spark, monkeypatch):
+    """No row holds a file: a row as long as one comes to the driver with a sample of the rows."""
+    from pyspark.sql.classic.dataframe import DataFrameWriter
+
+    from lociframe.plans import catalogue
+
+    longest, text = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path: (longest.append(self._df.agg(F.max(F.length("value"))).first()[0]), text(self, path))[1])
+    assert catalogue.QUERIES["read_nets"](spark, "/root/testdata/sf0.001").count() > 0
+    assert max(longest) < 100
