@@ -157,19 +157,16 @@ def vcf(spark: SparkSession, path: str, flip: bool = False, second: bool = False
     """snp_id, chrom (with chr), pos (from 1), ref, alts, flipped. A missing id becomes chrom:pos. flip: single
     alternatives change places with the reference. second: also pos2, the sixth field, a place in another genome."""
     rows = _fields(spark, path)
-    if second:
-        one = vcf(spark, path).withColumn("__k", F.struct("chrom", "pos", "ref", F.array_join("alts", ",")))
-        other = rows.select(F.struct(_chrom().alias("chrom"), _get(1).cast("bigint").alias("pos"), _get(3).alias("ref"), _get(4)).alias("__k"), _get(5).cast("bigint").alias("pos2")).distinct()
-        made = one.join(other, "__k").drop("__k")
-        return flipped(made).join(made.select("snp_id", "chrom", "pos", "pos2"), ["snp_id", "chrom", "pos"]) if flip else made
-    made = rows.select(_chrom().alias("chrom"), _get(1).cast("bigint").alias("pos"), _get(2).alias("id"), _get(3).alias("ref"), F.split(_get(4), ",").alias("alts"))
-    made = made.select(F.when(F.col("id") == ".", F.concat_ws(":", "chrom", F.col("pos").cast("string"))).otherwise(F.col("id")).alias("snp_id"), "chrom", "pos", "ref", "alts", F.lit(False).alias("flipped"))
+    more = [_get(5).cast("bigint").alias("pos2")] if second else []
+    made = rows.select(_chrom().alias("chrom"), _get(1).cast("bigint").alias("pos"), _get(2).alias("id"), _get(3).alias("ref"), F.split(_get(4), ",").alias("alts"), *more)
+    made = made.select(F.when(F.col("id") == ".", F.concat_ws(":", "chrom", F.col("pos").cast("string"))).otherwise(F.col("id")).alias("snp_id"), "chrom", "pos", "ref", "alts", F.lit(False).alias("flipped"), *["pos2"] * second)
     return flipped(made) if flip else made
 
 
 def flipped(variants: DataFrame) -> DataFrame:
     one = F.size("alts") == 1
-    return variants.select("snp_id", "chrom", "pos", F.when(one, F.col("alts")[0]).otherwise(F.col("ref")).alias("ref"), F.when(one, F.array("ref")).otherwise(F.col("alts")).alias("alts"), F.when(one, ~F.col("flipped")).otherwise(F.col("flipped")).alias("flipped"))
+    rest = [c for c in variants.columns if c not in ("snp_id", "chrom", "pos", "ref", "alts", "flipped")]
+    return variants.select("snp_id", "chrom", "pos", F.when(one, F.col("alts")[0]).otherwise(F.col("ref")).alias("ref"), F.when(one, F.array("ref")).otherwise(F.col("alts")).alias("alts"), F.when(one, ~F.col("flipped")).otherwise(F.col("flipped")).alias("flipped"), *rest)
 
 
 def sorted_variants(variants: DataFrame) -> DataFrame:

@@ -162,3 +162,14 @@ def test_read_nets_writes_lines(spark, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "text", lambda self, path: (longest.append(self._df.agg(F.max(F.length("value"))).first()[0]), text(self, path))[1])
     assert catalogue.QUERIES["read_nets"](spark, "/root/testdata/sf0.001").count() > 0
     assert max(longest) < 100
+
+
+def test_second_places_of_like_variants(spark, tmp_path):
+    """Lines alike but for the second place, or alike throughout, stay lines of their own, flipped or not."""
+    path = put(tmp_path, "x.vcf", "##x\nchr1\t4\t.\tT\tG\t7\n1\t4\t.\tT\tG\t9\n1\t4\t.\tT\tG\t9\n1\t6\trs2\tCA\tC,T\t8\nchr2\t1\trs3\tA\tC\n")
+    places = [("chr1:4", 4, 7), ("chr1:4", 4, 9), ("chr1:4", 4, 9), ("rs2", 6, 8), ("rs3", 1, None)]
+    assert sorted((r["snp_id"], r["pos"], r["pos2"]) for r in gn.vcf(spark, path, second=True).collect()) == places
+    turned = gn.vcf(spark, path, flip=True, second=True)
+    assert turned.columns == ["snp_id", "chrom", "pos", "ref", "alts", "flipped", "pos2"]
+    assert sorted((r["snp_id"], r["pos"], r["pos2"]) for r in turned.collect()) == places
+    assert {(r["ref"], *r["alts"], r["flipped"]) for r in turned.where("pos = 4").collect()} == {("G", "T", True)}
