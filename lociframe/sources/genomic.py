@@ -239,11 +239,14 @@ def ld_partners(variants: DataFrame, r: DataFrame, radius: int = 1_000_000, leas
 
 
 def annotated(scores: DataFrame, reference: DataFrame) -> DataFrame:
-    """scores (snp_id, ref, alt, value) joined to a table of snp_id, a1, a2: the sign is turned where ref is a1; neither
-    is an error."""
-    fits = F.when((F.col("ref") == F.col("a2")) & (F.col("alt") == F.col("a1")), F.col("value")).when((F.col("ref") == F.col("a1")) & (F.col("alt") == F.col("a2")), -F.col("value"))
+    """scores (snp_id, ref, alt, value), each row once, where a table of snp_id, a1, a2 has their id: the sign is turned
+    where ref is a1. Of several alleles of an id those that fit count, unturned ones first; none is an error."""
+    alleles = reference.groupBy("snp_id").agg(F.collect_set(F.when(F.col("a1").isNotNull() & F.col("a2").isNotNull(), F.struct("a1", "a2"))).alias("__a"))
+    held = lambda a1, a2: F.exists("__a", lambda x: (x["a1"] == F.col(a1)) & (x["a2"] == F.col(a2)))
+    fits = F.when(held("alt", "ref"), F.col("value")).when(held("ref", "alt"), -F.col("value"))
     bad = F.raise_error(F.concat(F.lit("alleles of "), "snp_id", F.lit(" fit neither way"))).cast("double")
-    return scores.join(reference, "snp_id").withColumn("value", F.coalesce(fits, bad)).drop("a1", "a2")
+    known = F.coalesce(held("alt", "ref") | held("ref", "alt"), F.lit(False))
+    return scores.join(alleles, "snp_id").withColumn("value", F.when(known, fits).otherwise(bad)).drop("__a")
 
 
 def targets(spark: SparkSession, path: str) -> DataFrame:

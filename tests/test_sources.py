@@ -173,3 +173,13 @@ def test_second_places_of_like_variants(spark, tmp_path):
     assert turned.columns == ["snp_id", "chrom", "pos", "ref", "alts", "flipped", "pos2"]
     assert sorted((r["snp_id"], r["pos"], r["pos2"]) for r in turned.collect()) == places
     assert {(r["ref"], *r["alts"], r["flipped"]) for r in turned.where("pos = 4").collect()} == {("G", "T", True)}
+
+
+def test_annotated_by_alleles(spark):
+    """Of rows that share an id each score stays once, with the alleles that fit it."""
+    scores = spark.createDataFrame([("a", "A", "C", 1.0), ("a", "A", "C", 1.0), ("a", "A", "G", 2.0), ("b", "T", "G", 3.0), ("c", "A", "C", 4.0)], "snp_id string, ref string, alt string, value double")
+    reference = spark.createDataFrame([("a", "C", "A"), ("a", "C", "A"), ("a", "A", "G"), ("b", "T", "G"), ("b", None, "G")], "snp_id string, a1 string, a2 string")
+    assert sorted(tuple(r) for r in gn.annotated(scores, reference).select("snp_id", "value").collect()) == [("a", -2.0), ("a", 1.0), ("a", 1.0), ("b", -3.0)]
+    for other in ("('b', 'T', 'C')", "('b', 'T', NULL)"):
+        with pytest.raises(Exception, match="alleles of b fit neither way"):
+            gn.annotated(scores, spark.sql(f"SELECT * FROM VALUES {other} t(snp_id, a1, a2)")).collect()
