@@ -56,12 +56,16 @@ def checked(df: DataFrame, reference: DataFrame) -> DataFrame:
     return df.join(other, "seq_id").withColumn("seq", F.when(F.upper("seq") == F.upper("__r"), F.col("seq")).otherwise(bad)).drop("__r")
 
 
-def score_store(variants: DataFrame, scores: DataFrame) -> DataFrame:
+def score_store(variants: DataFrame, scores: DataFrame, by: str = "snp_id") -> DataFrame:
     """Scores (snp_id, target_id, stat, value) with their variants, whose alleles are turned back where they were
-    flipped."""
+    flipped. by: the column of both that names a variant; where places share a snp_id, one of its own (scores need no
+    snp_id then). Equal variants of a name count once, different ones are an error."""
     back = F.col("flipped")
-    store = variants.select("snp_id", "chrom", "pos", F.when(back, F.col("alts")[0]).otherwise(F.col("ref")).alias("ref_allele"), F.when(back, F.col("ref")).otherwise(F.array_join("alts", ",")).alias("alt_allele"))
-    return store.join(scores, "snp_id")
+    alleles = (F.when(back, F.col("alts")[0]).otherwise(F.col("ref")).alias("ref_allele"), F.when(back, F.col("ref")).otherwise(F.array_join("alts", ",")).alias("alt_allele"))
+    named = variants.select(F.col(by).alias("__by"), F.struct("snp_id", "chrom", "pos", *alleles).alias("v")).groupBy("__by").agg(F.min("v").alias("v"), F.max("v").alias("__w"))
+    bad = F.raise_error(F.concat(F.lit("different variants are called "), F.col("__by").cast("string")))
+    store = named.select("__by", F.when(F.col("v").eqNullSafe(F.col("__w")), F.col("v")).otherwise(bad).alias("v")).select(F.col("__by").alias(by), *[f"v.{c}" for c in ("snp_id", "chrom", "pos", "ref_allele", "alt_allele") if c != by])
+    return store.join(scores if by == "snp_id" else scores.drop("snp_id"), by)
 
 
 def write_scores(df: DataFrame, path: str) -> None:

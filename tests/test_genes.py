@@ -94,3 +94,14 @@ def test_score_store(spark):
     v = spark.createDataFrame([("a", "c", 1, "T", ["G"], True), ("b", "c", 2, "A", ["C", "G"], False)], "snp_id string, chrom string, pos bigint, ref string, alts array<string>, flipped boolean")
     s = spark.createDataFrame([("a", 0, "SAD", 1.0), ("b", 0, "SAD", 2.0)], "snp_id string, target_id int, stat string, value double")
     assert {(r["snp_id"], r["ref_allele"], r["alt_allele"]) for r in ex.score_store(v, s).collect()} == {("a", "G", "T"), ("b", "A", "C,G")}
+
+
+def test_score_store_of_shared_ids(spark):
+    """Variants that share an id: by a name of their own each score stays with its alleles; by the id equal ones count once."""
+    v = spark.createDataFrame([(1, "c:1", "c", 1, "A", ["C"], False), (2, "c:1", "c", 1, "A", ["C"], False), (3, "c:1", "c", 1, "A", ["G"], True)], "k bigint, snp_id string, chrom string, pos bigint, ref string, alts array<string>, flipped boolean")
+    s = spark.createDataFrame([(k, "c:1", 0, "SAD", float(k)) for k in (1, 2, 3)], "k bigint, snp_id string, target_id int, stat string, value double")
+    rows = lambda df: sorted((r["snp_id"], r["value"], r["ref_allele"], r["alt_allele"]) for r in df.collect())
+    assert rows(ex.score_store(v.where("k < 3").drop("k"), s.drop("k").where("value < 3"))) == [("c:1", 1.0, "A", "C"), ("c:1", 2.0, "A", "C")]
+    assert rows(ex.score_store(v, s, "k")) == [("c:1", 1.0, "A", "C"), ("c:1", 2.0, "A", "C"), ("c:1", 3.0, "G", "A")]
+    with pytest.raises(Exception, match="different variants are called c:1"):
+        ex.score_store(v.drop("k"), s.drop("k")).collect()
