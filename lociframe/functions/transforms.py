@@ -67,3 +67,10 @@ def length_mean(array: Column, held: Column) -> Column:
     zipped = F.zip_with(array, held, lambda x, h: F.when(h, x).otherwise(0.0))
     n = F.size(F.filter(held, lambda h: h))
     return F.when(n > 0, F.aggregate(zipped, F.lit(0.0), lambda a, x: a + x) / n)
+
+
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles of up to nine decimals, the same in any order of the rows. What lies beyond those decimals, and
+    numbers from 10^15 on, are added as doubles."""
+    whole = F.when(F.abs(x) < 1e15, x).try_cast("decimal(24,9)")
+    return F.coalesce(F.sum(whole).cast("double"), F.lit(0.0)) + F.sum(x - F.coalesce(whole.cast("double"), F.lit(0.0)))

@@ -94,3 +94,22 @@ def test_kmers_windows_and_alignment(spark):
     assert {r["id"]: r["shift"] for r in sq.aligned(seqs, "id", "s").collect()}[9] == 1
     cells = spark.createDataFrame([(1, "AG", [2.0, 3.0])], "id int, s string, v array<double>")
     assert {(r["pos"], r["nt"]): r["value"] for r in sq.scored_letters(cells, "s", "v").collect() if r["value"]} == {(0, "A"): 2.0, (1, "G"): 3.0}
+
+
+def test_exact_sum(spark):
+    """Sums do not depend on the order: 5.3 + 0.1 + 0.1 is 5.499999999999999 one way."""
+    df = spark.createDataFrame([(5.3,), (0.1,), (0.1,), (None,)], "v double")
+    total = lambda *more: df.unionByName(spark.createDataFrame([(x,) for x in more], "v double")).agg(tf.exact_sum(F.col("v")).alias("x")).first()["x"]
+    assert total(0.0) == 5.5 and total(1e300) == 1e300 and total(1e-30) == 5.5 and total(-5.5, 1e-30) == 1e-30
+    assert total(float("inf")) == float("inf") and str(total(float("nan"))) == "nan"
+    assert df.where("v IS NULL").agg(tf.exact_sum(F.col("v")).alias("x")).first()["x"] is None
+
+
+def test_array_slices_of_a_tied_sum(spark, tmp_path):
+    """Hours' sums of exactly 5.5, their rows in any order, are rounded as such."""
+    from lociframe.plans import catalogue
+
+    rows = [(h * 3 + k, 1, "view", v, f"2024-01-01 {9 + h:02}:00:00") for h in range(3) for k, v in enumerate(5.3 if k == h else 0.1 for k in range(3))]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, ts string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(1).sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert catalogue.QUERIES["array_slices"](spark, str(tmp_path)).first()["centre"] == "6,6,6,0,0,0"
