@@ -2,16 +2,21 @@
 
 Vectors are scaled to length one, so the cosine is their inner product. Product codes of four bits for each pair of
 dimensions are chosen, and their codewords fitted, to penalise the part of the residual that is parallel to the vector
-more than the rest, as it is the one that changes high inner products. A query's tables of inner products with the
-codewords are read by the codes, two at a time; of the best of all, the original vectors are fetched and scored exactly.
+more than the rest, as it is the one that changes high inner products. What is coded is the difference from the centre of
+the vector's list. A query's tables of inner products with the codewords are read by the codes, two at a time; of the best
+of all, the original vectors are fetched and scored exactly.
 
 Vectors are dealt out to lists by their nearest centre, about LIST of them to each, and a query scans the lists whose
-centres are nearest to it: as many as hold the share `recall` of the nearest neighbours in a sample. Where vectors form
-clusters these are few, whatever the number of lists; where they form none, it is a good part of them, and without `recall`
-it is all of them, with exact scores in place of codes. Queries and codes meet in pairs of blocks of fixed size, and only
-codes and hashes are copied for that.
+centres are nearest to it. Where vectors form clusters these are few, whatever the number of lists; where they form none,
+it is a good part of them, and without `recall` it is all of them, with exact scores in place of codes. Queries and codes
+meet in pairs of blocks of fixed size, and only codes and hashes are copied for that.
 
-Equal vectors are coded once, with their smallest ids, so copies cost nothing and ties come out by id.
+How far codes and lists go is measured on the table itself: for ASKED of its queries the nearest of all its vectors are
+found by exact scores, and it is counted in which lists they are and how many codes look better than theirs. Lists are
+scanned until they hold the share `recall` of them. If too many codes look better than too many of them, vectors are coded
+more finely (codes of what the codes leave), and where no codes tell them apart, the lists hold the vectors themselves.
+
+Equal vectors are coded once, with their smallest ids, so copies cost nothing; equal codes and scores come out by id.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have another length than most,
 take no part; rows of the same id and vector count once; a query's own id is no candidate. A null id takes no part.
@@ -35,8 +40,14 @@ WORDS, SAMPLE = 16, 20_000
 #: Vectors of a list, about, and lists at most; vectors and queries of a block.
 LIST, LISTS, VECTORS, QUERIES = 4096, 1024, 8192, 1024
 
-#: Vectors that are scored exactly for each query; its blocks give as many in all, each twice k at least.
-AGAIN = 256
+#: Vectors that are scored exactly for each query, and the share of the neighbours found in the lists that must be among them.
+AGAIN, AMONG = 256, 0.99
+
+#: Codes of a vector, each of what those before leave, in the order in which they are tried; vectors that finer ones are fitted on.
+LEVELS, FINER = (1, 3), 8000
+
+#: Queries that are measured against all vectors.
+ASKED = 256
 
 
 @dataclass
@@ -44,15 +55,17 @@ class Codebook:
     words: np.ndarray  # pairs of dimensions by codewords by 2
     weight: float  # of the parallel part of the residual, against 1 for the rest
 
-    def codes(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """x: vectors of length one, padded to whole pairs. The nearest codewords, then each in turn given the rest."""
+    def codes(self, x: np.ndarray, sweeps: int = 2, left: np.ndarray | None = None) -> np.ndarray:
+        """x: vectors of length one, padded to whole pairs; left: what of them is to be coded, all if not given. The
+        nearest codewords, then each in turn given the rest."""
         pairs = len(self.words)
         parts = x.reshape(len(x), pairs, 2)
+        coded = parts if left is None else left.reshape(parts.shape)
         codes = np.empty((len(x), pairs), np.int64)
         apart = np.zeros(len(x))  # parallel part of the residual
         gaps = []
         for m in range(pairs):
-            gap = parts[:, m, None] - self.words[m]
+            gap = coded[:, m, None] - self.words[m]
             plain, along = (gap**2).sum(2), np.einsum("nkd,nd->nk", gap, parts[:, m])
             codes[:, m] = plain.argmin(1)
             apart += along[np.arange(len(x)), codes[:, m]]
@@ -65,28 +78,33 @@ class Codebook:
                 apart = rest + along[rows, codes[:, m]]
         return codes
 
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        return self.words[np.arange(len(self.words)), codes].reshape(len(codes), -1)
+
 
 def padded(x: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, x.shape[1] % 2)))
 
 
-def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 6, seed: int = 44) -> Codebook:
-    """x: vectors of length one. threshold: inner products above it are those that matter."""
+def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 6, seed: int = 44, left: np.ndarray | None = None) -> Codebook:
+    """x: vectors of length one. threshold: inner products above it are those that matter. left: what of them is to be
+    coded, padded to whole pairs; all if not given."""
     rng, x = np.random.default_rng(seed), padded(x)
     d = x.shape[1]
     pairs = d // 2
     weight = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
     parts = x.reshape(len(x), pairs, 2)
-    book = Codebook(parts[rng.integers(0, len(x), WORDS)].transpose(1, 0, 2).copy(), weight)
+    coded = parts if left is None else left.reshape(parts.shape)
+    book = Codebook(coded[rng.integers(0, len(x), WORDS)].transpose(1, 0, 2).copy(), weight)
     for k in range(rounds):
-        codes = book.codes(x, sweeps=0 if k == 0 else 1)
+        codes = book.codes(x, 0 if k == 0 else 1, left)
         near = np.stack([book.words[m][codes[:, m]] for m in range(pairs)], 1)
-        along = ((parts - near) * parts).sum(2)
+        along = ((coded - near) * parts).sum(2)
         apart = along.sum(1)
         for m in range(pairs):
-            p, rest = parts[:, m], apart - along[:, m]
+            p, c, rest = parts[:, m], coded[:, m], apart - along[:, m]
             outer = np.eye(2) + (weight - 1) * p[:, :, None] * p[:, None, :]
-            right = p + (weight - 1) * p * (rest + (p * p).sum(1))[:, None]
+            right = c + (weight - 1) * p * (rest + (c * p).sum(1))[:, None]
             for w in range(WORDS):
                 own = codes[:, m] == w
                 if own.any():
@@ -100,6 +118,10 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] | codes[:, 1::2] << 4
 
 
+def unpacked(data: np.ndarray, pairs: int) -> np.ndarray:
+    return np.stack([data & 15, data >> 4], 2).reshape(len(data), -1)[:, :pairs]
+
+
 def tables(queries: np.ndarray, book: Codebook) -> np.ndarray:
     """For each query and byte of a code, the inner product that each of its 256 values stands for."""
     q = padded(queries).reshape(len(queries), -1, 2)
@@ -160,20 +182,129 @@ def _unit(rows: list | np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    book: Codebook
+    books: list[Codebook]  # each codes what those before leave of the difference from the centre
     middle: np.ndarray  # centres of the lists
     probed: int  # lists that a query scans
 
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.middle.T).argmax(1)
+
+    def near(self, x: np.ndarray) -> np.ndarray:
+        """All lists, the nearest first."""
+        return np.argsort(-(x @ self.middle.T), axis=1, kind="stable")
+
+    def codes(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        left, out = padded(x - self.middle[own]), []
+        for book in self.books:
+            codes = book.codes(padded(x), left=left)
+            left = left - book.decoded(codes)
+            out.append(packed(codes))
+        return np.concatenate(out, 1)
+
+    def decoded(self, codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Vectors, padded, that packed codes stand for."""
+        return padded(self.middle[own]) + sum(book.decoded(unpacked(c, len(book.words))) for book, c in zip(self.books, np.split(codes, len(self.books), axis=1), strict=True))
+
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        return np.concatenate([tables(queries, book) for book in self.books], 1)
+
 
 def fit_index(x: np.ndarray, total: int, k: int, recall: float | None) -> Index:
     """x: a sample of vectors of length one of a table that has total of them."""
     middle = centres(x, max(1, min(LISTS, total // LIST, len(x) // 8)))
-    return Index(fit(x), middle, len(middle) if recall is None else probes(x, middle, k, recall))
+    index = Index([], middle, len(middle) if recall is None else probes(x, middle, k, recall))
+    index.books.append(fit(x, left=padded(x - middle[index.lists(x)])))
+    return index
+
+
+def refined(index: Index, x: np.ndarray, levels: int) -> Index:
+    """The index with as many codes of a vector."""
+    x, books = x[:FINER], list(index.books)
+    own = index.lists(x)
+    while len(books) < levels:
+        now = Index(books, index.middle, index.probed)
+        books.append(fit(x, rounds=4, left=padded(x) - now.decoded(now.codes(x, own), own)))
+    return Index(books, index.middle, index.probed)
+
+
+@dataclass
+class Truth:
+    """The k nearest other vectors of some queries, by exact scores of all."""
+
+    queries: np.ndarray  # of length one
+    names: np.ndarray  # their hashes
+    asks: np.ndarray  # for each neighbour, the place of its query
+    found: np.ndarray  # the neighbours, of length one
+
+    def lists(self, index: Index, recall: float) -> int:
+        """How many nearest lists hold this share of the neighbours."""
+        place = np.argsort(index.near(self.queries), axis=1)[self.asks, index.lists(self.found)]
+        return int(np.sort(place)[max(0, int(np.ceil(recall * len(place))) - 1)]) + 1
+
+    def ranks(self, index: Index, coded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """How many codes of the scanned lists, and of its own list, look as good as each neighbour's in these lists or better."""
+        scanned = np.zeros((len(self.queries), len(index.middle)), bool)
+        np.put_along_axis(scanned, index.near(self.queries)[:, : index.probed], True, axis=1)
+        own = index.lists(self.found)
+        inside = scanned[self.asks, own]
+        asks, own, found, q = self.asks[inside], own[inside], self.found[inside], padded(self.queries)
+        least = (index.decoded(index.codes(found, own), own) * q[asks]).sum(1) - 1e-12
+        shared = coded.sparkSession.sparkContext.broadcast((index, q, self.names, scanned, asks, own, least))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, q, names, scanned, asks, own, least = shared.value
+            both, alone = np.zeros(len(least), np.int64), np.zeros(len(least), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    h, lists = b.column(0).to_numpy(), b.column(1).to_numpy()
+                    codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(h), -1)
+                    guess = q @ index.decoded(codes, lists).T
+                    guess[~scanned[:, lists] | (names[:, None] == h)] = -np.inf
+                    for t in range(len(least)):
+                        better = np.flatnonzero(guess[asks[t]] >= least[t])
+                        both[t] += len(better)
+                        alone[t] += (lists[better] == own[t]).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(least))), pa.array(both), pa.array(alone)], names=["t", "both", "alone"])
+
+        counted = coded.select("h", "list", "code").mapInArrow(count, "t bigint, both bigint, alone bigint").groupBy("t").agg(F.sum("both").alias("both"), F.sum("alone").alias("alone"))
+        rows = counted.collect()
+        return np.array([r["both"] for r in rows], np.int64), np.array([r["alone"] for r in rows], np.int64)
+
+
+def truth(distinct: DataFrame, query: DataFrame, k: int) -> Truth | None:
+    """distinct: vectors v with their hashes h; query: those, v and qh, that ask. None where nothing is asked or found."""
+    drawn = query.select("qh", "v").orderBy(F.xxhash64("qh")).limit(max(1, min(ASKED, 8 * ASKED // k))).collect()
+    if not drawn:
+        return None
+    shared = distinct.sparkSession.sparkContext.broadcast((_unit([r["v"] for r in drawn]), np.array([r["qh"] for r in drawn], np.int64)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, names = shared.value
+        score, found = np.zeros((len(q), 0)), np.zeros((len(q), 0, q.shape[1]))
+        for b in batches:
+            if b.num_rows:
+                x = _unit(_matrix(b.column(0)))
+                made = q @ x.T
+                made[names[:, None] == b.column(1).to_numpy()] = -np.inf
+                top = np.argpartition(-made, k - 1, axis=1)[:, :k] if len(x) > k else np.tile(np.arange(len(x)), (len(q), 1))
+                score, found = np.concatenate([score, np.take_along_axis(made, top, 1)], 1), np.concatenate([found, x[top]], 1)
+                top = np.argsort(-score, axis=1)[:, :k]
+                score, found = np.take_along_axis(score, top, 1), np.take_along_axis(found, top[:, :, None], 1)
+        a, c = np.nonzero(np.isfinite(score))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(score[a, c]), pa.array([x.tobytes() for x in found[a, c]], pa.binary())], names=["a", "score", "x"])
+
+    made = distinct.select("v", "h").mapInArrow(best, "a bigint, score double, x binary")
+    rows = made.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "x"))).where(F.col("r") <= k).select("a", "x").collect()
+    if not rows:
+        return None
+    return Truth(*shared.value, np.array([r["a"] for r in rows]), np.stack([np.frombuffer(r["x"]) for r in rows]))
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", recall: float | None = 0.985) -> DataFrame:
     """(query_id, rank, id, score): of each row where is_query holds the k nearest others by cosine. recall: the share of
-    neighbours that the scanned lists are to hold; None: exactly the nearest, by scores of every vector for every query."""
+    the measured queries' neighbours that the scanned lists are to hold; None: exactly the nearest, by scores of every vector
+    for every query."""
     spark = df.sparkSession
     rows = df.where(valid(vector) & F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("asks").alias("asks")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -187,62 +318,99 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
     drawn = distinct.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * SAMPLE).collect()
     if not drawn:
         drawn = distinct.select("v").limit(SAMPLE).collect()
-    index = fit_index(_unit([r["v"] for r in drawn]), total, k, recall)
-    shared = spark.sparkContext.broadcast(index)
-    whole = recall is None  # vectors stand in place of codes
+    sample = _unit([r["v"] for r in drawn])
+    index = fit_index(sample, total, k, recall)
+    query = cut(rows.where("asks").select("id", "v").distinct().withColumn("qh", F.xxhash64("v")))
+    asked = query.select("qh", "v").dropDuplicates(["qh"])
+    kind = df.schema[id].dataType.simpleString()
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = _unit(_matrix(b.column(0)))
-                made = x if whole else packed(shared.value.book.codes(padded(x)))
-                own = (x @ shared.value.middle.T).argmax(1)
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in made], pa.binary())], names=["h", "list", "code"])
+    def coded_by(index: Index | None, lists: Index) -> DataFrame:
+        shared = spark.sparkContext.broadcast((index, lists))
+
+        def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, lists = shared.value
+            for b in batches:
+                if b.num_rows:
+                    v = _matrix(b.column(0))
+                    x = _unit(v)
+                    own = lists.lists(x)
+                    made = v if index is None else index.codes(x, own)
+                    yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in made], pa.binary())], names=["h", "id", "list", "code"])
+
+        return cut(distinct.select("v", "h", F.col("ids")[0].alias("id")).mapInArrow(code, f"h bigint, id {kind}, list int, code binary"))
+
+    known = None if recall is None else truth(distinct, asked, k)
+    coded, from_block = None, k + 1
+    if known is not None:
+        index.probed = max(index.probed, known.lists(index, recall))
+        for levels in LEVELS:
+            index = refined(index, sample, levels)
+            coded = coded_by(index, index)
+            both, alone = known.ranks(index, coded)
+            if (both <= AGAIN).mean() >= AMONG:
+                from_block = min(AGAIN, max(2 * k, int(1.25 * np.quantile(alone, (1 + AMONG) / 2)) + 1))
+                break
+            coded = None
+    whole = coded is None  # vectors stand in place of codes
+    if whole:
+        coded = coded_by(None, index)
+    shared = spark.sparkContext.broadcast(index)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = _unit(_matrix(b.column(1)))
-                near = np.argsort(-(x @ shared.value.middle.T), axis=1, kind="stable")[:, : shared.value.probed]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([q.tobytes() for q in x], pa.binary()), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["qh", "q", "lists"])
+                v = _matrix(b.column(1))
+                near = shared.value.near(_unit(v))[:, : shared.value.probed]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([q.tobytes() for q in v], pa.binary()), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["qh", "q", "lists"])
 
-    coded = cut(distinct.select("v", "h").mapInArrow(code, "h bigint, list int, code binary"))
     # no more rows than lists
     lists = F.broadcast(coded.groupBy("list").agg(F.expr(f"cast((count(*) + {VECTORS - 1}) div {VECTORS} as int)").alias("blocks")))
-    from_block = max(2 * k, -(-AGAIN // (index.probed * max(1, -(-total // (len(index.middle) * VECTORS))))))
     asks = max(1, -(-asking * index.probed // (len(index.middle) * QUERIES)))
-    query = cut(rows.where("asks").select("id", "v").distinct().withColumn("qh", F.xxhash64("v")))
-    seen = query.select("qh", "v").dropDuplicates(["qh"]).mapInArrow(probe, "qh bigint, q binary, lists array<int>")
+    seen = asked.mapInArrow(probe, "qh bigint, q binary, lists array<int>")
     seen = seen.select("qh", "q", F.explode("lists").alias("list")).join(lists, "list")
     seen = seen.select("list", F.pmod(F.xxhash64("qh"), F.lit(asks)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qh", "q")
-    held = coded.join(lists, "list").select("list", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"), F.pmod("h", F.col("blocks")).cast("int").alias("block"), "h", "code")
+    held = coded.join(lists, "list").select("list", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"), F.pmod("h", F.col("blocks")).cast("int").alias("block"), "h", "id", "code")
 
     def scan(asked: pa.Table, held: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
+        held = held.sort_by("id")
         if asked.num_rows and held.num_rows:
-            h, names = held.column("h").to_numpy(), asked.column("qh").to_numpy()
+            names = asked.column("qh").to_numpy()
             data = b"".join(held.column("code").to_pylist())
-            x = np.frombuffer(data).reshape(len(h), -1) if whole else np.frombuffer(data, np.uint8).reshape(len(h), -1).T.copy()
-            vectors = np.frombuffer(b"".join(asked.column("q").to_pylist())).reshape(len(names), -1)
+            v = np.frombuffer(b"".join(asked.column("q").to_pylist())).reshape(len(names), -1)
+            q, own = _unit(v), shared.value.middle[asked.column("list")[0].as_py()]
+            if whole:
+                x = np.frombuffer(data).reshape(held.num_rows, -1)
+                unit = _unit(x)
+            else:
+                x = np.frombuffer(data, np.uint8).reshape(held.num_rows, -1).T.copy()
             for i in range(0, len(names), 64):
-                read = [None] * 64 if whole else tables(vectors[i : i + 64], shared.value.book)
-                for name, q, t in zip(names[i : i + 64], vectors[i : i + 64], read, strict=False):
-                    if whole:
-                        guess = (x @ q).astype(np.float32)
+                made = q[i : i + 64] @ unit.T if whole else shared.value.tables(q[i : i + 64])
+                for j, t in enumerate(made, i):
+                    if whole:  # those that rounding may have put below the last come along, and exact scores decide
+                        again = np.flatnonzero(t >= -np.partition(-t, from_block - 1)[from_block - 1] - 1e-13) if len(t) > from_block else np.arange(len(t))
+                        guess = cosines(np.broadcast_to(v[j], (len(again), len(v[j]))), x[again])
+                        first = np.argsort(-guess, kind="stable")[:from_block]
+                        again, guess = again[first], guess[first]
                     else:
                         guess = t[0].take(x[0])
                         for m in range(1, len(x)):
                             guess += t[m].take(x[m])
-                    again = np.arange(len(h)) if len(h) <= from_block else np.argpartition(-guess, from_block)[:from_block]
-                    out.append((np.full(len(again), name), h[again], guess[again]))
-        columns = [np.concatenate([o[k] for o in out]) for k in range(3)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.float32)]
-        return pa.table([pa.array(c) for c in columns], names=["qh", "h", "guess"])
-
-    met = seen.groupBy("list", "ask", "block").cogroup(held.groupBy("list", "ask", "block")).applyInArrow(scan, "qh bigint, h bigint, guess float")
-    order = Window.partitionBy("qh").orderBy(F.desc("guess"), "h")
-    best = met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= AGAIN).select("qh", "h")
+                        again = np.arange(len(guess))
+                        if len(guess) > from_block:
+                            last = -np.partition(-guess, from_block - 1)[from_block - 1]
+                            above = np.flatnonzero(guess > last)
+                            again = np.concatenate([above, np.flatnonzero(guess == last)[: from_block - len(above)]])
+                        guess = guess[again] + q[j] @ own
+                    out.append((np.full(len(again), names[j]), again, guess))
+        name, again, guess = [np.concatenate([o[k] for o in out]) for k in range(3)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, float)]
+        picked = held.select(["h", "id"]).take(pa.array(again))
+        return pa.table([pa.array(name), picked.column("h"), picked.column("id"), pa.array(guess.astype(float))], names=["qh", "h", "id", "guess"])
+
+    met = seen.groupBy("list", "ask", "block").cogroup(held.groupBy("list", "ask", "block")).applyInArrow(scan, f"qh bigint, h bigint, id {kind}, guess double")
+    order = Window.partitionBy("qh").orderBy(F.desc("guess"), "id", "h")
+    best = met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(AGAIN, k + 1)).select("qh", "h")
     pairs = best.join(distinct, "h").join(query.select("qh", F.col("id").alias("query_id"), F.col("v").alias("q")), "qh").select("query_id", "qh", "q", "v", "ids")
-    kind = df.schema[id].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
@@ -145,6 +146,35 @@ def test_few_lists_are_scanned_where_vectors_form_clusters(spark, monkeypatch):
     assert whole == want
 
 
+@pytest.mark.parametrize("kind", ["one direction", "three clusters", "two dimensions", "queries apart", "one component"])
+def test_recall_on_other_rows(spark, kind):
+    """Vectors that codes of one level do not tell apart, and queries that the sample does not stand for."""
+    rng, n = np.random.default_rng(6), 4000
+    x = rng.normal(size=(n, 2 if kind == "two dimensions" else 16))
+    if kind == "one direction":
+        x += 20
+    elif kind == "three clusters":
+        x = rng.normal(size=(3, 16))[rng.integers(0, 3, n)] + 0.002 * x
+    elif kind == "queries apart":
+        x[::50] = 0.3 * x[::50] + 4
+    elif kind == "one component":
+        x = np.where(np.arange(16) == rng.integers(0, 16, (n, 1)), x, 0)  # cosines of 1 and 0: ids decide
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    want = {(q, i) for q, _, i, _ in exact(rows, lambda i: i % 50 == 0)}
+    assert len(got) == len(want)
+    assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) / len(want) >= 0.97
+
+
+def test_vectors_that_no_codes_tell_apart(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEVELS", (1,))
+    x = np.random.default_rng(8).normal(size=(2000, 8)) + 100
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    want = {(q, i) for q, _, i, _ in exact(rows, lambda i: i % 50 == 0)}
+    assert {(r["query_id"], r["vec_id"]) for r in got} == want
+
+
 def test_very_large_and_small_components(spark):
     rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [3e200, 0.0]), (3, [-1.0, 1.0]), (4, [1e308, 1e308])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
