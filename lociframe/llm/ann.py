@@ -307,10 +307,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
     for every query."""
     spark = df.sparkSession
     rows = df.where(valid(vector) & F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("asks").alias("asks")).orderBy(F.desc("n"), "d").limit(1).collect()
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return rows.where("false").select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias(id), F.lit(0.0).alias("score"))
-    d, total, asking = sizes[0]["d"], sizes[0]["n"], sizes[0]["asks"]
+    d, total = sizes[0]["d"], sizes[0]["n"]
     rows = rows.where(F.size("v") == d)
     ranked = rows.select("id", "v").withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     distinct = cut(ranked.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("h", F.xxhash64("v")))
@@ -363,13 +363,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
                 near = shared.value.near(_unit(v))[:, : shared.value.probed]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([q.tobytes() for q in v], pa.binary()), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["qh", "q", "lists"])
 
+    seen = cut(asked.mapInArrow(probe, "qh bigint, q binary, lists array<int>"))
+    parts = lambda rows, size, name: rows.groupBy("list").agg(F.expr(f"cast((count(*) + {size - 1}) div {size} as int)").alias(name))
     # no more rows than lists
-    lists = F.broadcast(coded.groupBy("list").agg(F.expr(f"cast((count(*) + {VECTORS - 1}) div {VECTORS} as int)").alias("blocks")))
-    asks = max(1, -(-asking * index.probed // (len(index.middle) * QUERIES)))
-    seen = asked.mapInArrow(probe, "qh bigint, q binary, lists array<int>")
+    lists = F.broadcast(parts(coded, VECTORS, "blocks").join(parts(seen.select(F.explode("lists").alias("list")), QUERIES, "asks"), "list"))
     seen = seen.select("qh", "q", F.explode("lists").alias("list")).join(lists, "list")
-    seen = seen.select("list", F.pmod(F.xxhash64("qh"), F.lit(asks)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qh", "q")
-    held = coded.join(lists, "list").select("list", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"), F.pmod("h", F.col("blocks")).cast("int").alias("block"), "h", "id", "code")
+    seen = seen.select("list", F.pmod(F.xxhash64("qh"), F.col("asks")).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qh", "q")
+    held = coded.join(lists, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), F.pmod("h", F.col("blocks")).cast("int").alias("block"), "h", "id", "code")
 
     def scan(asked: pa.Table, held: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
